@@ -70,12 +70,12 @@ def run_stats(published: DataFrame, definition: Definition, node: dict[str, int]
 # --------------------------------------------------------- grids over folds and k
 
 
-def train_counts(df: DataFrame, keys: Sequence[str], fold: str = "fold") -> DataFrame:
+def train_counts(counts: DataFrame, keys: Sequence[str], fold: str = "fold") -> DataFrame:
     """Counts per training set: all rows less those of the fold held out.
 
-    Works on counts, so the rows are not copied once per training set.
+    ``counts``: keys, fold, ``cnt``. Rows are not copied once per training set.
     """
-    per_fold = df.groupBy(*keys, fold).agg(F.count("*").alias("_f"))
+    per_fold = counts.select(*keys, fold, F.col("cnt").alias("_f"))
     total = per_fold.groupBy(*keys).agg(F.sum("_f").alias("_t"))
     folds = per_fold.agg(F.sort_array(F.collect_set(fold)).alias("folds")).scalar()
     grid = total.withColumn(fold, F.explode(folds))

@@ -318,16 +318,16 @@ def rule_report(spark, sf):
     k are suppressed and fall back to the overall commonest value.
     """
     rows = S.k_fold(generalized(spark, sf).select("o_orderkey", *QID, TARGET), FOLDS, ID, SEED)
-    counts = materialize(rows.groupBy(*QID, TARGET, "fold").agg(F.count("*").alias("c")), "votes")
-    votes = A.train_counts(rows, [*QID, TARGET])
+    counts = materialize(rows.groupBy(*QID, TARGET, "fold").agg(F.count("*").alias("cnt")), "votes")
+    votes = A.train_counts(counts, [*QID, TARGET])
     first = lambda name: F.min_by(TARGET, F.struct(-F.col("cnt"), F.col(TARGET))).alias(name)
     said = votes.groupBy("fold", *QID).agg(first("said"), F.sum("cnt").alias("n"))
     usual = votes.groupBy("fold", TARGET).agg(F.sum("cnt").alias("cnt")).groupBy("fold").agg(first("usual"))
-    joined = null_safe(null_safe(counts, said, ["fold", *QID], "left"), usual, ["fold"])
+    joined = null_safe(null_safe(counts, said.select("fold", *QID, "said", "n"), ["fold", *QID], "left"), usual, ["fold"])
     known = joined.withColumn("k", F.explode(F.array(*[F.lit(k) for k in KS])))
     guess = F.when(F.col("n") >= F.col("k"), F.col("said")).otherwise(F.col("usual"))
-    confusion = known.select("fold", "k", F.col(TARGET).alias("label"), guess.alias("prediction"), "c")
-    return M.classification_report(confusion, ["fold", "k"], "label", "prediction", "c")
+    confusion = known.select("fold", "k", F.col(TARGET).alias("label"), guess.alias("prediction"), "cnt")
+    return M.classification_report(confusion, ["fold", "k"], "label", "prediction", "cnt")
 
 
 @register("classification_report", f"WITH {RULE} SELECT fold, k, label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM report")
