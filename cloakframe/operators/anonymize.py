@@ -70,22 +70,23 @@ def run_stats(published: DataFrame, definition: Definition, node: dict[str, int]
 # --------------------------------------------------------- grids over folds and k
 
 
-def train_counts(counts: DataFrame, keys: Sequence[str], fold: str = "fold") -> DataFrame:
+def train_counts(counts: DataFrame, keys: Sequence[str], folds: int, fold: str = "fold", carry: Sequence[str] = ()) -> DataFrame:
     """Counts per training set: all rows less those of the fold held out.
 
-    ``counts``: keys, fold, ``cnt``. Rows are not copied once per training set.
+    ``counts``: keys, fold, ``cnt``. Neither rows nor raw tuples are copied once per
+    training set, only the merged counts. ``carry`` are figures equal within a key.
     """
-    per_fold = counts.select(*keys, fold, F.col("cnt").alias("_f"))
-    total = per_fold.groupBy(*keys).agg(F.sum("_f").alias("_t"))
-    folds = per_fold.agg(F.sort_array(F.collect_set(fold)).alias("folds")).scalar()
-    grid = total.withColumn(fold, F.explode(folds))
-    joined = null_safe(grid, per_fold, [*keys, fold], "left")
-    return joined.select(*keys, fold, (F.col("_t") - F.coalesce("_f", F.lit(0))).alias("cnt")).filter("cnt > 0")
+    own = [F.sum(F.when(F.col(fold) == i, F.col("cnt")).otherwise(0)).alias(f"_{i}") for i in range(folds)]
+    merged = counts.groupBy(*keys).agg(F.sum("cnt").alias("_t"), *own, *[F.max(c).alias(c) for c in carry])
+    sets = F.array(*[F.struct(F.lit(i).alias("f"), (F.col("_t") - F.col(f"_{i}")).alias("c")) for i in range(folds)])
+    spread = merged.withColumn("_s", F.explode(sets))
+    return spread.select(*keys, F.col("_s.f").alias(fold), F.col("_s.c").alias("cnt"), *carry).filter("cnt > 0")
 
 
 def grid_search(
     df: DataFrame,
     definition: Definition,
+    folds: int,
     ks: Sequence[int],
     ls: Sequence[float] | None = None,
     sensitive: str | None = None,
@@ -99,35 +100,24 @@ def grid_search(
     and its entropy), so the classes of all folds and nodes are built once and each
     parameter pair is a filter on them.
     """
-    qid = definition.qid
     chosen = L.nodes(definition) if chosen is None else list(chosen)
     extra = [sensitive] if sensitive else []
-    base = L.base_table(df, definition, [*extra, fold])
-    shape = base.drop("cnt", fold).dropDuplicates([*qid, *extra])
-    counts = base.select(*qid, *extra, fold, "cnt")
-    total = counts.groupBy(*qid, *extra).agg(F.sum("cnt").alias("_t"))
-    folds = counts.agg(F.sort_array(F.collect_set(fold)).alias("folds")).scalar()
-    grid = null_safe(shape, total, [*qid, *extra]).withColumn(fold, F.explode(folds))
-    train = (
-        null_safe(grid, counts, [*qid, *extra, fold], "left")
-        .withColumn("cnt", F.col("_t") - F.coalesce("cnt", F.lit(0)))
-        .drop("_t")
-        .filter("cnt > 0")
-    )
-    keys = [fold, "node", *[f"g_{q}" for q in qid]]
-    wide = L.expanded(train, definition, chosen, [fold, *extra])
+    prepared = L.prepare(df, definition, [*extra, fold])
+    classes_of = ["node", *[f"g_{q}" for q in definition.qid]]
+    wide = L.expanded(prepared, definition, chosen, [fold, *extra])
+    train = train_counts(wide, [*classes_of, *extra], folds, fold, ["cell_loss"])
+    keys = [fold, *classes_of]
     if sensitive:
-        c = F.col("c").cast("double")
-        pairs = wide.groupBy(*keys, sensitive).agg(F.sum("cnt").alias("c"), F.max("cell_loss").alias("cell_loss"))
-        classes = pairs.groupBy(*keys).agg(
-            F.sum("c").alias("n"), F.max("cell_loss").alias("cell_loss"),
+        c = F.col("cnt").cast("double")
+        classes = train.groupBy(*keys).agg(
+            F.sum("cnt").alias("n"), F.max("cell_loss").alias("cell_loss"),
             (F.log(F.sum(c)) - F.sum(c * F.log(c)) / F.sum(c)).alias("entropy"),
         )
         params = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(l)).alias("l")) for k in ks for l in ls])
         ok = (F.col("n") >= F.col("p.k")) & (F.col("entropy") >= F.log(F.col("p.l")) - 1e-9)
         names = ["k", "l"]
     else:
-        classes = wide.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.max("cell_loss").alias("cell_loss"))
+        classes = train.withColumnRenamed("cnt", "n")
         params = F.array(*[F.struct(F.lit(k).alias("k")) for k in ks])
         ok, names = F.col("n") >= F.col("p.k"), ["k"]
     g, s = min(1.0, 2 * (1 - gs)), min(1.0, 2 * gs)
@@ -232,8 +222,7 @@ def greedy(
     until a valid node is met and no neighbour improves it; top-down descends while a
     valid neighbour loses less. The best valid node met is returned.
     """
-    extra = sorted({c for m in models for c in m.columns} | ({definition.target} if quality.kind == "classification" else set()))
-    base = materialize(L.base_table(df, definition, extra), "base")
+    prepared = L.prepare(df, definition, L.search_columns(definition, models, quality), quality.kind == "entropy")
     heights = definition.heights
     at = heights if top_down else tuple(0 for _ in heights)
     seen: dict[tuple[int, ...], dict] = {}
@@ -241,7 +230,7 @@ def greedy(
     def judge(candidates):
         new = [n for n in candidates if n not in seen]
         if new:
-            for row in L.scores(df, definition, models, quality, suppression, new, base).collect():
+            for row in L.scores(df, definition, models, quality, suppression, new, prepared).collect():
                 seen[tuple(int(x) for x in row["node"].split(","))] = row.asDict()
         return [(seen[n], n) for n in candidates]
 

@@ -182,16 +182,6 @@ def level_sizes(table: DataFrame) -> DataFrame:
     return exploded.groupBy("level").agg(F.count_distinct("label").alias("values"))
 
 
-def leaf_counts(table: DataFrame) -> DataFrame:
-    """``(value, levels, leaves)``: how many listed values share each label."""
-    exploded = table.select("value", F.posexplode("levels").alias("level", "label"))
-    counts = exploded.groupBy("level", "label").agg(F.count_distinct("value").alias("c"))
-    joined = null_safe(exploded, counts, ["level", "label"])
-    # At most one entry per level, so the list is as long as the hierarchy is high.
-    packed = joined.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("level", "c"))).alias("_p"))
-    return null_safe(table, packed, ["value"]).select("value", "levels", F.transform("_p", lambda x: x["c"]).alias("leaves"))
-
-
 def generalize(df: DataFrame, definition: Definition, node: dict[str, int]) -> DataFrame:
     """Replace each quasi-identifier by its label at the level of ``node``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -13,6 +14,7 @@ from cloakframe.definition import Definition
 from cloakframe.operators import hierarchies as H
 from cloakframe.operators.privacy import Model, class_verdicts, table_predicate
 from cloakframe.operators.ranking import null_safe
+from cloakframe.session import materialize
 
 MAX_NODES_PER_JOB = 4096
 
@@ -36,20 +38,52 @@ def nodes_table(df: DataFrame, definition: Definition, chosen: Sequence[tuple[in
 
 
 def base_table(df: DataFrame, definition: Definition, extra: Sequence[str] = ()) -> DataFrame:
-    """Distinct raw tuples with their count, labels and leaf counts of all levels.
+    """Distinct raw tuples with their count ``cnt``, written to the shared folder.
 
-    Its size is bounded by the product of the attribute domains, not by the rows;
-    everything the search does afterwards starts from it.
+    The only pass over the rows. Its size is bounded by the product of the attribute
+    domains, and everything the search does afterwards reads it instead of the rows.
     """
-    counted = df.groupBy(*definition.qid, *extra).agg(F.count("*").alias("cnt"))
+    return materialize(df.groupBy(*definition.qid, *extra).agg(F.count("*").alias("cnt")), "tuples")
+
+
+def level_tables(base: DataFrame, definition: Definition, bits: bool = False) -> DataFrame:
+    """``(attribute, raw, level, label, leaves, domain)`` for all values in use.
+
+    ``leaves`` counts the listed values under a label, ``domain`` all listed values.
+    Values an explicit hierarchy does not list have no label and lose everything.
+    With ``bits`` also the bits lost per value, and the most it can lose.
+    """
+    used, listed = [], []
     for q in definition.qid:
-        table = H.leaf_counts(definition.hierarchy(q).materialize(df, q))
-        domain = table.agg(F.count("*").alias("d")).scalar()
-        lookup = table.select(
-            F.col("value").alias(f"_v_{q}"), F.col("levels").alias(f"lv_{q}"), F.col("leaves").alias(f"lf_{q}"), domain.alias(f"dm_{q}")
-        )
-        counted = counted.join(lookup, F.col(q).cast("string").eqNullSafe(F.col(f"_v_{q}")), "left").drop(f"_v_{q}")
-    return counted
+        h = definition.hierarchy(q)
+        name = lambda d: d.select(F.lit(q).alias("attribute"), "value", "levels")
+        table = h.materialize(base, q)
+        listed.append(name(table))
+        if h.table is not None:
+            values = base.select(F.col(q).cast("string").alias("value")).distinct()
+            none = F.array_repeat(F.lit(None).cast("string"), h.height + 1)
+            table = null_safe(values, table, ["value"], "left").withColumn("levels", F.coalesce("levels", none))
+        used.append(name(table))
+    listed, used = (functools.reduce(DataFrame.unionByName, x) for x in (listed, used))
+    leaves = (
+        listed.select("attribute", F.posexplode("levels").alias("level", "label"))
+        .groupBy("attribute", "level", "label").agg(F.count("*").alias("leaves"))
+    )
+    domains = listed.groupBy("attribute").agg(F.count("*").alias("domain"))
+    long = used.select("attribute", F.col("value").alias("raw"), F.posexplode("levels").alias("level", "label"))
+    long = null_safe(null_safe(long, leaves, ["attribute", "level", "label"], "left"), domains, ["attribute"])
+    long = long.withColumn("leaves", F.coalesce("leaves", "domain"))
+    if not bits:
+        return long
+    counts = functools.reduce(DataFrame.unionByName, [
+        base.groupBy(F.col(q).cast("string").alias("raw")).agg(F.sum("cnt").alias("_f")).select(F.lit(q).alias("attribute"), "*")
+        for q in definition.qid
+    ])
+    known = null_safe(long, counts, ["attribute", "raw"])
+    labels = known.groupBy("attribute", "level", "label").agg(F.sum("_f").alias("_g"))
+    total = base.agg(F.sum("cnt").alias("t")).scalar()
+    return null_safe(known, labels, ["attribute", "level", "label"]).select(
+        *long.columns, (-F.log2(F.col("_f") / F.col("_g"))).alias("bits"), (-F.log2(F.col("_f") / total)).alias("most"))
 
 
 @dataclass(frozen=True)
@@ -69,71 +103,72 @@ def cell_loss(leaves: Column, domain: Column) -> Column:
     return F.when(domain > 1, (leaves - 1) / (domain - 1)).otherwise(F.lit(0.0))
 
 
-def _node_array(chosen: Sequence[tuple[int, ...]]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(node_name(n)).alias("node"), F.array(*[F.lit(x) for x in n]).alias("at")) for n in chosen
-    ])
+@dataclass(frozen=True)
+class Prepared:
+    """The tables a search reads again and again, both in the shared folder."""
+
+    base: DataFrame
+    levels: DataFrame
+    bits: bool
+
 
+def prepare(df: DataFrame, definition: Definition, extra: Sequence[str] = (), bits: bool = False) -> Prepared:
+    """One pass over the rows for the distinct tuples, then one over those for all levels."""
+    base = base_table(df, definition, extra)
+    return Prepared(base, materialize(level_tables(base, definition, bits), "levels"), bits)
 
-def expanded(base: DataFrame, definition: Definition, chosen: Sequence[tuple[int, ...]], keep: Sequence[str] = ()) -> DataFrame:
-    """Every distinct tuple at every node (a grouping-set style expansion)."""
-    qid = definition.qid
-    at = base.withColumn("_n", F.explode(_node_array(chosen)))
-    level = lambda i: F.col("_n.at")[i]
+
+def expanded(
+    prepared: Prepared, definition: Definition, chosen: Sequence[tuple[int, ...]], keep: Sequence[str] = ()
+) -> DataFrame:
+    """The distinct tuples of every node with their count and loss.
+
+    Attributes are generalized one after the other, merging equal tuples in between,
+    so a high level is reached from the few tuples of the level table below it rather
+    than from all raw tuples: the rows expanded are about the sum, not the product,
+    of the levels.
+    """
+    qid, base, bits = definition.qid, prepared.base, prepared.bits
     total = sum(definition.weight(q) for q in qid)
-    loss, info, known, amb = F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)
-    for i, q in enumerate(qid):
-        leaves, domain = F.col(f"lf_{q}")[level(i)], F.col(f"dm_{q}")
-        loss = loss + F.lit(definition.weight(q)) * cell_loss(leaves, domain)
-        info, known, amb = info + F.log(leaves.cast("double")), known + F.log(domain.cast("double")), amb * leaves
-    bits = []
-    if f"en_{qid[0]}" in base.columns:
-        scale = [F.lit(definition.weight(q) * len(qid) / total) for q in qid]
-        lost = sum((w * F.col(f"en_{q}")[level(i)] for i, (q, w) in enumerate(zip(qid, scale))), F.lit(0.0))
-        most = sum((w * F.col(f"en_{q}")[h] for h, q, w in zip(definition.heights, qid, scale)), F.lit(0.0))
-        bits = [(lost * F.col("cnt")).alias("_bits"), (most * F.col("cnt")).alias("_most")]
+    zero = F.lit(0.0)
+    figures = {"cell_loss": F.max, "info_loss": F.max, "info_most": F.max}
+    if bits:
+        figures.update(bits=F.sum, most=F.sum)
+    at = base.select(*qid, *keep, "cnt", *[zero.alias(c) for c in figures])
+    order = sorted(range(len(qid)), key=lambda i: -definition.heights[i])
+    for done, i in enumerate(order):
+        q, w = qid[i], definition.weight(qid[i]) / total
+        lookup = prepared.levels.filter(F.col("attribute") == q).select(
+            F.col("raw").alias("_raw"), F.col("level").alias(f"l_{q}"), F.col("label").alias(f"g_{q}"),
+            "leaves", "domain", *([F.col("bits").alias("_b"), F.col("most").alias("_m")] if bits else []))
+        lookup = lookup.filter(F.col(f"l_{q}").isin(sorted({n[i] for n in chosen})))
+        at = at.join(lookup, F.col(q).cast("string").eqNullSafe(F.col("_raw")))
+        so_far = order[: done + 1]
+        prefixes = sorted({tuple(n[j] for j in so_far) for n in chosen})
+        possible = 1
+        for j in so_far:
+            possible *= len({n[j] for n in chosen})
+        if len(prefixes) < possible:
+            name = F.concat_ws(",", *[F.col(f"l_{qid[j]}").cast("string") for j in so_far])
+            at = at.filter(name.isin([node_name(x) for x in prefixes]))
+        grown = {
+            "cell_loss": F.col("cell_loss") + F.lit(w) * cell_loss(F.col("leaves"), F.col("domain")),
+            "info_loss": F.col("info_loss") + F.log(F.col("leaves").cast("double")),
+            "info_most": F.col("info_most") + F.log(F.col("domain").cast("double")),
+        }
+        if bits:
+            scale = F.lit(w * len(qid)) * F.col("cnt")
+            grown.update(bits=F.col("bits") + scale * F.col("_b"), most=F.col("most") + scale * F.col("_m"))
+        keys = [*[x for j in so_far for x in (f"l_{qid[j]}", f"g_{qid[j]}")], *[qid[j] for j in order[done + 1:]], *keep]
+        at = at.groupBy(*keys).agg(F.sum("cnt").alias("cnt"), *[f(grown[c]).alias(c) for c, f in figures.items()])
     return at.select(
-        F.col("_n.node").alias("node"),
-        *[F.col(f"lv_{q}")[level(i)].alias(f"g_{q}") for i, q in enumerate(qid)],
-        *keep,
-        *bits,
-        "cnt",
-        (loss / F.lit(total)).alias("cell_loss"),
-        F.when(known > 0, info / known).otherwise(F.lit(0.0)).alias("info_loss"),
+        F.concat_ws(",", *[F.col(f"l_{q}").cast("string") for q in qid]).alias("node"),
+        *[f"g_{q}" for q in qid], *keep, "cnt", "cell_loss",
+        F.when(F.col("info_most") > 0, F.col("info_loss") / F.col("info_most")).otherwise(zero).alias("info_loss"),
+        *(["bits", "most"] if bits else []),
     )
 
 
-def attribute_entropy(base: DataFrame, definition: Definition) -> DataFrame:
-    """``(attribute, level, raw, bits)``: -log2 of raw over generalized frequency."""
-    parts = None
-    for i, q in enumerate(definition.qid):
-        long = (
-            base.groupBy(F.col(q).cast("string").alias("raw"), f"lv_{q}").agg(F.sum("cnt").alias("f_raw"))
-            .select("raw", "f_raw", F.posexplode(f"lv_{q}").alias("level", "label"))
-        )
-        gen = long.groupBy("level", "label").agg(F.sum("f_raw").alias("f_gen"))
-        one = null_safe(long, gen, ["level", "label"]).select(
-            F.lit(q).alias("attribute"), "level", "raw", "f_raw",
-            (-F.log2(F.col("f_raw") / F.col("f_gen"))).alias("bits"),
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
-
-
-def _with_entropy(base: DataFrame, definition: Definition) -> DataFrame:
-    """Adds per attribute the array of bits lost at each level."""
-    bits = attribute_entropy(base, definition)
-    for q in definition.qid:
-        packed = (
-            bits.filter(F.col("attribute") == q)
-            .groupBy("raw")
-            .agg(F.sort_array(F.collect_list(F.struct("level", "bits"))).alias("_p"))
-            .select(F.col("raw").alias(f"_raw_{q}"), F.transform("_p", lambda x: x["bits"]).alias(f"en_{q}"))
-        )
-        base = base.join(packed, F.col(q).cast("string").eqNullSafe(F.col(f"_raw_{q}")), "left").drop(f"_raw_{q}")
-    return base
-
-
 def payout(n: Column, info_loss: Column, costs: dict[str, float], no_attack: bool) -> Column:
     """What the publisher earns per record of a class of size ``n``."""
     benefit, loss = F.lit(costs["publisher_benefit"]), F.lit(costs["publisher_loss"])
@@ -144,6 +179,12 @@ def payout(n: Column, info_loss: Column, costs: dict[str, float], no_attack: boo
     return F.when(attacked, earned - loss / n).otherwise(earned)
 
 
+def search_columns(definition: Definition, models: Sequence[Model], quality: Quality) -> list[str]:
+    """Columns besides the quasi-identifiers that models and quality look at."""
+    target = {definition.target} if quality.kind == "classification" else set()
+    return sorted({c for m in models for c in m.columns} | target)
+
+
 def scores(
     df: DataFrame,
     definition: Definition,
@@ -151,29 +192,30 @@ def scores(
     quality: Quality = Quality(),
     suppression: float = 0.0,
     chosen: Sequence[tuple[int, ...]] | None = None,
-    base: DataFrame | None = None,
+    prepared: Prepared | None = None,
 ) -> DataFrame:
     """One line per node: loss, suppressed rows, classes left and validity.
 
     All nodes of a batch are one plan: expand the distinct tuples, count classes,
-    judge them, sum up per node. Rows of the input are read once for ``base``.
+    judge them, sum up per node. The rows are read once, by ``prepare``.
     """
     chosen = nodes(definition) if chosen is None else list(chosen)
-    extra = sorted({c for m in models for c in m.columns} | ({definition.target} if quality.kind == "classification" else set()))
-    base = base_table(df, definition, extra) if base is None else base
-    if quality.kind == "entropy":
-        base = _with_entropy(base, definition)
+    extra = search_columns(definition, models, quality)
+    prepared = prepared or prepare(df, definition, extra, quality.kind == "entropy")
     out = None
     for start in range(0, len(chosen), MAX_NODES_PER_JOB):
-        part = _score_batch(base, definition, models, quality, suppression, chosen[start:start + MAX_NODES_PER_JOB], extra)
+        part = _score_batch(prepared, definition, models, quality, suppression, chosen[start:start + MAX_NODES_PER_JOB], extra)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _score_batch(base, definition, models, quality, suppression, chosen, extra):
+def _score_batch(prepared, definition, models, quality, suppression, chosen, extra):
     keys = ["node", *[f"g_{q}" for q in definition.qid]]
-    wide = expanded(base, definition, chosen, extra)
-    sums = [F.sum("_bits").alias("bits"), F.sum("_most").alias("most")] if quality.kind == "entropy" else []
+    bits = quality.kind == "entropy"
+    wide = expanded(prepared, definition, chosen, extra)
+    if len(models) > 1 or any(m.columns for m in models) or quality.kind == "classification":
+        wide = materialize(wide, "nodes")  # each measure reads it
+    sums = [F.sum("bits").alias("bits"), F.sum("most").alias("most")] if bits else []
     classes = class_verdicts(wide, keys, models, [F.max("cell_loss").alias("cell_loss"), F.max("info_loss").alias("info_loss"), *sums])
     if quality.kind == "classification":
         major = wide.groupBy(*keys, definition.target).agg(F.sum("cnt").alias("_t")).groupBy(*keys).agg(F.max("_t").alias("majority"))

@@ -11,23 +11,31 @@ from cloakframe.definition import STAR, Definition
 from cloakframe.operators import lattice as L
 from cloakframe.operators.privacy import Model, class_verdicts
 from cloakframe.operators.ranking import null_safe
+from cloakframe.session import materialize
 
 
 def coded(df: DataFrame, definition: Definition, node: dict[str, int], models: Sequence[Model]) -> DataFrame:
     """Distinct raw tuples with, per attribute, label, leaves and domain after
     publishing at ``node``; suppressed tuples carry the whole domain."""
     extra = sorted({c for m in models for c in m.columns})
-    base = L.base_table(df, definition, extra)
-    qid = definition.qid
-    at = base.withColumns({f"g_{q}": F.col(f"lv_{q}")[node[q]] for q in qid})
+    qid, prepared = definition.qid, L.prepare(df, definition, extra)
+    at = prepared.base
+    for q in qid:
+        lookup = prepared.levels.filter((F.col("attribute") == q) & (F.col("level") == node[q]))
+        lookup = lookup.select(
+            F.col("raw").alias("_raw"), F.col("label").alias(f"g_{q}"), F.col("leaves").alias(f"lf_{q}"), F.col("domain").alias(f"dm_{q}"))
+        at = at.join(lookup, F.col(q).cast("string").eqNullSafe(F.col("_raw"))).drop("_raw")
     keys = [f"g_{q}" for q in qid]
     verdicts = class_verdicts(at, keys, models).select(*keys, "n", "ok")
     out = null_safe(at, verdicts, keys)
+    ok = F.col("ok")
     for q in qid:
-        out = out.withColumn(f"lf_{q}", F.when(F.col("ok"), F.col(f"lf_{q}")[node[q]]).otherwise(F.col(f"dm_{q}")))
-        out = out.withColumn(f"h_{q}", F.when(F.col("ok"), F.lit(node[q])).otherwise(F.lit(definition.hierarchy(q).height)))
-        out = out.withColumn(f"g_{q}", F.when(F.col("ok"), F.col(f"g_{q}")).otherwise(F.lit(STAR)))
-    return out.drop(*[f"lv_{q}" for q in qid])
+        out = out.withColumns({
+            f"lf_{q}": F.when(ok, F.col(f"lf_{q}")).otherwise(F.col(f"dm_{q}")),
+            f"h_{q}": F.when(ok, F.lit(node[q])).otherwise(F.lit(definition.hierarchy(q).height)),
+            f"g_{q}": F.when(ok, F.col(f"g_{q}")).otherwise(F.lit(STAR)),
+        })
+    return materialize(out, "coded")
 
 
 def _mean(c: Column) -> Column:

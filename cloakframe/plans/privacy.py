@@ -253,11 +253,11 @@ def folded(spark, sf):
 
 
 def kanon(spark, sf):
-    return A.grid_search(folded(spark, sf), definition(spark, sf), [5, 20, 100])
+    return A.grid_search(folded(spark, sf), definition(spark, sf), FOLDS, [5, 20, 100])
 
 
 def kl(spark, sf):
-    return A.grid_search(folded(spark, sf), definition(spark, sf), [5, 100], [2.0, 4.5, 6.0], "o_orderpriority")
+    return A.grid_search(folded(spark, sf), definition(spark, sf), FOLDS, [5, 100], [2.0, 4.5, 6.0], "o_orderpriority")
 
 
 @register("kanon_grid", f"WITH {KGRID} SELECT fold, k, {BESTCOLS} FROM best")
@@ -409,7 +409,7 @@ def priced(spark, sf, subset=False):
     """Generalized rows with the information their class has lost at this node."""
     d = definition(spark, sf)
     rows = people(spark, sf)
-    wide = L.expanded(L.base_table(rows, d), d, [tuple(NODE.values())])
+    wide = L.expanded(L.prepare(rows, d), d, [tuple(NODE.values())])
     loss = wide.groupBy(*[F.col(f"g_{q}").alias(q) for q in QID]).agg(F.max("info_loss").alias("info_loss"))
     out = null_safe(marked(spark, sf) if subset else generalized(spark, sf), loss, QID)
     return out
@@ -440,10 +440,10 @@ def profit_journalist_noattack(spark, sf):
     return profit(spark, sf, True, True)
 
 
-# Fixed values for epsilon 1 and delta 1e-4: rate 1 - 1/e, least class size 78.
+# Fixed values for epsilon 1 and delta 1e-4: rate 1 - 1/e, least class size 47.
 @register("dp_independent", f"""WITH {PEOPLE}, g AS (SELECT o_orderkey, r_name AS n_name, '*' AS c_mktsegment, quarter(o_orderdate) || '/' || year(o_orderdate) AS o_orderdate FROM people
     WHERE CAST('0x' || substr(md5('7|' || o_orderkey), 1, 8) AS BIGINT) / 4294967296e0 < 1 - exp(-1e0))
-  SELECT o_orderkey, CASE WHEN n < 78 THEN '*' ELSE n_name END AS n_name, CASE WHEN n < 78 THEN '*' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN n < 78 THEN '*' ELSE o_orderdate END AS o_orderdate
+  SELECT o_orderkey, CASE WHEN n < 47 THEN '*' ELSE n_name END AS n_name, CASE WHEN n < 47 THEN '*' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN n < 47 THEN '*' ELSE o_orderdate END AS o_orderdate
   FROM (SELECT *, count(*) OVER (PARTITION BY {QKEY}) AS n FROM g)""")
 def dp_independent(spark, sf):
     d = definition(spark, sf)
@@ -462,14 +462,19 @@ def dp_dependent(spark, sf):
 MKEY = "n_name, c_mktsegment, o_orderdate"
 
 
-def micro(spark, sf, how):
-    rows = generalized(spark, sf)
-    return A.microaggregate(rows, QID, "o_totalprice", how, "price").select("o_orderkey", F.round("price", 4).alias("price"))
+def cents(rows):
+    """Whole cents, whose sums are exact in any order."""
+    return rows.withColumn("cents", F.round(F.col("o_totalprice") * 100))
 
 
-@register("microagg_mean", f"WITH {GEN} SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY {MKEY}), 4) AS price FROM gen")
+def micro(spark, sf, how, column="o_totalprice"):
+    rows = cents(generalized(spark, sf))
+    return A.microaggregate(rows, QID, column, how, "price").select("o_orderkey", F.round("price", 4).alias("price"))
+
+
+@register("microagg_mean", f"WITH {GEN} SELECT o_orderkey, round(avg(round(o_totalprice * 100)) OVER (PARTITION BY {MKEY}), 4) AS price FROM gen")
 def microagg_mean(spark, sf):
-    return micro(spark, sf, "mean")
+    return micro(spark, sf, "mean", "cents")
 
 
 @register("microagg_geomean", f"WITH {GEN} SELECT o_orderkey, round(exp(avg(ln(o_totalprice)) OVER (PARTITION BY {MKEY})), 4) AS price FROM gen")
@@ -491,9 +496,9 @@ def microagg_mode(spark, sf):
     return A.microaggregate(rows, QID, "p", "mode", "price").select("o_orderkey", "price")
 
 
-@register("microagg_generalized", f"WITH {PUB} SELECT o_orderkey, {QKEY}, round(avg(o_totalprice) OVER (PARTITION BY {MKEY}), 4) AS price FROM pub")
+@register("microagg_generalized", f"WITH {PUB} SELECT o_orderkey, {QKEY}, round(avg(round(o_totalprice * 100)) OVER (PARTITION BY {MKEY}), 4) AS price FROM pub")
 def microagg_generalized(spark, sf):
-    out = A.microaggregate(published(spark, sf), QID, "o_totalprice", "mean", "price")
+    out = A.microaggregate(cents(published(spark, sf)), QID, "cents", "mean", "price")
     return out.select("o_orderkey", *QID, F.round("price", 4).alias("price"))
 
 

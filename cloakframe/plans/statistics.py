@@ -319,7 +319,7 @@ def rule_report(spark, sf):
     """
     rows = S.k_fold(generalized(spark, sf).select("o_orderkey", *QID, TARGET), FOLDS, ID, SEED)
     counts = materialize(rows.groupBy(*QID, TARGET, "fold").agg(F.count("*").alias("cnt")), "votes")
-    votes = A.train_counts(counts, [*QID, TARGET])
+    votes = A.train_counts(counts, [*QID, TARGET], FOLDS)
     first = lambda name: F.min_by(TARGET, F.struct(-F.col("cnt"), F.col(TARGET))).alias(name)
     said = votes.groupBy("fold", *QID).agg(first("said"), F.sum("cnt").alias("n"))
     usual = votes.groupBy("fold", TARGET).agg(F.sum("cnt").alias("cnt")).groupBy("fold").agg(first("usual"))
