@@ -17,12 +17,14 @@ class Hierarchy:
 
     Either ``exprs`` (one Column function per level above the raw value, so that
     generalizing needs no join at all) or ``table`` (``value``, ``levels`` with
-    ``levels[0] = value``) is given.
+    ``levels[0] = value``) is given. ``leaves``, if given, states how many values a
+    label of each level may stand for, instead of counting the listed ones.
     """
 
     height: int
     exprs: tuple[Callable[[Column], Column], ...] | None = None
     table: DataFrame | None = None
+    leaves: tuple[float, ...] | None = None
 
     @staticmethod
     def functional(*exprs: Callable[[Column], Column]) -> Hierarchy:

@@ -260,22 +260,44 @@ def greedy(
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per group from counts of distinct values.
+    """Exact median per group; NULLs do not count."""
+    return group_quantiles(df, keys, value, [0.5]).select(*keys, F.col("value").alias(name))
 
-    Equal values are merged before the shuffle. Sketch quantiles bracket the middle,
-    so that only distinct values near it are ordered, however large the group.
+
+SMALL_GROUP = 10_000
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles per group as ``(keys, prob, value)``.
+
+    Equal values are merged before the shuffle. In groups of more than
+    ``SMALL_GROUP`` rows a sketch brackets each wanted rank, so that only the
+    distinct values near it (well below a thousandth of the group) are put in order.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    bracket = df.groupBy(*keys).agg(
-        F.percentile_approx(value, [0.49, 0.51], 10000).alias("_b"), F.count(value).alias("_n"))
-    joined = null_safe(counts, bracket, keys)
-    below = joined.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(value) < F.col("_b")[0], F.col("_c"))), F.lit(0)).alias("_below"))
-    near = null_safe(joined.filter(F.col(value).between(F.col("_b")[0], F.col("_b")[1])), below, keys)
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    slack = 3e-4  # the sketch is off by at most 1e-4, a rank is less than 1e-4 here
+    ends = {p: (max(0.0, p - slack), min(1.0, p + slack)) for p in probs}
+    asked = sorted({0.0, 1.0, *(e for pair in ends.values() for e in pair)})
+    sketch = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, asked, 10000).alias("_q"))
+    small = F.col("_n") <= SMALL_GROUP
+    at = lambda e: F.col("_q")[asked.index(e)]
+    brackets = sketch.filter("_n > 0").withColumn("_b", F.explode(F.array(*[
+        F.struct(
+            F.lit(float(p)).alias("prob"),
+            F.when(small, at(0.0)).otherwise(at(low)).alias("lo"),
+            F.when(small, at(1.0)).otherwise(at(high)).alias("hi"))
+        for p, (low, high) in ends.items()
+    ]))).select(*keys, "_n", "_b.*")
+    joined = null_safe(counts, brackets, keys)
+    lower = F.sum(F.when(F.col("_v") < F.col("lo"), F.col("_c")).otherwise(0))
+    below = joined.groupBy(*keys, "prob").agg(lower.alias("_below"))
+    near = null_safe(joined.filter(F.col("_v").between(F.col("lo"), F.col("hi"))), below, [*keys, "prob"])
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.col("prob") * (F.col("_n") - 1)
     placed = near.withColumn("_upto", upto + F.col("_below"))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
-    pick = lambda r: F.min(F.when(F.col("_upto") >= r, F.col(value)))
-    return placed.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias(name))
+    pick = lambda r: F.min(F.when(F.col("_upto") >= r, F.col("_v")))
+    low, high = pick(F.floor(rank) + 1), pick(F.ceil(rank) + 1)
+    return placed.groupBy(*keys, "prob").agg((low + (high - low) * F.max(rank - F.floor(rank))).alias("value"))
 
 
 def group_mode(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode") -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.definition import STAR
-from cloakframe.operators.anonymize import group_median, group_mode
+from cloakframe.operators.anonymize import group_median, group_mode, group_quantiles
 from cloakframe.operators.ranking import null_safe
 
 
@@ -54,7 +54,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, quartiles interpolated."""
     parts = None
     for c in columns:
-        q = quantiles(df.select(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")), ["column"], "x", [0.25, 0.5, 0.75])
+        q = group_quantiles(df.select(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")), ["column"], "x", [0.25, 0.5, 0.75])
         wide = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
         moments = df.agg(
             F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
@@ -64,35 +64,6 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return parts
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles per group as ``(keys, prob, value)``.
-
-    Distinct values are counted before the shuffle. A sketch brackets each wanted
-    rank; only distinct values inside a bracket are put in order.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    slack = 0.01
-    edges = [F.struct(F.lit(float(p)).alias("prob"), F.lit(max(0.0, p - slack)).alias("lo"), F.lit(min(1.0, p + slack)).alias("hi")) for p in probs]
-    asked = sorted({e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))})
-    sketch = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, asked, 10000).alias("_q"))
-    positions = {p: (asked.index(max(0.0, p - slack)), asked.index(min(1.0, p + slack))) for p in probs}
-    brackets = sketch.filter("_n > 0").withColumn("_b", F.explode(F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.col("_q")[positions[p][0]].alias("lo"), F.col("_q")[positions[p][1]].alias("hi"))
-        for p in probs
-    ]))).select(*keys, "_n", "_b.*")
-    joined = null_safe(counts, brackets, keys)
-    lower = F.sum(F.when(F.col("_v") < F.col("lo"), F.col("_c")).otherwise(0))
-    below = joined.groupBy(*keys, "prob").agg(lower.alias("_below"))
-    near = null_safe(joined.filter(F.col("_v").between(F.col("lo"), F.col("hi"))), below, [*keys, "prob"])
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    at = F.col("prob") * (F.col("_n") - 1)
-    placed = near.withColumn("_upto", upto + F.col("_below"))
-    pick = lambda r: F.min(F.when(F.col("_upto") >= r, F.col("_v")))
-    low, high = pick(F.floor(at) + 1), pick(F.ceil(at) + 1)
-    part = F.max(at - F.floor(at))
-    return placed.groupBy(*keys, "prob").agg((low + (high - low) * part).alias("value"))
-
-
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns in one aggregate."""
     pairs = list(itertools.combinations_with_replacement(columns, 2))

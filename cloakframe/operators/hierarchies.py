@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.definition import STAR, Definition, Hierarchy
-from cloakframe.operators.ranking import null_safe
+from cloakframe.operators.ranking import null_safe, ordered_positions
 
 
-def redaction(width: int, right_to_left: bool = True, align_left: bool = True, pad: str = " ", mark: str = STAR) -> Hierarchy:
-    """One more character masked per level; values are padded to ``width``."""
+def redaction(width: int, right_to_left: bool = True, align_left: bool = True, pad: str = " ", mark: str = STAR, alphabet: int | None = None) -> Hierarchy:
+    """One more character masked per level; values are padded to ``width``.
+
+    With the size of the ``alphabet``, ``i`` masked characters stand for
+    ``alphabet^i`` values when loss is measured.
+    """
 
     def level(i: int):
         def apply(c: Column) -> Column:
@@ -30,7 +34,9 @@ def redaction(width: int, right_to_left: bool = True, align_left: bool = True, p
 
         return apply
 
-    return Hierarchy.functional(*[level(i) for i in range(1, width + 1)])
+    exprs = tuple(level(i) for i in range(1, width + 1))
+    sizes = tuple(float(alphabet) ** i for i in range(width + 1)) if alphabet else None
+    return Hierarchy(height=width, exprs=exprs, leaves=sizes)
 
 
 def dates(granularities: Sequence[str]) -> Hierarchy:
@@ -108,7 +114,7 @@ def order_table(df: DataFrame, column: str, fanouts: Sequence[int]) -> DataFrame
     """Distinct values in order, joined in groups of ``fanouts[0]``, those in groups
     of ``fanouts[1]`` and so on; labels show the ends of a group."""
     values = df.select(F.col(column).alias("value")).filter("value is not null").distinct()
-    placed = _in_order(values, "value")
+    placed = ordered_positions(values, ["value"])
     size, levels = 1, [F.col("value").cast("string")]
     for i, fanout in enumerate(fanouts):
         size *= fanout
@@ -120,36 +126,6 @@ def order_table(df: DataFrame, column: str, fanouts: Sequence[int]) -> DataFrame
     return placed.select(F.col("value").cast("string").alias("value"), F.array(*levels, F.lit(STAR)).alias("levels"))
 
 
-def _in_order(values: DataFrame, column: str) -> DataFrame:
-    """Global position of each distinct value without a single-task sort.
-
-    Values fall into buckets that respect their order (equal steps between the least
-    and the greatest number or date, leading characters of text); positions are
-    counted per bucket and offset by the lower buckets.
-    """
-    kind = values.schema[column].dataType.simpleString()
-    if kind == "string":
-        bucket = F.substring(column, 1, 3)
-    else:
-        as_number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double") if kind == "date" else c.cast("double")
-        ends = values.agg(F.struct(F.min(as_number(F.col(column))).alias("lo"), F.max(as_number(F.col(column))).alias("hi")).alias("e")).scalar()
-        step = F.greatest(ends["hi"] - ends["lo"], F.lit(1e-300)) / 1024
-        bucket = F.floor((as_number(F.col(column)) - ends["lo"]) / step)
-    marked = values.withColumn("_part", bucket)
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        marked.groupBy("_part")
-        .agg(F.count("*").alias("_c"))
-        .select("_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
-    )
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(column))
-    return (
-        null_safe(marked.withColumn("_rn", inside), before, ["_part"])
-        .withColumn("_rank", F.col("_rn") + F.col("_before"))
-        .drop("_part", "_rn", "_before")
-    )
-
-
 def priority_table(values: DataFrame, column: str, priority: str, max_levels: int) -> DataFrame:
     """Values by priority: level ``i`` masks the lowest ``i/(max_levels-1)`` of them.
 
@@ -158,8 +134,7 @@ def priority_table(values: DataFrame, column: str, priority: str, max_levels: in
     steps = max_levels - 1
     distinct = values.groupBy(F.col(column).cast("string").alias("value")).agg(F.max(priority).alias("_p"))
     total = distinct.agg(F.count("*").alias("c")).scalar()
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("_p").asc(), F.col("value").asc())
-    placed = distinct.withColumn("_r", F.row_number().over(w)).withColumn("_c", total)
+    placed = ordered_positions(distinct, ["_p", "value"], "_r").withColumn("_c", total)
     levels = [F.col("value")]
     for i in range(1, steps + 1):
         hidden = F.col("_r") <= F.ceil(F.col("_c") * F.lit(i) / F.lit(steps))

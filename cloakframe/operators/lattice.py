@@ -73,6 +73,12 @@ def level_tables(base: DataFrame, definition: Definition, bits: bool = False) ->
     long = used.select("attribute", F.col("value").alias("raw"), F.posexplode("levels").alias("level", "label"))
     long = null_safe(null_safe(long, leaves, ["attribute", "level", "label"], "left"), domains, ["attribute"])
     long = long.withColumn("leaves", F.coalesce("leaves", "domain"))
+    for q in definition.qid:
+        stated = definition.hierarchy(q).leaves
+        if stated:
+            mine, sizes = F.col("attribute") == q, F.array(*[F.lit(x) for x in stated])
+            long = long.withColumn("leaves", F.when(mine, sizes[F.col("level")]).otherwise(F.col("leaves")))
+            long = long.withColumn("domain", F.when(mine, F.lit(stated[-1])).otherwise(F.col("domain")))
     if not bits:
         return long
     counts = functools.reduce(DataFrame.unionByName, [

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.definition import STAR
 from cloakframe.functions.text import range_midpoint
-from cloakframe.operators.hierarchies import _in_order
-from cloakframe.operators.ranking import null_safe
+from cloakframe.operators.ranking import ordered_positions
 
 # ------------------------------------------------------------------ preparation
 
@@ -52,7 +51,8 @@ def ranges_to_midpoints(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def ordinal_encode(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Position of each value among the sorted values of ``train``; unknown ones are -1."""
     for c in columns:
-        values = _in_order(train.select(F.col(c).cast("string").alias("_v")).filter("_v is not null").distinct(), "_v")
+        values = train.select(F.col(c).cast("string").alias("_v")).filter("_v is not null").distinct()
+        values = ordered_positions(values, ["_v"])
         lookup = values.select(F.col("_v").alias(f"_v_{c}"), (F.col("_rank") - 1).cast("int").alias(f"_c_{c}"))
         joined = df.join(lookup, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
         df = joined.withColumn(c, F.coalesce(f"_c_{c}", F.lit(-1))).drop(f"_v_{c}", f"_c_{c}")
@@ -197,6 +197,6 @@ def load_experiment(path: str, report_schema: str) -> tuple[PipelineModel, DataF
 
 
 __all__ = [
-    "classification_report", "eliminate_features", "evaluate", "fit_predict", "majority", "null_safe", "one_hot",
+    "classification_report", "eliminate_features", "evaluate", "fit_predict", "majority", "one_hot",
     "ordinal_encode", "ranges_to_midpoints", "standard_scale", "starred_to_number",
 ]

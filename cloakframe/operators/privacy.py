@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.definition import Hierarchy
 from cloakframe.operators.ranking import null_safe
+from cloakframe.session import materialize
 
 EPS = 1e-9  # tolerance for comparisons of accumulated floating point sums
 
@@ -323,4 +324,6 @@ def check(df: DataFrame, keys: Sequence[str], models: Sequence[Model]) -> DataFr
     columns = sorted({c for m in models for c in m.columns})
     keep = [c for c in ("info_loss",) if c in df.columns]
     counted = df.groupBy(*keys, *columns, *keep).agg(F.count("*").alias("cnt"))
+    if len(columns) > 1:
+        counted = materialize(counted, "counted")  # read by every measure, the rows once
     return class_verdicts(counted, keys, models)

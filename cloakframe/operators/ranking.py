@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.hashing import uniform
+from cloakframe.session import materialize
 
 ROWS_PER_TASK = 2_000_000
 _ALL = "_all"
@@ -101,6 +102,32 @@ def ranked(
     return out.drop("_h", "_n", "_part", "_rn", "_before", _ALL)
 
 
+def ordered_positions(values: DataFrame, order: Sequence[str], rank: str = "_rank", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Global position of distinct values in their own order, from 1.
+
+    Too many values for one task are split at values sampled by hash; the bounds
+    (20 per part, so at most 20 N / rows_per_task) are all the driver ever holds.
+    """
+    values = materialize(values, "values")
+    n = values.count()
+    key = F.struct(*order)
+    if n <= rows_per_task:
+        return values.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    parts = -(-n // rows_per_task)
+    share = min(1.0, 20.0 * parts / n)
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]))
+    picked = values.filter(uniform(h) < share).orderBy(*order).select(key.alias("k"))
+    position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k"))
+    bounds = picked.withColumn("_p", position).filter("_p % 20 = 0").agg(F.sort_array(F.collect_list("k")).alias("b")).scalar()
+    marked = values.withColumn("_b", bounds).withColumn("_k", key)
+    marked = marked.withColumn("_part", F.size(F.filter("_b", lambda b: b < F.col("_k")))).drop("_b")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_k"))
+    placed = null_safe(marked.withColumn("_rn", inside), before, ["_part"])
+    return placed.withColumn(rank, F.col("_rn") + F.col("_before")).drop("_k", "_part", "_rn", "_before")
+
+
 def hash_cuts(df: DataFrame, keys: Sequence[str], quotas: DataFrame, order: Sequence[str], hash_col: Column) -> DataFrame:
     """The hash of the ``quota``-th row of every group, without sorting the groups.
 

@@ -204,6 +204,26 @@ def scores_payout(spark, sf):
     return rounded(scored, ["loss"], 3)
 
 
+WEIGHTED = lattice_sql().replace("/ (nd - 1) +", "/ (nd - 1) * 2 +").replace("/ (dd - 1)) / 3 AS cell", "/ (dd - 1) * 3) / 6 AS cell")
+
+
+@register("lattice_weighted", f"WITH {WEIGHTED} SELECT {SCORE}, suppressed <= 0.05 * rows AS valid FROM scored")
+def lattice_weighted(spark, sf):
+    d = definition(spark, sf, weights={"n_name": 2.0, "o_orderdate": 3.0})
+    return rounded(L.scores(people(spark, sf), d, [P.KAnonymity(10)], suppression=0.05), ["loss"])
+
+
+@register("lattice_alphabet", """WITH c AS (SELECT c_mktsegment, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code FROM customer),
+  cls AS (SELECT a, b, CASE WHEN a = 1 THEN '*' ELSE c_mktsegment END AS g1, substr(code, 1, 6 - CAST(b AS INTEGER)) AS g2, count(*) AS n FROM c, range(2) t(a), range(7) u(b) GROUP BY ALL),
+  sc AS (SELECT a, b, sum(n) AS rows, coalesce(sum(n) FILTER (n < 3), 0) AS suppressed, count(*) FILTER (n >= 3) AS classes, sum(n * CASE WHEN n >= 3 THEN (a + (pow(10e0, b) - 1) / 999999) / 2 ELSE 1 END) / sum(n) AS loss FROM cls GROUP BY a, b)
+  SELECT a || ',' || b AS node, CAST(a + b AS INTEGER) AS level, CAST(rows AS BIGINT) AS rows, CAST(suppressed AS BIGINT) AS suppressed, classes, round(loss, 6) AS loss, suppressed <= 0.5 * rows AS valid FROM sc""")
+def lattice_alphabet(spark, sf):
+    """Customer codes masked digit by digit, where each digit stands for ten."""
+    d = definition(spark, sf, qid=("c_mktsegment", "code"), hierarchies={"code": H.redaction(6, alphabet=10)})
+    rows = table(spark, sf, "customer").withColumn("code", F.lpad(F.col("c_custkey").cast("string"), 6, "0"))
+    return rounded(L.scores(rows, d, [P.KAnonymity(3)], suppression=0.5), ["loss"])
+
+
 @register("node_output", f"WITH {PEOPLE} SELECT 'bottom' AS node, o_orderkey, n_name, c_mktsegment, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM people UNION ALL SELECT 'chosen', o_orderkey, r_name, c_mktsegment, strftime(o_orderdate, '%Y-%m') FROM people UNION ALL SELECT 'top', o_orderkey, '*', '*', '*' FROM people")
 def node_output(spark, sf):
     """The table at the bottom, the top and one chosen node of the lattice."""
@@ -450,11 +470,15 @@ def dp_independent(spark, sf):
     return DP.publish_dp(people(spark, sf), d, DP.medium_node(d), 1.0, 1e-4, ID, SEED).select("o_orderkey", *QID)
 
 
-@register("dp_dependent")
+DP_SQL = lattice_sql(model="n >= 47").replace("FROM people),\n  dl AS", "FROM people WHERE CAST('0x' || substr(md5('7|' || o_orderkey), 1, 8) AS BIGINT) / 4294967296e0 < 1 - exp(-1e0)),\n  dl AS")
+
+
+@register("dp_dependent", f"""WITH {DP_SQL}, u AS (SELECT *, greatest(CAST('0x' || substr(md5('7|node|' || node), 1, 8) AS BIGINT) / 4294967296e0, 1e-12) AS u FROM scored)
+  SELECT node, CAST(level AS INTEGER) AS level, rows, suppressed, classes, round(loss, 6) AS loss FROM u ORDER BY 0.1e0 / 94 * (1 - u.loss) * rows - ln(-ln(u)) DESC, node DESC LIMIT 1""")
 def dp_dependent(spark, sf):
     """The node is drawn by the exponential mechanism."""
     chosen = DP.choose_node(people(spark, sf), definition(spark, sf), 1.1, 1e-4, 0.1, ID, SEED)
-    return chosen.select("node", "level", "rows", "suppressed", "classes", "loss")
+    return rounded(chosen.select("node", "level", "rows", "suppressed", "classes", "loss"), ["loss"])
 
 
 # ------------------------------------------------------------- microaggregation

@@ -288,7 +288,7 @@ def max_certainty_excess(spark, sf):
   SELECT strat, b, unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS prob, round(unnest(quantile_cont(certainty, [0.0, 0.25, 0.5, 0.75, 1.0])), 9) AS value FROM x GROUP BY strat, b""")
 def metric_quantiles(spark, sf):
     rows = metric_classes(spark, sf).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("s"))))
-    return rounded(D.quantiles(rows, ["strat", "b"], "certainty", [0.0, 0.25, 0.5, 0.75, 1.0]), ["value"], 9)
+    return rounded(A.group_quantiles(rows, ["strat", "b"], "certainty", [0.0, 0.25, 0.5, 0.75, 1.0]), ["value"], 9)
 
 
 # ---------------------------------------------------- reports of a class majority
