@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from cloakframe.operators.ranking import null_safe
 from cloakframe.session import materialize
 
 MAX_NODES_PER_JOB = 4096
+MAX_VARYING = 6  # beyond, nodes share too little to be expanded together
 
 
 def node_name(levels: Sequence[int]) -> str:
@@ -116,12 +118,22 @@ class Prepared:
     base: DataFrame
     levels: DataFrame
     bits: bool
+    domains: dict[str, float]
+    tops: dict[str, str]  # label of attributes whose values are all listed and end in one
 
 
 def prepare(df: DataFrame, definition: Definition, extra: Sequence[str] = (), bits: bool = False) -> Prepared:
     """One pass over the rows for the distinct tuples, then one over those for all levels."""
     base = base_table(df, definition, extra)
-    return Prepared(base, materialize(level_tables(base, definition, bits), "levels"), bits)
+    levels = materialize(level_tables(base, definition, bits), "levels")
+    heights = F.create_map(*[x for q, h in zip(definition.qid, definition.heights) for x in (F.lit(q), F.lit(h))])
+    top = F.when(F.col("level") == heights[F.col("attribute")], F.coalesce("label", F.lit("")))
+    unlisted = F.count_if((F.col("level") == 0) & F.col("label").isNull() & F.col("raw").isNotNull())
+    facts = levels.groupBy("attribute").agg(
+        F.max("domain").cast("double").alias("domain"), F.min(top).alias("low"), F.max(top).alias("high"), unlisted.alias("unlisted"))
+    rows = facts.collect()  # one line per quasi-identifier
+    tops = {r["attribute"]: r["low"] for r in rows if r["low"] == r["high"] and not r["unlisted"]}
+    return Prepared(base, levels, bits, {r["attribute"]: r["domain"] for r in rows}, tops)
 
 
 def expanded(
@@ -132,7 +144,8 @@ def expanded(
     Attributes are generalized one after the other, merging equal tuples in between,
     so a high level is reached from the few tuples of the level table below it rather
     than from all raw tuples: the rows expanded are about the sum, not the product,
-    of the levels.
+    of the levels. Attributes all nodes leave raw or hide altogether need no lookup,
+    so of many columns only those in between cost a join.
     """
     qid, base, bits = definition.qid, prepared.base, prepared.bits
     total = sum(definition.weight(q) for q in qid)
@@ -140,8 +153,20 @@ def expanded(
     figures = {"cell_loss": F.max, "info_loss": F.max, "info_most": F.max}
     if bits:
         figures.update(bits=F.sum, most=F.sum)
-    at = base.select(*qid, *keep, "cnt", *[zero.alias(c) for c in figures])
-    order = sorted(range(len(qid)), key=lambda i: -definition.heights[i])
+    pinned = {i: chosen[0][i] for i in range(len(qid)) if not bits and qid[i] in prepared.tops and len({n[i] for n in chosen}) == 1}
+    hidden = [i for i, level in pinned.items() if level == definition.heights[i]]
+    raw = [i for i, level in pinned.items() if level == 0 and i not in hidden]
+    sizes = prepared.domains
+    start = {
+        "cell_loss": sum(definition.weight(qid[i]) / total for i in hidden if sizes[qid[i]] > 1),
+        "info_loss": sum(math.log(sizes[qid[i]]) for i in hidden),
+        "info_most": sum(math.log(sizes[qid[i]]) for i in [*hidden, *raw]),
+    }
+    shown = [q for i, q in enumerate(qid) if i not in hidden]
+    at = base.select(*shown, *keep, "cnt", *[F.lit(float(start.get(c, 0.0))).alias(c) for c in figures])
+    order = sorted((i for i in range(len(qid)) if i not in hidden and i not in raw), key=lambda i: -definition.heights[i])
+    if not order:
+        at = at.groupBy(*shown, *keep).agg(F.sum("cnt").alias("cnt"), *[f(c).alias(c) for c, f in figures.items()])
     for done, i in enumerate(order):
         q, w = qid[i], definition.weight(qid[i]) / total
         lookup = prepared.levels.filter(F.col("attribute") == q).select(
@@ -165,11 +190,13 @@ def expanded(
         if bits:
             scale = F.lit(w * len(qid)) * F.col("cnt")
             grown.update(bits=F.col("bits") + scale * F.col("_b"), most=F.col("most") + scale * F.col("_m"))
-        keys = [*[x for j in so_far for x in (f"l_{qid[j]}", f"g_{qid[j]}")], *[qid[j] for j in order[done + 1:]], *keep]
+        keys = [*[x for j in so_far for x in (f"l_{qid[j]}", f"g_{qid[j]}")], *[qid[j] for j in [*order[done + 1:], *raw]], *keep]
         at = at.groupBy(*keys).agg(F.sum("cnt").alias("cnt"), *[f(grown[c]).alias(c) for c, f in figures.items()])
+    level = lambda i: F.lit(str(pinned[i])) if i in hidden or i in raw else F.col(f"l_{qid[i]}").cast("string")
+    label = lambda i: F.lit(prepared.tops[qid[i]]) if i in hidden else F.col(qid[i]).cast("string") if i in raw else F.col(f"g_{qid[i]}")
     return at.select(
-        F.concat_ws(",", *[F.col(f"l_{q}").cast("string") for q in qid]).alias("node"),
-        *[f"g_{q}" for q in qid], *keep, "cnt", "cell_loss",
+        F.concat_ws(",", *[level(i) for i in range(len(qid))]).alias("node"),
+        *[label(i).alias(f"g_{q}") for i, q in enumerate(qid)], *keep, "cnt", "cell_loss",
         F.when(F.col("info_most") > 0, F.col("info_loss") / F.col("info_most")).otherwise(zero).alias("info_loss"),
         *(["bits", "most"] if bits else []),
     )
@@ -208,11 +235,13 @@ def scores(
     chosen = nodes(definition) if chosen is None else list(chosen)
     extra = search_columns(definition, models, quality)
     prepared = prepared or prepare(df, definition, extra, quality.kind == "entropy")
-    out = None
-    for start in range(0, len(chosen), MAX_NODES_PER_JOB):
-        part = _score_batch(prepared, definition, models, quality, suppression, chosen[start:start + MAX_NODES_PER_JOB], extra)
-        out = part if out is None else out.unionByName(part)
-    return out
+    varying = sum(len({n[i] for n in chosen}) > 1 for i in range(len(definition.qid)))
+    batch = 1 if varying > MAX_VARYING else MAX_NODES_PER_JOB
+    parts = [
+        _score_batch(prepared, definition, models, quality, suppression, chosen[i:i + batch], extra)
+        for i in range(0, len(chosen), batch)
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _score_batch(prepared, definition, models, quality, suppression, chosen, extra):

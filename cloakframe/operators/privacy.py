@@ -56,7 +56,7 @@ class _Sensitive(Model):
         return (self.attribute,)
 
     def pairs(self, counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return counted.groupBy(*keys, self.attribute).agg(F.sum("cnt").alias("c"))
+        return counted.groupBy(*keys, self.attribute).agg(F.sum("cnt").alias("_pc"))
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ class EntropyLDiversity(_Sensitive):
     l: float
 
     def measure(self, counted, keys):
-        c = F.col("c").cast("double")
+        c = F.col("_pc").cast("double")
         total = F.sum(c)
         entropy = F.log(total) - F.sum(c * F.log(c)) / total
         return self.pairs(counted, keys).groupBy(*keys).agg(entropy.alias("value"))
@@ -90,10 +90,10 @@ class RecursiveCLDiversity(_Sensitive):
     l: int
 
     def measure(self, counted, keys):
-        w = Window.partitionBy(*keys).orderBy(F.col("c").desc(), F.col(self.attribute))
-        sorted_counts = self.pairs(counted, keys).withColumn("r", F.row_number().over(w))
-        first = F.max(F.when(F.col("r") == 1, F.col("c")))
-        tail = F.coalesce(F.sum(F.when(F.col("r") >= self.l, F.col("c"))), F.lit(0))
+        w = Window.partitionBy(*keys).orderBy(F.col("_pc").desc(), F.col(self.attribute))
+        sorted_counts = self.pairs(counted, keys).withColumn("_r", F.row_number().over(w))
+        first = F.max(F.when(F.col("_r") == 1, F.col("_pc")))
+        tail = F.coalesce(F.sum(F.when(F.col("_r") >= self.l, F.col("_pc"))), F.lit(0))
         # positive while c times the tail outweighs the commonest value
         return sorted_counts.groupBy(*keys).agg((F.lit(float(self.c)) * tail - first).alias("value"))
 
@@ -106,24 +106,24 @@ class OrderedTCloseness(_Sensitive):
     t: float
 
     def measure(self, counted, keys):
-        total = counted.groupBy(self.attribute).agg(F.sum("cnt").alias("q"))
+        total = counted.groupBy(self.attribute).agg(F.sum("cnt").alias("_q"))
         # One entry per value of the sensitive attribute, whatever the row count.
-        spread = total.agg(F.sort_array(F.collect_list(F.struct(F.col(self.attribute).alias("v"), F.col("q")))).alias("d"),
-                           F.sum("q").alias("t"))
+        spread = total.agg(F.sort_array(F.collect_list(F.struct(F.col(self.attribute).alias("v"), F.col("_q").alias("q")))).alias("d"),
+                           F.sum("_q").alias("t"))
         dist = spread.select(F.struct("d", "t").alias("s")).scalar()
         per_class = self.pairs(counted, keys).groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col(self.attribute).alias("v"), F.col("c")))).alias("m"),
-            F.sum("c").alias("n"),
-        ).withColumn("s", dist)
+            F.map_from_entries(F.collect_list(F.struct(F.col(self.attribute).alias("v"), F.col("_pc")))).alias("_m"),
+            F.sum("_pc").alias("_n"),
+        ).withColumn("_s", dist)
         zero = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
 
         def step(acc, x):
-            p = F.coalesce(F.col("m")[x["v"]], F.lit(0)) / F.col("n")
-            run = acc["run"] + p - x["q"] / F.col("s.t")
+            p = F.coalesce(F.col("_m")[x["v"]], F.lit(0)) / F.col("_n")
+            run = acc["run"] + p - x["q"] / F.col("_s.t")
             return F.struct(run.alias("run"), (acc["sum"] + F.abs(run)).alias("sum"))
 
-        walked = F.aggregate("s.d", zero, step, lambda acc: acc["sum"])
-        distance = F.when(F.size("s.d") > 1, walked / (F.size("s.d") - 1)).otherwise(F.lit(0.0))
+        walked = F.aggregate("_s.d", zero, step, lambda acc: acc["sum"])
+        distance = F.when(F.size("_s.d") > 1, walked / (F.size("_s.d") - 1)).otherwise(F.lit(0.0))
         return per_class.select(*keys, distance.alias("value"))
 
     def verdict(self, n, value):
@@ -146,26 +146,26 @@ class HierarchicalTCloseness(_Sensitive):
         table = self.hierarchy.materialize(counted, self.attribute)
         lookup = table.select(F.col("value").alias("_v"), F.col("levels").alias("_lv"))
         paths = self.pairs(counted, keys).join(lookup, F.col(self.attribute).cast("string") == F.col("_v"), "left")
-        every = counted.groupBy(self.attribute).agg(F.sum("cnt").alias("q")).join(
+        every = counted.groupBy(self.attribute).agg(F.sum("cnt").alias("_q")).join(
             lookup, F.col(self.attribute).cast("string") == F.col("_v"), "left")
-        grand = every.agg(F.sum("q").alias("g")).scalar()
-        sizes = paths.groupBy(*keys).agg(F.sum("c").alias("_n"))
+        grand = every.agg(F.sum("_q").alias("g")).scalar()
+        sizes = paths.groupBy(*keys).agg(F.sum("_pc").alias("_n"))
         zero = F.lit(0.0)
         moved = None
         for h in range(1, height + 1):
-            expect_c = every.groupBy(F.col("_lv")[h - 1].alias("child")).agg(F.sum("q").alias("q_child"))
-            expect_p = every.groupBy(F.col("_lv")[h].alias("parent")).agg((F.sum("q") / grand).alias("q_parent"))
-            touched = paths.groupBy(*keys, F.col("_lv")[h - 1].alias("child"), F.col("_lv")[h].alias("parent")).agg(F.sum("c").alias("p"))
+            expect_c = every.groupBy(F.col("_lv")[h - 1].alias("_child")).agg(F.sum("_q").alias("_q_child"))
+            expect_p = every.groupBy(F.col("_lv")[h].alias("_parent")).agg((F.sum("_q") / grand).alias("_q_parent"))
+            touched = paths.groupBy(*keys, F.col("_lv")[h - 1].alias("_child"), F.col("_lv")[h].alias("_parent")).agg(F.sum("_pc").alias("_p"))
             sized = null_safe(touched, sizes, keys)
-            joined = null_safe(sized, expect_c, ["child"])
-            extra = F.col("p") / F.col("_n") - F.col("q_child") / grand
-            inner = joined.groupBy(*keys, "parent").agg(
-                F.sum(F.greatest(extra, zero)).alias("surplus"), (F.sum("p") / F.max("_n")).alias("p_parent"))
-            inner = null_safe(inner, expect_p, ["parent"])
-            lack = F.col("surplus") - (F.col("p_parent") - F.col("q_parent"))
-            part = inner.select(*keys, (F.least(F.col("surplus"), F.greatest(lack, zero)) * F.lit(h / height)).alias("cost"))
+            joined = null_safe(sized, expect_c, ["_child"])
+            extra = F.col("_p") / F.col("_n") - F.col("_q_child") / grand
+            inner = joined.groupBy(*keys, "_parent").agg(
+                F.sum(F.greatest(extra, zero)).alias("_surplus"), (F.sum("_p") / F.max("_n")).alias("_p_parent"))
+            inner = null_safe(inner, expect_p, ["_parent"])
+            lack = F.col("_surplus") - (F.col("_p_parent") - F.col("_q_parent"))
+            part = inner.select(*keys, (F.least(F.col("_surplus"), F.greatest(lack, zero)) * F.lit(h / height)).alias("_cost"))
             moved = part if moved is None else moved.unionByName(part)
-        return moved.groupBy(*keys).agg(F.sum("cost").alias("value"))
+        return moved.groupBy(*keys).agg(F.sum("_cost").alias("value"))
 
     def verdict(self, n, value):
         return value <= F.lit(self.t + EPS)
