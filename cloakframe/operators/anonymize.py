@@ -267,19 +267,27 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 SMALL_GROUP = 10_000
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
     """Exact interpolated quantiles per group as ``(keys, prob, value)``.
 
     Equal values are merged before the shuffle. In groups of more than
     ``SMALL_GROUP`` rows a sketch brackets each wanted rank, so that only the
     distinct values near it (well below a thousandth of the group) are put in order.
+    With a ``weight`` each line stands for that many rows; the distinct values of a
+    group are then ordered in one task, so they should be few, as ratios of sizes are.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    size = F.sum(weight) if weight else F.count("*")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(size.alias("_c"))
     slack = 3e-4  # the sketch is off by at most 1e-4, a rank is less than 1e-4 here
     ends = {p: (max(0.0, p - slack), min(1.0, p + slack)) for p in probs}
     asked = sorted({0.0, 1.0, *(e for pair in ends.values() for e in pair)})
-    sketch = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, asked, 10000).alias("_q"))
-    small = F.col("_n") <= SMALL_GROUP
+    if weight:
+        ends_only = F.array(*[F.min("_v") if e < 1.0 else F.max("_v") for e in asked])
+        sketch = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), ends_only.alias("_q"))
+        small = F.lit(True)
+    else:
+        sketch = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, asked, 10000).alias("_q"))
+        small = F.col("_n") <= SMALL_GROUP
     at = lambda e: F.col("_q")[asked.index(e)]
     brackets = sketch.filter("_n > 0").withColumn("_b", F.explode(F.array(*[
         F.struct(

@@ -77,7 +77,8 @@ def ranked(
         return out.drop("_h", _ALL)
 
     parts = F.ceil(F.col("_n") / F.lit(rows_per_task))
-    sized = null_safe(df, sizes, keys).withColumn(
+    sized = df.withColumn("_n", sizes.select("_n").scalar()) if keys == [_ALL] else null_safe(df, sizes, keys)
+    sized = sized.withColumn(
         "_part", F.floor(uniform(F.col("_h")) * parts).cast("bigint")
     )
     # Only groups of several parts have offsets: at most 2N / rows_per_task rows.
@@ -139,16 +140,22 @@ def hash_cuts(df: DataFrame, keys: Sequence[str], quotas: DataFrame, order: Sequ
     source = df.select(*keys, *[c for c in order if c not in keys], hash_col.alias("_h")).withColumn(
         "_bucket", F.substring("_h", 1, 4)
     )
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
+    by_bucket = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
     histogram = (
         source.groupBy(*keys, "_bucket")
         .agg(F.count("*").alias("_c"))
         .withColumn("_upto", F.sum("_c").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_before", F.col("_upto") - F.col("_c"))
     )
+    if keys:
+        asked = null_safe(histogram, quotas, keys)
+    else:  # a handful of ranks of the whole table: no join
+        few = quotas.agg(F.collect_list(F.struct("slot", "quota")).alias("q")).scalar()
+        inside = lambda q: (F.col("_before") < q["quota"]) & (q["quota"] <= F.col("_upto"))
+        asked = histogram.withColumn("_q", few).withColumn("_q", F.explode(F.filter("_q", inside)))
+        asked = asked.select("*", "_q.slot", "_q.quota")
     edge = (
-        null_safe(histogram, quotas, keys)
-        .filter((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_upto")))
+        asked.filter((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_upto")))
         .select(*keys, "_bucket", "slot", (F.col("quota") - F.col("_before")).alias("_need"))
     )
     inside = Window.partitionBy(*keys, "_bucket", "slot").orderBy("_h", *order)
@@ -168,8 +175,7 @@ def first_of_each(df: DataFrame, keys: Sequence[str], quotas: DataFrame, order:
     """
     keys = list(keys)
     if not keys:
-        keyed = df.withColumn(_ALL, F.lit(0))
-        cuts = hash_cuts(keyed, [_ALL], quotas.withColumn(_ALL, F.lit(0)).withColumn("slot", F.lit(0)), order, hash_col)
+        cuts = hash_cuts(df, [], quotas.withColumn("slot", F.lit(0)), order, hash_col)
         return df.filter(hash_col <= cuts.agg(F.max("cut").alias("cut")).scalar())
     cuts = hash_cuts(df, keys, quotas.withColumn("slot", F.lit(0)), order, hash_col).drop("slot")
     return null_safe(df, cuts, keys).filter(hash_col <= F.col("cut")).drop("cut")
@@ -177,7 +183,7 @@ def first_of_each(df: DataFrame, keys: Sequence[str], quotas: DataFrame, order:
 
 def with_cut_position(df: DataFrame, name: str, quotas: DataFrame, order: Sequence[str], hash_col: Column) -> DataFrame:
     """Adds how many of the wanted ranks lie before a row; a map-side comparison."""
-    cuts = hash_cuts(df.withColumn(_ALL, F.lit(0)), [_ALL], quotas.withColumn(_ALL, F.lit(0)), order, hash_col)
+    cuts = hash_cuts(df, [], quotas, order, hash_col)
     array = cuts.agg(F.sort_array(F.collect_list("cut")).alias("cuts")).scalar()
     marked = df.withColumn("_cuts", array).withColumn("_h", hash_col)
     return marked.withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col("_h")))).drop("_cuts", "_h")

@@ -120,19 +120,19 @@ def stratified_sizes(
     classes that tie for the last rows are taken in hash order.
     """
     cells, items = list(cells), list(items)
-    keyed = cells
-    if not cells:
-        keyed = ["_cell"]
-        classes, quotas = classes.withColumn("_cell", F.lit(0)), quotas.withColumn("_cell", F.lit(0))
-    hist = null_safe(
-        classes.groupBy(*keyed, "n").agg(F.count("*").alias("classes")), quotas, keyed
-    )
-    fields = ", ".join(f"`{k}` {classes.schema[k].dataType.simpleString()}" for k in keyed)
-    settled = hist.groupBy(*keyed).applyInPandas(
-        lambda pdf: _settle(pdf, keyed), f"{fields}, ratio double, ties bigint"
+    hist = classes.groupBy(*cells, "n").agg(F.count("*").alias("classes"))
+    hist = null_safe(hist, quotas, cells) if cells else hist.withColumn("quota", quotas.select("quota").scalar())
+    fields = "".join(f"`{k}` {classes.schema[k].dataType.simpleString()}, " for k in cells)
+    settled = hist.groupBy(*cells).applyInPandas(
+        lambda pdf: _settle(pdf, cells), f"{fields}ratio double, ties bigint"
     )
     # The classes with their cell's ratio are read several times below.
-    joined = materialize(null_safe(classes, settled, keyed), "classes")
+    if cells:
+        joined = null_safe(classes, settled, cells)
+    else:
+        joined = classes.withColumn("_s", settled.select(F.struct("ratio", "ties").alias("s")).scalar())
+        joined = joined.select(*classes.columns, "_s.ratio", "_s.ties")
+    joined = materialize(joined, "classes")
     n, ratio = F.col("n").cast("double"), F.col("ratio")
     guess = F.floor(n * ratio).cast("double")
     up = F.when((guess + 1) / n <= ratio, guess + 1).otherwise(guess)
@@ -141,19 +141,19 @@ def stratified_sizes(
         "_tied", (F.col("_full") > 0) & (F.col("_full") / n == ratio)
     )
     tied = ranked(
-        sized.filter("_tied").select(*keyed, *items, "ties"),
-        keyed,
+        sized.filter("_tied").select(*cells, *items, "ties"),
+        cells,
         items,
         order_hash(seed, [*cells, *items]),
         rank="_tie_rank",
         rows_per_task=rows_per_task,
     )
-    last = tied.filter(F.col("_tie_rank") <= F.col("ties")).select(*keyed, *items, F.lit(1).alias("_win"))
-    out = null_safe(sized, last, [*keyed, *items], "left").withColumn(
+    last = tied.filter(F.col("_tie_rank") <= F.col("ties")).select(*cells, *items, F.lit(1).alias("_win"))
+    out = null_safe(sized, last, [*cells, *items], "left").withColumn(
         "s",
         (F.col("_full") - F.when(F.col("_tied"), 1).otherwise(0) + F.coalesce("_win", F.lit(0))).cast("bigint"),
     )
-    return out.drop("ratio", "ties", "_full", "_tied", "_win", "_cell")
+    return out.drop("ratio", "ties", "_full", "_tied", "_win")
 
 
 def take_sizes(df: DataFrame, keys: Sequence[str], sizes: DataFrame, ids: Sequence[str], seed: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

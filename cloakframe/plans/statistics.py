@@ -287,8 +287,9 @@ def max_certainty_excess(spark, sf):
 @register("metric_quantiles", f"""WITH {METRICS}, x AS (SELECT strat, b, certainty, unnest(range(s)) FROM metric)
   SELECT strat, b, unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS prob, round(unnest(quantile_cont(certainty, [0.0, 0.25, 0.5, 0.75, 1.0])), 9) AS value FROM x GROUP BY strat, b""")
 def metric_quantiles(spark, sf):
-    rows = metric_classes(spark, sf).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("s"))))
-    return rounded(A.group_quantiles(rows, ["strat", "b"], "certainty", [0.0, 0.25, 0.5, 0.75, 1.0]), ["value"], 9)
+    figures = materialize(metric_classes(spark, sf), "figures")
+    out = A.group_quantiles(figures, ["strat", "b"], "certainty", [0.0, 0.25, 0.5, 0.75, 1.0], "s")
+    return rounded(out, ["value"], 9)
 
 
 # ---------------------------------------------------- reports of a class majority
