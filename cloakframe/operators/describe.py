@@ -27,41 +27,39 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n").alias("t")).scalar())
 
 
+def long_format(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, x)``: all numeric columns below each other, read in one scan."""
+    lines = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]
+    return df.select(F.explode(F.array(*lines)).alias("_r")).select("_r.*")
+
+
 def summary_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One line per numeric column.
 
     Moments come from one pass; mode and median from counts of distinct values.
     """
-    parts = None
-    for c in columns:
-        x = F.col("x")
-        values = df.select(F.col(c).cast("double").alias("x"), F.lit(c).alias("column"))
-        moments = values.groupBy("column").agg(
-            F.count(x).alias("n"), F.count_if(x.isNull()).alias("nulls"),
-            F.min(x).alias("min"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"),
-            F.avg(x).alias("mean"), F.exp(F.avg(F.when(x > 0, F.log(x)))).alias("geometric_mean"),
-            F.var_samp(x).alias("sample_variance"), F.var_pop(x).alias("population_variance"),
-            F.stddev_samp(x).alias("std"), F.kurtosis(x).alias("kurtosis"),
-        )
-        median = group_median(values, ["column"], "x")
-        mode = group_mode(values, ["column"], "x")
-        one = null_safe(null_safe(moments, median, ["column"], "left"), mode, ["column"], "left")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    x, values = F.col("x"), long_format(df, columns)
+    moments = values.groupBy("column").agg(
+        F.count(x).alias("n"), F.count_if(x.isNull()).alias("nulls"),
+        F.min(x).alias("min"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"),
+        F.avg(x).alias("mean"), F.exp(F.avg(F.when(x > 0, F.log(x)))).alias("geometric_mean"),
+        F.var_samp(x).alias("sample_variance"), F.var_pop(x).alias("population_variance"),
+        F.stddev_samp(x).alias("std"), F.kurtosis(x).alias("kurtosis"),
+    )
+    median = group_median(values, ["column"], "x")
+    mode = group_mode(values, ["column"], "x")
+    return null_safe(null_safe(moments, median, ["column"], "left"), mode, ["column"], "left")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, quartiles interpolated."""
-    parts = None
-    for c in columns:
-        q = group_quantiles(df.select(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")), ["column"], "x", [0.25, 0.5, 0.75])
-        wide = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-        moments = df.agg(
-            F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"))
-        one = null_safe(moments, wide, ["column"], "left")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    x, values = F.col("x"), long_format(df, columns)
+    q = group_quantiles(values, ["column"], "x", [0.25, 0.5, 0.75])
+    wide = q.groupBy("column").agg(*[
+        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    moments = values.groupBy("column").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return null_safe(moments, wide, ["column"], "left")
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
