@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.definition import Definition
-from cloakframe.operators import hierarchies as H
 from cloakframe.operators.privacy import Model, class_verdicts, table_predicate
 from cloakframe.operators.ranking import null_safe
 from cloakframe.session import materialize

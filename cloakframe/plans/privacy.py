@@ -19,7 +19,7 @@ from cloakframe.operators.ranking import null_safe
 from cloakframe.plans.registry import register
 from cloakframe.plans.tables import (
     FOLDS, GEN, ID, NODE, PEOPLE, PUB, QID, QKEY, RETURNED, SEED, TARGET,
-    definition, generalized, nations, people, published, returned, strat_cte, table,
+    definition, generalized, people, published, returned, strat_cte, table,
 )
 from cloakframe.session import materialize
 

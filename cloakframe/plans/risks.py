@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cloakframe.operators import anonymize as A
 from cloakframe.operators import hierarchies as H
 from cloakframe.operators import quality as Q
 from cloakframe.operators import risk as R
 from cloakframe.operators import sampling as S
 from cloakframe.operators.privacy import KAnonymity
-from cloakframe.definition import Hierarchy
 from cloakframe.plans.privacy import LATTICE, PRICE, _span
 from cloakframe.plans.registry import register
 from cloakframe.plans.tables import (
-    GEN, ID, NODE, PEOPLE, PUB, QID, QKEY, RETURNED, SAMPLE, SEED,
-    definition, generalized, people, published, returned, table,
+    GEN, ID, NODE, PEOPLE, QID, QKEY, SAMPLE, SEED,
+    definition, generalized, people, published, table,
 )
-from cloakframe.session import materialize
 
 
 def rounded(df, columns=None, digits=6):

@@ -16,8 +16,8 @@ from cloakframe.operators.ranking import null_safe
 from cloakframe.plans.grids import BS, CELL, GRID, KS, SAMPLES, populations, sample_cells
 from cloakframe.plans.registry import register
 from cloakframe.plans.tables import (
-    FOLDS, GEN, ID, NODE, PEOPLE, PUB, QID, QKEY, SAMPLE, SEED, TARGET,
-    definition, generalized, people, published, sample, table,
+    FOLDS, GEN, ID, PEOPLE, PUB, QID, QKEY, SAMPLE, SEED, TARGET,
+    definition, generalized, people, published, table,
 )
 from cloakframe.session import materialize
 

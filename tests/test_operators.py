@@ -239,7 +239,7 @@ def test_identifier_scan(spark):
     columns = ["first name", "age", "code", "birth", "email-address", "SSN", "Bank", "Vehicle", "URL", "IP", "phone"]
     rows = [
         ("Max", "34", "81667", "2008-09-02", "", "123-45-6789", "GR16 0110 1250 0000 0001 2300 695", "", "http://demodomain.com", "8.8.8.8", "+49 1234566"),
-        ("Max", "90", "81675", "2008-09-02", "user@arx.org", "", "", "WDD 169 007-1J-236589", "", "", ""),
+        ("Max", "90", "81675", "2008-09-02", "user@mail.org", "", "", "WDD 169 007-1J-236589", "", "", ""),
     ]
     found = {(r["column"], r["identifier"]) for r in R.hipaa_scan(spark.createDataFrame(rows, columns), columns).collect()}
     for pair in (("first name", "name"), ("age", "age_over_89"), ("code", "zip"), ("birth", "date"), ("email-address", "email"),
