@@ -39,12 +39,15 @@ def _at(n: int) -> np.ndarray:
     return _AT if n <= len(_AT) else coefficients(n, seed=1)
 
 
-def _hash_chunk(data: np.ndarray) -> np.ndarray:
-    inside = ~SPACE[data]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edge[::2], edge[1::2]
+def _hash_chunk(data: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+    """``kinds`` of bytes: 0 parts words, and so does a change from one of the others to another."""
+    kind = (~SPACE).view(np.uint8)[data] if kinds is None else kinds[data]
+    inside = kind > 0
+    edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))
+    starts = edge[:-1][inside[edge[:-1]]] if len(edge) else edge
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
+    ends = edge[1:][inside[edge[:-1]]]
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     position = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
@@ -52,16 +55,20 @@ def _hash_chunk(data: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of ``text`` in order."""
+#: For ``word_hashes``: letters, digits and bytes beyond ASCII are one kind, other visible characters another.
+LEXICAL = np.array([0 if SPACE[b] else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.uint8)
+
+
+def word_hashes(text: bytes, kinds: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the words of ``text`` in order; with ``kinds`` words also end where the kind changes."""
     data = np.frombuffer(text, dtype=np.uint8)
     if len(data) <= CHUNK:
-        return _hash_chunk(data)
+        return _hash_chunk(data, kinds)
     blanks, parts, begin = np.flatnonzero(SPACE[data]), [], 0
     while begin < len(data):
         k = np.searchsorted(blanks, begin + CHUNK)
         end = int(blanks[k]) if k < len(blanks) else len(data)
-        parts.append(_hash_chunk(data[begin:end]))
+        parts.append(_hash_chunk(data[begin:end], kinds))
         begin = end
     return np.concatenate(parts)
 
