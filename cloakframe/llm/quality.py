@@ -103,8 +103,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("_sorted", F.expr(
             "CASE WHEN _twice THEN array_sort(transform(zip_with(_hashes, _others, (h, g) -> named_struct('h', h, 'g', g)), "
             "(x, i) -> named_struct('h', x.h, 'g', x.g, 'at', i))) END"))
-        .select(
-            *docs.columns,
+        # Through a generator no filter on a metric is pushed, which would repeat its expression inside the lambdas above.
+        .select(*docs.columns, F.inline(F.array(F.struct(
             F.size("_words").cast("bigint").alias("n_words"),
             F.length(without(BLANKS)).cast("bigint").alias("word_chars"),
             (length - F.length(without(SYMBOLS))).cast("bigint").alias("n_symbols"),
@@ -114,7 +114,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))).cast("bigint").alias("n_stop_words"),
             F.size(F.filter("_words", lambda w, i: w == F.get("_words", i - 1))).cast("bigint").alias("n_echoes"),
             (length - F.length(without("!"))).cast("bigint").alias("n_marks"),
-        )
+        ))))
     )
 
 
