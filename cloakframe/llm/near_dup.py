@@ -15,7 +15,7 @@ from cloakframe.llm.components import components
 from cloakframe.llm.words import coefficients, mix, shingles, word_hashes
 from cloakframe.session import materialize
 
-FEATURES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"
+FEATURES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, whole array<bigint>"
 SETS = "node bigint, shingles binary"
 
 
@@ -57,9 +57,14 @@ def minhashes(items: np.ndarray, samples: int) -> np.ndarray:
     return best
 
 
-def odd_sketch(signature: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmap of the (function, minimum) samples, as 64-bit words."""
-    at = mix(signature ^ coefficients(len(signature), seed=103)) % np.uint64(bits)
+def samples_of(signature: np.ndarray) -> np.ndarray:
+    """A MinHash signature as the set of its (function, minimum) samples."""
+    return mix(signature ^ coefficients(len(signature), seed=103))
+
+
+def odd_sketch(items: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmap of a set, as 64-bit words; the XOR of two is the bitmap of the symmetric difference."""
+    at = items % np.uint64(bits)
     parity = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -81,18 +86,20 @@ def features(docs: DataFrame, p: NearDup) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sizes, digests, bands, sketches = [], [], [], []
+                sizes, digests, bands, sketches, wholes = [], [], [], [], []
                 for text in part.column(1):
                     items = set_of(text.as_py(), p.words)
                     sizes.append(len(items))
                     digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                     signature = minhashes(items, p.samples)
                     bands.append(band_keys(signature, p.bands, p.rows).view(np.int64))
-                    sketches.append(odd_sketch(signature, p.sketch_bits).view(np.int64))
+                    sketches.append(odd_sketch(samples_of(signature), p.sketch_bits).view(np.int64))
+                    wholes.append(odd_sketch(items, p.sketch_bits).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
+                     pa.array(wholes, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "digest", "bands", "sketch", "whole"])
 
     # bytes.lower() changes A-Z alone, which are the letters the definition lower-cases.
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, FEATURES)
@@ -128,11 +135,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
 
 
 def _alike(p: NearDup) -> Column:
-    """Sizes and sketches of ``l`` and ``r`` allow the wanted similarity."""
-    distance = sum(
-        (F.bit_count(F.col("l.sketch")[k].bitwiseXOR(F.col("r.sketch")[k])) for k in range(p.sketch_bits // 64)), F.lit(0))
+    """Sizes and sketches of ``l`` and ``r`` allow the wanted similarity.
+
+    The sketches of the samples estimate it. Those of the whole sets bound it: they differ in as many bits at most as the
+    sets in shingles, and at the wanted similarity s these are (1 - s) / (1 + s) of both sizes at most.
+    """
+
+    def distance(sketch: str) -> Column:
+        return sum((F.bit_count(F.col(f"l.{sketch}")[k].bitwiseXOR(F.col(f"r.{sketch}")[k])) for k in range(p.sketch_bits // 64)), F.lit(0))
+
     small, large = F.least("l.n_shingles", "r.n_shingles"), F.greatest("l.n_shingles", "r.n_shingles")
-    return (small * 100 >= large * p.percent) & (distance <= p.max_distance)
+    return (
+        (small * 100 >= large * p.percent) & (distance("sketch") <= p.max_distance)
+        & (distance("whole") * (100 + p.percent) <= (small + large) * (100 - p.percent)))
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -144,8 +159,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     not kept. Other columns are ignored; an empty table gives no rows.
 
     1. Rows of equal sets are one class, found by a partial aggregate of a 128-bit digest; its smallest id stands for it.
-    2. In each band bucket every class is paired with the bucket's smallest id. Pairs whose odd sketches are near enough
-       are confirmed on the full sets, and links make first components.
+    2. In each band bucket every class is paired with the one that shares buckets with most others. Pairs whose odd
+       sketches are near enough are confirmed on the full sets, and links make first components.
     3. Only buckets that still hold several components are searched again: the classes outside a bucket's main
        component against the bucket's classes of other components, in blocks, with the sketch test inside the join.
        A link between classes that share a bucket is therefore found, or joins what is joined already.
@@ -156,16 +171,21 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     classes = materialize(
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
             F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    profile = classes.select("node", "n_shingles", "sketch")
-
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
-    shared = materialize(keys.join(buckets, "key").select("key", "node", "pivot", "members"), "buckets")
+            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole")), "classes")
+    profile = classes.select("node", "n_shingles", "sketch", "whole", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("places"))
+
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(keys.join(buckets, "key").select("key", "band", "node", "members"), "buckets")
+    # The class that meets most others is the middle of its group: more of them are near it than near any other.
+    meets = shared.groupBy("node").agg(F.sum("members").alias("meets"))
+    pivots = shared.join(meets, "node").groupBy("key").agg(
+        F.max_by("node", F.struct(F.col("meets"), -F.col("node"))).alias("pivot"))
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = materialize(_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), p), "sets")
 
-    stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = shared.join(pivots, "key").where("node <> pivot").select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     near = (
         stars.join(profile.alias("l"), F.col("a") == F.col("l.node")).join(profile.alias("r"), F.col("b") == F.col("r.node"))
         .where(_alike(p)).select("a", "b"))
@@ -174,7 +194,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 
     labelled = materialize(
         shared.join(first, "node", "left").join(profile, "node").select(
-            "key", "node", "members", F.coalesce("component", "node").alias("component"), "n_shingles", "sketch"), "labelled")
+            "key", "band", "node", "members", F.coalesce("component", "node").alias("component"),
+            "n_shingles", "sketch", "whole", "places"), "labelled")
     counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.first("members").alias("members"))
     mixed = counts.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"),
@@ -192,7 +213,9 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         right,
         (F.col("l.key") == F.col("r.key")) & (F.col("l.lb") == F.col("r.lb")) & (F.col("l.rb") == F.col("r.rb"))
         & (F.col("l.component") != F.col("r.component"))
-        & ((F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))) & _alike(p),
+        & ((F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))) & _alike(p)
+        # A pair comes from the first band it shares.
+        & ~F.arrays_overlap(F.slice("l.places", 1, F.col("l.band")), F.slice("r.places", 1, F.col("l.band"))),
     ).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     more = materialize(_confirm(again, sets, p), "links")
     linked = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
