@@ -29,10 +29,11 @@ class Decontamination:
     oversample: int = 8
     spaces_per_pass: int = 8
     window: int = 40
-    stride: int = 10
+    stride: int = 20
     margin: int = 24
+    common: float = 0.1
     cosine: float = 0.4
-    mass: float = 0.35
+    mass: float = 0.5
     overlap: float = 0.6
     answer_words: int = 6
     answer_share: float = 0.5
@@ -58,6 +59,11 @@ class Passages:
 
     def weigh(self, frequency: np.ndarray, documents: int, p: Decontamination) -> None:
         self.idf = np.log((1.0 + documents) / (1.0 + frequency)) + 1e-3
+        light = frequency > p.common * documents
+        for i in self.ids:
+            if light[i].all():  # such a passage keeps its words
+                light[i] = False
+        self.idf[light] = 0.0
         self.least = min(float((self.idf[i] ** 2).sum()) for i in self.ids)
         self.answers = []
         for i in self.ids:
@@ -92,6 +98,8 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 def find(hashes: np.ndarray, space: Passages, p: Decontamination, masks: list[dict[int, int]]) -> dict[int, float]:
     """Benchmark items of ``space`` found in a document, each with its share of words in common order."""
     where, terms = space.at(hashes)
+    weighty = space.idf[terms] > 0
+    where, terms = where[weighty], terms[weighty]
     if not len(where):
         return {}
     starts = np.arange(0, max(len(hashes) - p.window, 0) + p.stride, p.stride)
@@ -231,8 +239,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Decontamination = De
     """``docs`` with ``contaminated``, ``n_items``, ``item_ids``, ``best_item`` and ``overlap`` for each row.
 
     Words are lower-cased (A-Z) runs without blanks. Every ``stride`` words of a document a window of ``window`` words is
-    weighed by TF-IDF (frequencies over all documents) and projected into the latent spaces of the benchmark. Windows
-    with too little weight for the lightest passage are passed over. A passage whose cosine reaches ``cosine`` is a
+    weighed by TF-IDF (frequencies over all documents; words of more than a share ``common`` of them have no weight, unless
+    a passage has no others) and projected into the latent spaces of the benchmark. Windows that weigh less than a share
+    ``mass`` of the lightest passage are passed over. A passage whose cosine reaches ``cosine`` is a
     candidate; it is found if its longest common subsequence with the words around the window has at least ``overlap``
     of its words and at least ``answer_share`` of its rarest words (the ones that give the answer away) stand there.
 
