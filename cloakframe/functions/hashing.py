@@ -19,4 +19,5 @@ def uniform(hash_hex: Column) -> Column:
 
 
 def hash_int(hash_hex: Column) -> Column:
-    return F.conv(F.substring(hash_hex, 1, 8), 16, 10).cast("bigint")
+    """A number in [0, 2**60) from a hex hash."""
+    return F.conv(F.substring(hash_hex, 1, 15), 16, 10).cast("bigint")

@@ -169,21 +169,19 @@ def local_recoding(
     models: Sequence[Model],
     min_share: float,
     quality: L.Quality = L.Quality(gs=0.0),
-    max_rounds: int = 20,
 ) -> DataFrame:
     """Anonymize again and again what the last round had to suppress.
 
-    Each round must generalize ``min_share`` of all rows; the loop ends when it cannot
-    or nothing is left. Adds ``round`` (0 for rows suppressed in the end). Rounds are
+    Each round must generalize ``min_share`` of all rows, so there are 1 / ``min_share``
+    rounds at most; the loop ends when none can or nothing is left. Adds ``round`` (0 for rows suppressed in the end). Rounds are
     written to the shared folder, so a lost executor costs one round, not all.
     """
     total = df.count()
     rest, done = df, None
     step = max(1.0, min_share * total)
-    left = total
-    for number in range(1, max_rounds + 1):
-        if left < step:
-            break
+    left, number = total, 0
+    while left >= step:
+        number += 1
         limit = max(0.0, 1.0 - step / left)
         chosen = L.scores(rest, definition, models, quality, limit)
         best = L.optimum(chosen).first()
@@ -213,10 +211,13 @@ def greedy(
     models: Sequence[Model],
     quality: L.Quality = L.Quality(),
     suppression: float = 0.0,
-    steps: int = 50,
+    steps: int | None = None,
     top_down: bool = False,
 ) -> DataFrame:
-    """Best-first walk through a lattice too large to list, at most ``steps`` rounds.
+    """Best-first walk through a lattice too large to list.
+
+    A walk has as many rounds as the heights add up to, or ``steps`` if that is given. If it is cut
+    before it meets a valid node, the top node stands in; no row means that this is not valid either.
 
     Each round scores the neighbours of the current node in one job. Bottom-up climbs
     until a valid node is met and no neighbour improves it; top-down descends while a
@@ -236,7 +237,7 @@ def greedy(
 
     rank = lambda pair: (round(pair[0]["loss"], 9), pair[0]["level"], pair[0]["node"])
     judge([at])
-    for _ in range(steps):
+    for _ in range(sum(heights) if steps is None else steps):
         delta = -1 if top_down else 1
         moves = [at[:i] + (at[i] + delta,) + at[i + 1:] for i in range(len(at))]
         moves = [m for m in moves if all(0 <= x <= h for x, h in zip(m, heights))]
@@ -249,6 +250,8 @@ def greedy(
         if seen[at]["valid"] and not rank(best) < rank((seen[at], at)):
             break
         at = best[1]
+    if not any(row["valid"] for row in seen.values()):
+        judge([tuple(heights)])
     valid = [row for row in seen.values() if row["valid"]]
     best = min(valid, key=lambda r: (round(r["loss"], 9), r["level"], r["node"]), default=None)
     rows = [tuple(best[c] for c in ("node", "level", "rows", "suppressed", "classes", "loss"))] if best else []

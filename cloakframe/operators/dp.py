@@ -14,8 +14,6 @@ from cloakframe.operators import lattice as L
 from cloakframe.operators.anonymize import publish
 from cloakframe.operators.privacy import KAnonymity
 
-SEARCH_LIMIT = 100_000
-
 
 def sampling_rate(epsilon: float) -> float:
     return 1.0 - math.exp(-epsilon)
@@ -23,26 +21,33 @@ def sampling_rate(epsilon: float) -> float:
 
 def _tail(n: int, gamma: float, beta: float) -> float:
     """P(X > gamma n) for X ~ Binomial(n, beta)."""
-    first = math.floor(gamma * n) + 1
+    j = math.floor(gamma * n) + 1
+    if j > n:
+        return 0.0
+    term = math.exp(
+        math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1)
+        + j * math.log(beta) + (n - j) * math.log1p(-beta))
     total = 0.0
-    for j in range(first, n + 1):
-        total += math.exp(
-            math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1)
-            + j * math.log(beta) + (n - j) * math.log1p(-beta))
+    # Above the mean terms fall at least geometrically; what no longer changes the sum is left out.
+    while j <= n and total + term != total:
+        total += term
+        term *= (n - j) / (j + 1) * beta / (1 - beta)
+        j += 1
     return total
 
 
 def class_size_for(epsilon: float, delta: float) -> int:
     """Smallest k whose worst tail beyond ceil(k/gamma - 1) stays within delta.
 
-    Tails beyond n are at most exp(-n D(gamma || beta)), which ends the search.
+    The tail for n is at most exp(-n D(gamma || beta)), so that the last n with a larger one is
+    looked for downwards from log(1 / delta) / D.
     """
     beta = sampling_rate(epsilon)
     gamma = (math.exp(epsilon) - 1.0 + beta) / math.exp(epsilon)
     divergence = gamma * math.log(gamma / beta) + (1 - gamma) * math.log((1 - gamma) / (1 - beta))
-    last = next(n for n in range(1, SEARCH_LIMIT) if math.exp(-n * divergence) <= delta)
-    bad = max((n for n in range(1, last + 1) if _tail(n, gamma, beta) > delta), default=0)
-    k = 1
+    last = math.ceil(-math.log(delta) / divergence)
+    bad = next((n for n in range(last, 0, -1) if _tail(n, gamma, beta) > delta), 0)
+    k = max(1, math.floor(gamma * bad))
     while max(1, math.ceil(k / gamma - 1)) <= bad:
         k += 1
     return k

@@ -81,21 +81,21 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
 GBT, LOGISTIC, BAYES, FOREST = "gbt", "logistic", "bayes", "forest"
 
 
-def classifier(kind: str, rounds: int = 10, seed: int = 7):
+def classifier(kind: str, rounds: int = 10, seed: int = 7, bins: int = 64):
     """Gradient boosting is binary in Spark, so one model per class there."""
     args = {"featuresCol": "features", "labelCol": "_label"}
     if kind == GBT:
-        return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, maxBins=64, **args), **args)
+        return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, maxBins=bins, **args), **args)
     if kind == LOGISTIC:
         return LogisticRegression(maxIter=rounds, **args)
     if kind == BAYES:
         return NaiveBayes(**args)
     if kind == FOREST:
-        return RandomForestClassifier(numTrees=rounds, maxDepth=5, seed=seed, maxBins=64, **args)
+        return RandomForestClassifier(numTrees=rounds, maxDepth=5, seed=seed, maxBins=bins, **args)
     raise ValueError(f"unknown classifier {kind}")
 
 
-def pipeline(kind: str, target: str, cat: Sequence[str], num: Sequence[str], rounds: int = 10) -> Pipeline:
+def pipeline(kind: str, target: str, cat: Sequence[str], num: Sequence[str], rounds: int = 10, bins: int = 64) -> Pipeline:
     """Index (or one-hot for linear models) categories, assemble, fit."""
     stages = [StringIndexer(inputCol=target, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc")]
     indexed = [f"{c}_ix" for c in cat]
@@ -105,14 +105,19 @@ def pipeline(kind: str, target: str, cat: Sequence[str], num: Sequence[str], rou
         hot = [f"{c}_hot" for c in cat]
         stages.append(OneHotEncoder(inputCols=indexed, outputCols=hot, handleInvalid="keep"))
         indexed = hot
-    stages += [VectorAssembler(inputCols=[*indexed, *num], outputCol="features", handleInvalid="keep"), classifier(kind, rounds)]
+    stages += [VectorAssembler(inputCols=[*indexed, *num], outputCol="features", handleInvalid="keep"), classifier(kind, rounds, bins=bins)]
     return Pipeline(stages=stages)
 
 
 def fit_predict(train: DataFrame, test: DataFrame, target: str, cat: Sequence[str], num: Sequence[str] = (), kind: str = GBT, rounds: int = 10) -> tuple[DataFrame, PipelineModel]:
     """``test`` with the column ``predicted`` in words of the target."""
     train = train.filter(F.col(target).isNotNull())
-    model = pipeline(kind, target, cat, num, rounds).fit(train)
+    bins = 64
+    if kind in (GBT, FOREST) and cat:
+        # Trees need a bin for each category, and one for unseen values.
+        distinct = train.agg(*[F.count_distinct(c).alias(c) for c in cat]).first()
+        bins = max(bins, max(distinct) + 2)
+    model = pipeline(kind, target, cat, num, rounds, bins).fit(train)
     labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
     predicted = model.transform(test)
     return predicted.withColumn("predicted", F.get(labels, F.col("prediction").cast("int"))).select(*test.columns, "predicted"), model

@@ -112,13 +112,13 @@ class OrderedTCloseness(_Sensitive):
                            F.sum("_q").alias("t"))
         dist = spread.select(F.struct("d", "t").alias("s")).scalar()
         per_class = self.pairs(counted, keys).groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col(self.attribute).alias("v"), F.col("_pc")))).alias("_m"),
+            F.map_from_entries(F.collect_list(F.struct(F.struct(F.col(self.attribute).alias("v")).alias("k"), F.col("_pc")))).alias("_m"),
             F.sum("_pc").alias("_n"),
         ).withColumn("_s", dist)
         zero = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
 
         def step(acc, x):
-            p = F.coalesce(F.col("_m")[x["v"]], F.lit(0)) / F.col("_n")
+            p = F.coalesce(F.col("_m")[F.struct(x["v"].alias("v"))], F.lit(0)) / F.col("_n")
             run = acc["run"] + p - x["q"] / F.col("_s.t")
             return F.struct(run.alias("run"), (acc["sum"] + F.abs(run)).alias("sum"))
 
@@ -145,9 +145,16 @@ class HierarchicalTCloseness(_Sensitive):
         height = self.hierarchy.height
         table = self.hierarchy.materialize(counted, self.attribute)
         lookup = table.select(F.col("value").alias("_v"), F.col("levels").alias("_lv"))
-        paths = self.pairs(counted, keys).join(lookup, F.col(self.attribute).cast("string") == F.col("_v"), "left")
-        every = counted.groupBy(self.attribute).agg(F.sum("cnt").alias("_q")).join(
-            lookup, F.col(self.attribute).cast("string") == F.col("_v"), "left")
+        top = table.agg(F.max(F.col("levels")[height])).scalar()
+        # A value that is not listed, such as NULL, is a leaf of its own right under the top.
+        own = F.concat(F.lit("\0"), F.coalesce(F.col(self.attribute).cast("string"), F.lit("\0")))
+        levels = F.coalesce(F.col("_lv"), F.concat(F.array_repeat(own, height), F.array(F.coalesce(top, F.lit("*")))))
+
+        def placed(rows):
+            return rows.join(lookup, F.col(self.attribute).cast("string") == F.col("_v"), "left").withColumn("_lv", levels)
+
+        paths = placed(self.pairs(counted, keys))
+        every = placed(counted.groupBy(self.attribute).agg(F.sum("cnt").alias("_q")))
         grand = every.agg(F.sum("_q").alias("g")).scalar()
         sizes = paths.groupBy(*keys).agg(F.sum("_pc").alias("_n"))
         zero = F.lit(0.0)

@@ -79,7 +79,7 @@ def undersample(spark, sf):
 @register("oversample", f"""WITH {PEOPLE}, r AS (SELECT o_orderkey, price_bin, row_number() OVER (PARTITION BY price_bin ORDER BY md5('7|' || o_orderkey)) AS rk FROM people),
   c AS (SELECT price_bin, count(*) AS n, max(count(*)) OVER () - count(*) AS deficit FROM people GROUP BY price_bin),
   d AS (SELECT price_bin, n, unnest(range(1, deficit + 1)) AS draw FROM c),
-  p AS (SELECT price_bin, draw, CAST('0x' || substr(md5('7|' || price_bin || '|' || draw), 1, 8) AS BIGINT) % n + 1 AS rk FROM d)
+  p AS (SELECT price_bin, draw, CAST('0x' || substr(md5('7|' || price_bin || '|' || draw), 1, 15) AS BIGINT) % n + 1 AS rk FROM d)
   SELECT o_orderkey, price_bin, CAST(0 AS BIGINT) AS draw FROM people
   UNION ALL SELECT o_orderkey, price_bin, draw FROM p JOIN r USING (price_bin, rk)""")
 def oversample(spark, sf):
@@ -109,21 +109,30 @@ def spread_equally(spark, sf):
     return S.spread_equally(groups, "class", amount, SEED)
 
 
+def published_and_drawn(spark, sf):
+    """The published table, made once, and a sample of it."""
+    output = published(spark, sf)
+    return output, S.stratified_sample(output, QID, 0.2, ID, SEED)
+
+
 @register("eq_before_after", f"""WITH {SAMPLE}, a AS (SELECT {QKEY}, count(*) AS n_before FROM pub GROUP BY ALL), b AS (SELECT {QKEY}, count(*) AS n_after FROM samp GROUP BY ALL)
   SELECT a.*, coalesce(n_after, 0) AS n_after FROM a LEFT JOIN b USING ({QKEY})""")
 def eq_before_after(spark, sf):
-    return C.before_after(published(spark, sf), sample(spark, sf), QID)
+    output, drawn = published_and_drawn(spark, sf)
+    return C.before_after(output, drawn, QID)
 
 
 @register("certainty", f"""WITH {SAMPLE}, a AS (SELECT {QKEY}, count(*) AS n FROM pub GROUP BY ALL), b AS (SELECT {QKEY}, count(*) AS m FROM samp GROUP BY ALL)
   SELECT o_orderkey, round(CAST(m AS DOUBLE) / n, 9) AS certainty FROM samp JOIN a USING ({QKEY}) JOIN b USING ({QKEY})""")
 def certainty(spark, sf):
-    out = R.certainty(sample(spark, sf), published(spark, sf), QID)
+    output, drawn = published_and_drawn(spark, sf)
+    out = R.certainty(drawn, output, QID)
     return out.select("o_orderkey", F.round("certainty", 9).alias("certainty"))
 
 
 @register("journalist_risk", f"""WITH {SAMPLE}, a AS (SELECT {QKEY}, count(*) AS n FROM pub GROUP BY ALL)
   SELECT o_orderkey, CASE WHEN n_name = '*' AND c_mktsegment = '*' AND o_orderdate = '*' THEN 0.0 ELSE round(1e0 / n, 9) END::DOUBLE AS journalist_risk FROM samp JOIN a USING ({QKEY})""")
 def journalist_risk(spark, sf):
-    out = R.journalist_risk(sample(spark, sf), published(spark, sf), QID)
+    output, drawn = published_and_drawn(spark, sf)
+    out = R.journalist_risk(drawn, output, QID)
     return out.select("o_orderkey", F.round("journalist_risk", 9).alias("journalist_risk"))

@@ -96,7 +96,7 @@ def anon_run_stats(spark, sf):
 
 
 @register("stats_csv_to_json", f"""WITH {STATS} SELECT fold, k, '{{"node":[0,0,3],"QID":["n_name","c_mktsegment","o_orderdate"],"suppressed in sample":' || suppressed
-  || ',"sample size":' || sample_size || ',"input size":' || input_size || ',"equivalence classes":' || classes || ',"average EQ size":' || round(avg_size, 3) || '}}' AS json FROM stats""")
+  || ',"sample size":' || sample_size || ',"input size":' || input_size || ',"equivalence classes":' || classes || ',"average EQ size":' || coalesce(CAST(round(avg_size, 3) AS VARCHAR), 'null') || '}}' AS json FROM stats""")
 def stats_csv_to_json(spark, sf):
     s = A.run_stats(run_figures(spark, sf), definition(spark, sf), NODE, ["fold", "k"])
     s = s.withColumn("average EQ size", F.round("average EQ size", 3))

@@ -103,6 +103,7 @@ def view(df: DataFrame, subset: DataFrame, id_col: str) -> DataFrame:
 
 # ------------------------------------------------------- statistics and reports
 
+# The field names of statistics files.
 STATS_SCHEMA = (
     "node array<int>, QID array<string>, `suppressed in sample` bigint, `sample size` bigint, "
     "`input size` bigint, `equivalence classes` bigint, `average EQ size` double"
@@ -142,7 +143,7 @@ def stats_text_to_json(df: DataFrame) -> DataFrame:
         F.col("equivalence classes").cast("bigint").alias("equivalence classes"),
         F.col("average EQ size").cast("double").alias("average EQ size"),
     )
-    return df.withColumn("json", F.to_json(fields))
+    return df.withColumn("json", F.to_json(fields, {"ignoreNullFields": "false"}))
 
 
 def read_grid(spark: SparkSession, path: str, schema: str, sep: str = ";") -> DataFrame:
