@@ -32,6 +32,7 @@ class Decontamination:
     stride: int = 20
     margin: int = 24
     common: float = 0.1
+    mostly_common: float = 0.75
     cosine: float = 0.4
     mass: float = 0.5
     overlap: float = 0.6
@@ -60,9 +61,9 @@ class Passages:
     def weigh(self, frequency: np.ndarray, documents: int, p: Decontamination) -> None:
         self.idf = np.log((1.0 + documents) / (1.0 + frequency)) + 1e-3
         light = frequency > p.common * documents
-        for i in self.ids:
-            if light[i].all():  # such a passage keeps its words
-                light[i] = False
+        common = [i for i in self.ids if light[np.unique(i)].mean() > p.mostly_common]
+        for i in common:  # as where very many documents hold the passage itself: it keeps its words
+            light[i] = False
         self.idf[light] = 0.0
         self.least = min(float((self.idf[i] ** 2).sum()) for i in self.ids)
         self.answers = []
@@ -239,8 +240,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Decontamination = De
     """``docs`` with ``contaminated``, ``n_items``, ``item_ids``, ``best_item`` and ``overlap`` for each row.
 
     Words are lower-cased (A-Z) runs without blanks. Every ``stride`` words of a document a window of ``window`` words is
-    weighed by TF-IDF (frequencies over all documents; words of more than a share ``common`` of them have no weight, unless
-    a passage has no others) and projected into the latent spaces of the benchmark. Windows that weigh less than a share
+    weighed by TF-IDF (frequencies over all documents; words of more than a share ``common`` of them have no weight, but
+    for passages that are ``mostly_common``) and projected into the latent spaces of the benchmark. Windows that weigh less than a share
     ``mass`` of the lightest passage are passed over. A passage whose cosine reaches ``cosine`` is a
     candidate; it is found if its longest common subsequence with the words around the window has at least ``overlap``
     of its words and at least ``answer_share`` of its rarest words (the ones that give the answer away) stand there.
