@@ -36,7 +36,7 @@ class Decontamination:
     cosine: float = 0.4
     mass: float = 0.5
     overlap: float = 0.6
-    answer_words: int = 6
+    answer_part: float = 0.5
     answer_share: float = 0.5
 
 
@@ -69,7 +69,7 @@ class Passages:
         self.answers = []
         for i in self.ids:
             unique = np.unique(i)
-            rare = unique[np.lexsort((unique, -self.idf[unique]))][: p.answer_words]
+            rare = unique[np.lexsort((unique, -self.idf[unique]))][: math.ceil(p.answer_part * len(unique))]
             self.answers.append(self.terms[rare])
 
     def place(self, axes: np.ndarray) -> None:
@@ -244,7 +244,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Decontamination = De
     for passages that are ``mostly_common``) and projected into the latent spaces of the benchmark. Windows that weigh less than a share
     ``mass`` of the lightest passage are passed over. A passage whose cosine reaches ``cosine`` is a
     candidate; it is found if its longest common subsequence with the words around the window has at least ``overlap``
-    of its words and at least ``answer_share`` of its rarest words (the ones that give the answer away) stand there.
+    of its words and at least ``answer_share`` of its rarer words (the ``answer_part`` that carries the answer) stand there.
 
     NULL and empty texts contain nothing; benchmark rows without id or words are passed over, equal ones are found
     together; repeated rows are judged alike; an empty benchmark or table flags nothing. Columns of ``docs`` that bear a
