@@ -150,6 +150,19 @@ def _alike(p: NearDup) -> Column:
         & (distance("whole") * (100 + p.percent) <= (small + large) * (100 - p.percent)))
 
 
+#: Ids are broadcast up to this many (16 MB); more are met by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def counted(ids: DataFrame) -> DataFrame:
+    """``ids``, one bigint column, written once and marked for broadcast if there are few enough.
+
+    A join of texts with a small list of ids need not shuffle the texts; beyond the limit it does.
+    """
+    written = materialize(ids, "ids")
+    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs (doc_id, text)``.
 
@@ -181,7 +194,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     meets = shared.groupBy("node").agg(F.sum("members").alias("meets"))
     pivots = shared.join(meets, "node").groupBy("key").agg(
         F.max_by("node", F.struct(F.col("meets"), -F.col("node"))).alias("pivot"))
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
+    wanted = counted(shared.select(F.col("node").alias("doc_id")).distinct())
     sets = materialize(_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), p), "sets")
 
     stars = shared.join(pivots, "key").where("node <> pivot").select(
