@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm.decontaminate import decontaminate
 from cloakframe.llm.mixing import mix
-from cloakframe.llm.near_dup import near_duplicates
+from cloakframe.llm.near_dup import counted, near_duplicates
 from cloakframe.llm.quality import quality
 from cloakframe.llm.sharding import shards
 from cloakframe.session import scratch_path
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Texts without words are in no group."""
     dropped = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(counted(dropped), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
