@@ -50,11 +50,11 @@ def anonymize(
     return publish(df, definition, node, models), node
 
 
-def run_stats(published: DataFrame, definition: Definition, node: dict[str, int], by: Sequence[str] = ()) -> DataFrame:
-    """One line per run, in the layout of the statistics files."""
+def run_stats(published: DataFrame, definition: Definition, node: dict[str, int], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """One line per run, in the layout of the statistics files; with a ``weight`` a line stands for that many rows."""
     from cloakframe.operators.classes import class_summary
 
-    s = class_summary(published, definition.qid, by)
+    s = class_summary(published, definition.qid, by, weight)
     return s.select(
         *by,
         F.array(*[F.lit(node[q]) for q in definition.qid]).alias("node"),
@@ -160,6 +160,20 @@ def publish_grid(df: DataFrame, qid: Sequence[str], ks: Sequence[int], cells: Se
     return sized.withColumns({q: F.when(F.col("_n") < F.col("k"), F.lit(STAR)).otherwise(F.col(q)) for q in qid}).drop("_n")
 
 
+def publish_counts(counts: DataFrame, qid: Sequence[str], ks: Sequence[int], cells: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """``publish_grid`` of merged rows ``(cells, qid, carry, cnt)``, for figures that need class counts only."""
+    from cloakframe.operators.classes import class_sizes
+
+    keys = [*cells, *qid]
+    if carry:
+        sized = null_safe(counts, class_sizes(counts, keys, "_n", "cnt"), keys)
+    else:
+        sized = class_sizes(counts, keys, "cnt", "cnt").withColumn("_n", F.col("cnt"))
+    sized = sized.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    starred = sized.withColumns({q: F.when(F.col("_n") < F.col("k"), F.lit(STAR)).otherwise(F.col(q)) for q in qid})
+    return class_sizes(starred, [*cells, "k", *qid, *carry], "cnt", "cnt")
+
+
 # ------------------------------------------------------------------ local recoding
 
 

@@ -23,17 +23,18 @@ def drop_suppressed(df: DataFrame, qid: Sequence[str]) -> DataFrame:
     return df.filter(~is_suppressed(qid))
 
 
-def class_sizes(df: DataFrame, qid: Sequence[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*qid).agg(F.count("*").alias(name))
+def class_sizes(df: DataFrame, qid: Sequence[str], name: str = "n", weight: str | None = None) -> DataFrame:
+    """Rows per class; with a ``weight`` each line stands for that many rows."""
+    return df.groupBy(*qid).agg((F.sum(weight) if weight else F.count("*")).alias(name))
 
 
 def class_target_counts(df: DataFrame, qid: Sequence[str], target: str) -> DataFrame:
     return df.groupBy(*qid, target).agg(F.count("*").alias("n"))
 
 
-def class_summary(df: DataFrame, qid: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def class_summary(df: DataFrame, qid: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Number and size of classes; the suppressed class is counted apart."""
-    flagged = class_sizes(df, [*by, *qid]).withColumn("_s", is_suppressed(qid))
+    flagged = class_sizes(df, [*by, *qid], weight=weight).withColumn("_s", is_suppressed(qid))
     kept = F.when(~F.col("_s"), F.col("n"))
     return flagged.groupBy(*by).agg(
         F.count(kept).alias("classes"),
@@ -81,10 +82,10 @@ def before_after(before: DataFrame, after: DataFrame, qid: Sequence[str]) -> Dat
     return joined.withColumn("n_after", F.coalesce("n_after", F.lit(0)))
 
 
-def fully_suppressed(df: DataFrame, cells: Sequence[str], qid: Sequence[str]) -> DataFrame:
+def fully_suppressed(df: DataFrame, cells: Sequence[str], qid: Sequence[str], weight: str | None = None) -> DataFrame:
     """Per experiment cell: does it hold nothing but suppressed rows?"""
     return df.groupBy(*cells).agg(
-        F.count("*").alias("n_rows"), F.bool_and(is_suppressed(qid)).alias("fully_suppressed")
+        (F.sum(weight) if weight else F.count("*")).alias("n_rows"), F.bool_and(is_suppressed(qid)).alias("fully_suppressed")
     )
 
 

@@ -22,6 +22,18 @@ def run_figures(spark, sf) -> DataFrame:
     return A.publish_grid(A.train_rows(rows, FOLDS), QID, KS, ["fold"])
 
 
+def fold_counts(spark, sf) -> DataFrame:
+    """Merged rows ``(qid, target, fold, cnt)`` of every training fold: whole counts less those held out."""
+    rows = S.k_fold(generalized(spark, sf).select("o_orderkey", *QID, TARGET), FOLDS, ID, SEED)
+    counts = rows.groupBy(*QID, TARGET, "fold").agg(F.count("*").alias("cnt"))
+    return A.train_counts(counts, [*QID, TARGET], FOLDS)
+
+
+def run_counts(spark, sf, ks=KS, carry=()) -> DataFrame:
+    """``run_figures`` as counts ``(fold, k, qid, carry, cnt)``; no row is copied per training set."""
+    return A.publish_counts(fold_counts(spark, sf), QID, ks, ["fold"], carry)
+
+
 def populations(spark, sf) -> DataFrame:
     """As a written output: samples and statistics read it more than once."""
     return materialize(run_figures(spark, sf), "populations")

@@ -8,7 +8,7 @@ from cloakframe.operators import anonymize as A
 from cloakframe.operators import classes as C
 from cloakframe.operators import sampling as S
 from cloakframe.operators import select as X
-from cloakframe.plans.grids import SAMPLES, STATS, run_figures, samples
+from cloakframe.plans.grids import SAMPLES, STATS, run_counts, samples
 from cloakframe.plans.registry import register
 from cloakframe.plans.tables import (
     FOLDS, GEN, ID, NODE, PEOPLE, PUB, QID, QKEY, RETURNED, SAMPLE, SEED, TARGET,
@@ -55,7 +55,7 @@ def select_by_index_name_alias(spark, sf):
 def stats_json_scan(spark, sf):
     """Statistics of all (fold, k) runs, written as JSON and read back in one scan."""
     path = scratch_path(spark, "stats")
-    IO.write_stats(A.run_stats(run_figures(spark, sf), definition(spark, sf), NODE, ["fold", "k"]), path, ["fold", "k"])
+    IO.write_stats(A.run_stats(run_counts(spark, sf), definition(spark, sf), NODE, ["fold", "k"], "cnt"), path, ["fold", "k"])
     s = IO.read_stats(spark, path, f"{IO.STATS_SCHEMA}, fold int, k int")
     return s.select(
         "fold", "k", F.array_join(F.transform("node", lambda x: x.cast("string")), ",").alias("node"),
@@ -98,7 +98,7 @@ def anon_run_stats(spark, sf):
 @register("stats_csv_to_json", f"""WITH {STATS} SELECT fold, k, '{{"node":[0,0,3],"QID":["n_name","c_mktsegment","o_orderdate"],"suppressed in sample":' || suppressed
   || ',"sample size":' || sample_size || ',"input size":' || input_size || ',"equivalence classes":' || classes || ',"average EQ size":' || coalesce(CAST(round(avg_size, 3) AS VARCHAR), 'null') || '}}' AS json FROM stats""")
 def stats_csv_to_json(spark, sf):
-    s = A.run_stats(run_figures(spark, sf), definition(spark, sf), NODE, ["fold", "k"])
+    s = A.run_stats(run_counts(spark, sf), definition(spark, sf), NODE, ["fold", "k"], "cnt")
     s = s.withColumn("average EQ size", F.round("average EQ size", 3))
     text = s.select(
         *[F.col(c).cast("string").alias(c) for c in s.columns if c not in ("node", "QID")],
@@ -179,8 +179,7 @@ def drop_suppressed(spark, sf):
 @register("fully_suppressed_cells", f"""WITH {GEN}, t AS (SELECT fold, {QKEY}, count(*) AS n FROM gen JOIN (SELECT o_orderkey AS k2, ntile(10) OVER (ORDER BY md5('7|' || o_orderkey)) - 1 AS tf FROM people) ON o_orderkey = k2, range(10) f(fold) WHERE fold <> tf GROUP BY ALL)
   SELECT CAST(fold AS INTEGER) AS fold, CAST(k AS INTEGER) AS k, CAST(sum(n) AS BIGINT) AS n_rows, bool_and(n < k) AS fully_suppressed FROM t, (VALUES (10), (30), (60)) v(k) GROUP BY ALL""")
 def fully_suppressed_cells(spark, sf):
-    rows = A.train_rows(S.k_fold(generalized(spark, sf), FOLDS, ID, SEED), FOLDS)
-    return C.fully_suppressed(A.publish_grid(rows, QID, [10, 30, 60], ["fold"]), ["fold", "k"], QID)
+    return C.fully_suppressed(run_counts(spark, sf, [10, 30, 60]), ["fold", "k"], QID, "cnt")
 
 
 @register("sample_unusable", f"""WITH {PEOPLE}, s AS (SELECT * FROM people QUALIFY row_number() OVER (ORDER BY md5('7|' || o_orderkey)) <= (SELECT floor(count(*) * CAST(0.1 AS DOUBLE)) FROM people))

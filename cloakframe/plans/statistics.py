@@ -13,7 +13,7 @@ from cloakframe.operators import risk as R
 from cloakframe.operators import sampling as S
 from cloakframe.operators import stats as T
 from cloakframe.operators.ranking import null_safe
-from cloakframe.plans.grids import BS, CELL, GRID, KS, SAMPLES, populations, sample_cells
+from cloakframe.plans.grids import BS, CELL, GRID, KS, SAMPLES, populations, run_counts, sample_cells
 from cloakframe.plans.registry import register
 from cloakframe.plans.tables import (
     FOLDS, GEN, ID, PEOPLE, PUB, QID, QKEY, SAMPLE, SEED, TARGET,
@@ -251,7 +251,7 @@ def metric_classes(spark, sf):
 
     Which rows are drawn does not matter to either figure, so no row is sampled.
     """
-    pairs = materialize(C.class_sizes(populations(spark, sf), [*CELL, TARGET, *QID]), "pairs")
+    pairs = materialize(run_counts(spark, sf, carry=[TARGET]).withColumnRenamed("cnt", "n"), "pairs")
     classes = pairs.groupBy(*CELL, *QID).agg(F.sum("n").alias("n"))
     rates = F.array(*[F.lit(b) for b in BS])
     totals = pairs.groupBy(*CELL).agg(F.sum("n").alias("_t")).withColumn("b", F.explode(rates))
