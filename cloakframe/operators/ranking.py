@@ -129,61 +129,111 @@ def ordered_positions(values: DataFrame, order: Sequence[str], rank: str = "_ran
     return placed.withColumn(rank, F.col("_rn") + F.col("_before")).drop("_k", "_part", "_rn", "_before")
 
 
-def hash_cuts(df: DataFrame, keys: Sequence[str], quotas: DataFrame, order: Sequence[str], hash_col: Column) -> DataFrame:
-    """The hash of the ``quota``-th row of every group, without sorting the groups.
+def content_hash(df: DataFrame) -> Column:
+    """Hex digest of whole rows, equal for equal rows; maps are compared by their JSON."""
+    cells = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *cells)), 16, "0") for k in (0, 1)])
 
-    ``quotas`` holds ``keys``, ``slot`` and ``quota``. A histogram of 16-bit hash
-    prefixes finds the prefix in which the wanted rank falls; only the rows of that
-    prefix (1/65536 of the group) are ranked.
+
+def _narrowed(lines: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
+    """The value of ``level`` in which the ``_need``-th row of each ``(keys, slot)`` lies, with the need inside it.
+
+    ``lines``: keys, slot, ``_need``, ``level`` and the number of rows ``_c`` behind a line.
+    """
+    merged = lines.groupBy(*keys, "slot", level).agg(F.sum("_c").alias("_c"), F.first("_need").alias("_need"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "slot").orderBy(level).rowsBetween(Window.unboundedPreceding, 0))
+    placed = merged.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_c"))
+    found = placed.filter((F.col("_before") < F.col("_need")) & (F.col("_need") <= F.col("_upto")))
+    return found.select(*keys, "slot", level, (F.col("_need") - F.col("_before")).alias("_need"), F.col("_c").alias("same"))
+
+
+def hash_cuts(df: DataFrame, keys: Sequence[str], quotas: DataFrame, hash_col: Column) -> tuple[DataFrame, Column]:
+    """Where the ``quota``-th row of every group stands, without sorting the groups, and the place of a row.
+
+    ``quotas`` holds ``keys``, ``slot`` and ``quota``. A histogram of 16-bit hash prefixes finds the prefix in which the
+    wanted rank falls; of the rows behind it (1/65536 of the group) those of equal hash are merged to find the hash.
+    Only where ids repeat at a cut, one more reading orders their rows by content, again prefix first. The first result,
+    written once, is ``keys, slot, _at`` (a place), and of the ``same`` rows of that place ``take`` belong to the quota.
     """
     keys = list(keys)
-    source = df.select(*keys, *[c for c in order if c not in keys], hash_col.alias("_h")).withColumn(
-        "_bucket", F.substring("_h", 1, 4)
-    )
-    by_bucket = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
-    histogram = (
-        source.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_before", F.col("_upto") - F.col("_c"))
-    )
+    source = df.select(*keys, hash_col.alias("_h")).withColumn("_bucket", F.substring("_h", 1, 4))
+    histogram = source.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c"))
     if keys:
-        asked = null_safe(histogram, quotas, keys)
+        lines = null_safe(histogram, quotas.select(*keys, "slot", F.col("quota").alias("_need")), keys)
     else:  # a handful of ranks of the whole table: no join
-        few = quotas.agg(F.collect_list(F.struct("slot", "quota")).alias("q")).scalar()
-        inside = lambda q: (F.col("_before") < q["quota"]) & (q["quota"] <= F.col("_upto"))
-        asked = histogram.withColumn("_q", few).withColumn("_q", F.explode(F.filter("_q", inside)))
-        asked = asked.select("*", "_q.slot", "_q.quota")
-    edge = (
-        asked.filter((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_upto")))
-        .select(*keys, "_bucket", "slot", (F.col("quota") - F.col("_before")).alias("_need"))
-    )
-    inside = Window.partitionBy(*keys, "_bucket", "slot").orderBy("_h", *order)
-    return (
-        null_safe(source, edge, [*keys, "_bucket"])
-        .withColumn("_rn", F.row_number().over(inside))
-        .filter(F.col("_rn") == F.col("_need"))
-        .select(*keys, "slot", F.col("_h").alias("cut"))
-    )
+        few = quotas.agg(F.collect_list(F.struct("slot", F.col("quota").alias("_need"))).alias("q")).scalar()
+        lines = histogram.withColumn("_q", few).withColumn("_q", F.explode("_q")).select("*", "_q.slot", "_q._need")
+    edge = _narrowed(lines, keys, "_bucket").drop("same")
+    inside = null_safe(source, edge, [*keys, "_bucket"])
+    inside = inside.groupBy(*keys, "slot", "_h").agg(F.count("*").alias("_c"), F.first("_need").alias("_need"))
+    names = [*keys, "slot", F.col("_need").alias("take"), "same"]
+    cuts = materialize(_narrowed(inside, keys, "_h").select(*names, F.col("_h").alias("_at")), "cuts")
+    if cuts.filter("take < same").isEmpty():
+        return cuts, hash_col
+
+    content = content_hash(df)
+    source = df.select(*keys, hash_col.alias("_h"), content.alias("_content"))
+    edge = cuts.select(*keys, "slot", F.col("_at").alias("_h"), F.col("take").alias("_need"))
+    inside = null_safe(source, edge, [*keys, "_h"])
+    inside = inside.groupBy(*keys, "slot", "_h", "_content").agg(F.count("*").alias("_c"), F.first("_need").alias("_need"))
+    inside = materialize(inside.withColumn("_prefix", F.substring("_content", 1, 4)), "repeated")
+    prefix = _narrowed(inside, keys, "_prefix").drop("same")
+    inside = null_safe(inside.drop("_need"), prefix, [*keys, "slot", "_prefix"])
+    found = _narrowed(inside, keys, "_content")
+    found = null_safe(found, edge.select(*keys, "slot", "_h"), [*keys, "slot"])
+    return materialize(found.select(*names, F.concat("_h", "_content").alias("_at")), "cuts"), F.concat(hash_col, content)
+
+
+def _equal_rows(df: DataFrame, keys: Sequence[str], cuts: DataFrame, place: Column) -> DataFrame:
+    """Rows of the places whose equal rows a cut parts, with their place ``_at`` and numbered by ``_rn`` from 1.
+
+    They are alike, so they are counted and written out again, a million at a time: no task holds them all.
+    """
+    chunk = 1_000_000
+    parted = cuts.filter("take < same").select(*keys, "_at").distinct()
+    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    at = null_safe(df.select(*keys, rows.alias("_row"), place.alias("_at")), parted, [*keys, "_at"])
+    counted = at.groupBy(*keys, "_at").agg(F.first("_row").alias("_row"), F.count("*").alias("_c"))
+    chunks = counted.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / chunk)))).repartition("_at", "_k")
+    base = F.col("_k") * chunk
+    return chunks.withColumn("_rn", F.explode(F.sequence(base + 1, F.least(base + chunk, F.col("_c"))))).select("_row.*", "_at", "_rn")
 
 
-def first_of_each(df: DataFrame, keys: Sequence[str], quotas: DataFrame, order: Sequence[str], hash_col: Column) -> DataFrame:
-    """Keep the first ``quota`` rows of every group in hash order.
+def first_of_each(df: DataFrame, keys: Sequence[str], quotas: DataFrame, hash_col: Column) -> DataFrame:
+    """Keep the first ``quota`` rows of every group in hash order, exactly so many also where ids repeat.
 
     For few, possibly huge groups: rows are only filtered against the cut of their
-    group, never shuffled for ranking. ``order`` must be unique, so must the hash.
+    group, never shuffled for ranking.
     """
     keys = list(keys)
-    if not keys:
-        cuts = hash_cuts(df, [], quotas.withColumn("slot", F.lit(0)), order, hash_col)
-        return df.filter(hash_col <= cuts.agg(F.max("cut").alias("cut")).scalar())
-    cuts = hash_cuts(df, keys, quotas.withColumn("slot", F.lit(0)), order, hash_col).drop("slot")
-    return null_safe(df, cuts, keys).filter(hash_col <= F.col("cut")).drop("cut")
-
-
-def with_cut_position(df: DataFrame, name: str, quotas: DataFrame, order: Sequence[str], hash_col: Column) -> DataFrame:
+    cuts, place = hash_cuts(df, keys, quotas.withColumn("slot", F.lit(0)), hash_col)
+    limits = cuts.select(*keys, "_at", (F.col("take") == F.col("same")).alias("_whole"))
+    placed = df.withColumn("_place", place)
+    if keys:
+        marked = null_safe(placed, limits, keys)
+    else:
+        limit = limits.agg(F.max(F.struct("_at", "_whole")).alias("c")).scalar()
+        marked = placed.withColumns({"_at": limit["_at"], "_whole": limit["_whole"]})
+    kept = marked.filter((F.col("_place") < F.col("_at")) | ((F.col("_place") == F.col("_at")) & F.col("_whole"))).select(*df.columns)
+    if limits.filter("NOT _whole").isEmpty():
+        return kept
+    equal = null_safe(_equal_rows(df, keys, cuts, place), cuts.select(*keys, "_at", "take"), [*keys, "_at"])
+    return kept.unionByName(equal.filter("_rn <= take").select(*df.columns))
+
+
+def with_cut_position(df: DataFrame, name: str, quotas: DataFrame, hash_col: Column) -> DataFrame:
     """Adds how many of the wanted ranks lie before a row; a map-side comparison."""
-    cuts = hash_cuts(df, [], quotas, order, hash_col)
-    array = cuts.agg(F.sort_array(F.collect_list("cut")).alias("cuts")).scalar()
-    marked = df.withColumn("_cuts", array).withColumn("_h", hash_col)
-    return marked.withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col("_h")))).drop("_cuts", "_h")
+    cuts, place = hash_cuts(df, [], quotas, hash_col)
+    array = cuts.agg(F.sort_array(F.collect_list(F.struct("_at", "take"))).alias("cuts")).scalar()
+
+    def counted(rows: DataFrame, number: Column) -> DataFrame:
+        passed = lambda c: (c["_at"] < F.col("_at")) | ((c["_at"] == F.col("_at")) & (c["take"] < number))
+        return rows.withColumn("_cuts", array).withColumn(name, F.size(F.filter("_cuts", passed))).select(*df.columns, name)
+
+    placed = df.withColumn("_at", place)
+    parted = cuts.filter("take < same")
+    if parted.isEmpty():
+        return counted(placed, F.lit(0))
+    split = parted.agg(F.collect_set("_at").alias("c")).scalar()
+    rest = placed.withColumn("_split", split).filter(~F.array_contains("_split", F.col("_at")))
+    return counted(rest, F.lit(0)).unionByName(counted(_equal_rows(df, [], cuts, place), F.col("_rn")))

@@ -42,13 +42,13 @@ def sample_amount(n: Column, b: float | Column) -> Column:
 def random_sample(df: DataFrame, b: float, ids: Sequence[str], seed: int) -> DataFrame:
     """``floor(N*b)`` rows without replacement."""
     quota = df.agg(sample_amount(F.count("*"), b).alias("quota"))
-    return first_of_each(df, [], quota, ids, order_hash(seed, ids))
+    return first_of_each(df, [], quota, order_hash(seed, ids))
 
 
 def train_test(df: DataFrame, train: float, ids: Sequence[str], seed: int) -> DataFrame:
     """Adds ``split``: ``train`` for ``floor(N*train)`` rows, ``test`` for the rest."""
     quota = df.agg(sample_amount(F.count("*"), train).alias("quota")).withColumn("slot", F.lit(0))
-    placed = with_cut_position(df, "_cut", quota, ids, order_hash(seed, ids))
+    placed = with_cut_position(df, "_cut", quota, order_hash(seed, ids))
     empty = quota.select("quota").scalar() == 0
     return placed.withColumn("split", F.when(empty | (F.col("_cut") > 0), "test").otherwise("train")).drop("_cut")
 
@@ -69,7 +69,7 @@ def k_fold(df: DataFrame, folds: int, ids: Sequence[str], seed: int) -> DataFram
             .alias("quota"),
         )
     )
-    return with_cut_position(df, "fold", bounds, ids, order_hash(seed, ids))
+    return with_cut_position(df, "fold", bounds, order_hash(seed, ids))
 
 
 # ------------------------------------------------------------ stratified samples
@@ -241,7 +241,7 @@ def undersample(df: DataFrame, target: str, ids: Sequence[str], seed: int) -> Da
     """Every target value reduced to the size of the rarest."""
     counts = class_sizes(df, [target])
     quotas = counts.select(target, counts.agg(F.min("n").alias("m")).scalar().alias("quota"))
-    return first_of_each(df, [target], quotas, ids, order_hash(seed, ids))
+    return first_of_each(df, [target], quotas, order_hash(seed, ids))
 
 
 def oversample(df: DataFrame, target: str, ids: Sequence[str], seed: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

@@ -133,4 +133,4 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def peek(df: DataFrame, n: int, ids: Sequence[str], seed: int) -> DataFrame:
     """``n`` rows picked by seeded hash."""
     size = df.agg(F.least(F.count("*"), F.lit(n)).cast("bigint").alias("quota"))
-    return first_of_each(df, [], size, ids, order_hash(seed, ids))
+    return first_of_each(df, [], size, order_hash(seed, ids))

@@ -39,17 +39,21 @@ def populations(spark, sf) -> DataFrame:
     return materialize(run_figures(spark, sf), "populations")
 
 
+def sample_sizes(classes: DataFrame) -> DataFrame:
+    """Rows ``s`` that each class ``(fold, k, qid, n)`` gives to the stratified sample of every rate."""
+    rates = F.array(*[F.lit(b) for b in BS])
+    quotas = classes.groupBy(*CELL).agg(F.sum("n").alias("_t")).withColumn("b", F.explode(rates))
+    quotas = quotas.select(*CELL, "b", S.sample_amount(F.col("_t"), F.col("b")).alias("quota"))
+    return S.stratified_sizes(classes.withColumn("b", F.explode(rates)), [*CELL, "b"], QID, quotas, SEED)
+
+
 def sample_cells(population: DataFrame) -> DataFrame:
     """A stratified sample of every (fold, k) output at every rate.
 
     Rows are ranked in their class once; the rates only differ in how far they reach.
     """
     keys = [*CELL, *QID]
-    classes = population.groupBy(*keys).agg(F.count("*").alias("n"))
-    rates = F.array(*[F.lit(b) for b in BS])
-    quotas = classes.groupBy(*CELL).agg(F.sum("n").alias("_t")).withColumn("b", F.explode(rates))
-    quotas = quotas.select(*CELL, "b", S.sample_amount(F.col("_t"), F.col("b")).alias("quota"))
-    sizes = S.stratified_sizes(classes.withColumn("b", F.explode(rates)), [*CELL, "b"], QID, quotas, SEED)
+    sizes = sample_sizes(population.groupBy(*keys).agg(F.count("*").alias("n")))
     ranked = S.ranked(population, keys, ID, S.order_hash(SEED, ID), rank="_rank")
     reached = null_safe(ranked, sizes.filter("s > 0").select(*keys, "b", "s"), keys)
     return reached.filter("_rank <= s").drop("_rank", "s")

@@ -21,7 +21,8 @@ from cloakframe.plans.tables import (
     FOLDS, GEN, ID, NODE, PEOPLE, PUB, QID, QKEY, RETURNED, SEED, TARGET,
     definition, generalized, people, published, returned, strat_cte, table,
 )
-from cloakframe.session import materialize
+from cloakframe.session import materialize, scratch_path
+from cloakframe.sources import files as IO
 
 
 def rounded(df, columns, digits=6):
@@ -244,7 +245,11 @@ def suppress_classes(spark, sf):
 def post_sample(spark, sf):
     """A node read from the statistics of a run, applied again, then sampled."""
     d = definition(spark, sf)
-    output = materialize(A.publish(people(spark, sf), d, {**NODE, "n_name": 1}, [P.KAnonymity(10)]), "published")
+    low, path = {**NODE, "n_name": 1}, scratch_path(spark, "run-stats")
+    first = A.publish(people(spark, sf), d, low, [P.KAnonymity(10)])
+    IO.write_stats(A.run_stats(first, d, low), path)
+    run = IO.read_stats(spark, path).select("QID", "node").first()
+    output = materialize(A.publish(people(spark, sf), d, dict(zip(run["QID"], run["node"], strict=True)), [P.KAnonymity(10)]), "published")
     return S.stratified_sample(output, QID, 0.1, ID, SEED).select("o_orderkey", *QID)
 
 

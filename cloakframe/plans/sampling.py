@@ -10,7 +10,7 @@ from cloakframe.operators import sampling as S
 from cloakframe.plans.registry import register
 from cloakframe.plans.tables import (
     FOLDS, GEN, ID, PEOPLE, PUB, QID, QKEY, SAMPLE, SEED, TARGET,
-    generalized, people, published, sample, strat_cte,
+    generalized, people, published, sample, strat_cte, table,
 )
 
 KEPT = "o_orderkey, n_name, c_mktsegment, o_orderdate, price_bin"
@@ -136,3 +136,11 @@ def journalist_risk(spark, sf):
     output, drawn = published_and_drawn(spark, sf)
     out = R.journalist_risk(drawn, output, QID)
     return out.select("o_orderkey", F.round("journalist_risk", 9).alias("journalist_risk"))
+
+
+@register("sample_repeated_ids", """WITH s AS (SELECT l_orderkey FROM lineitem QUALIFY row_number() OVER (ORDER BY md5('7|' || l_orderkey)) <= (SELECT floor(count(*) * CAST(0.3 AS DOUBLE)) FROM lineitem))
+  SELECT l_orderkey, count(*) AS n FROM s GROUP BY l_orderkey""")
+def sample_repeated_ids(spark, sf):
+    """Lines drawn per order where the id, the order, is not unique: the size is exact all the same."""
+    drawn = S.random_sample(table(spark, sf, "lineitem"), 0.3, ["l_orderkey"], SEED)
+    return drawn.groupBy("l_orderkey").agg(F.count("*").alias("n"))

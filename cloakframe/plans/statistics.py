@@ -13,7 +13,7 @@ from cloakframe.operators import risk as R
 from cloakframe.operators import sampling as S
 from cloakframe.operators import stats as T
 from cloakframe.operators.ranking import null_safe
-from cloakframe.plans.grids import BS, CELL, GRID, KS, SAMPLES, populations, run_counts, sample_cells
+from cloakframe.plans.grids import BS, CELL, GRID, KS, SAMPLES, populations, run_counts, sample_cells, sample_sizes
 from cloakframe.plans.registry import register
 from cloakframe.plans.tables import (
     FOLDS, GEN, ID, PEOPLE, PUB, QID, QKEY, SAMPLE, SEED, TARGET,
@@ -229,10 +229,10 @@ def eq_per_target(spark, sf):
   f AS (SELECT k, b, fold, avg(n) AS p, avg(m) AS s FROM p JOIN s USING (fold, k, {QKEY}) GROUP BY ALL)
   SELECT k, b, round(avg(p), 6) AS mean_population, round(stddev_pop(p), 6) AS std_population, round(avg(s), 6) AS mean_sample, round(stddev_pop(s), 6) AS std_sample FROM f GROUP BY k, b""")
 def eq_survivor_stats(spark, sf):
-    population, drawn, _ = grid_parts(spark, sf)
-    sampled = C.class_sizes(drawn, [*CELL, "b", *QID], "n_sample")
-    common = null_safe(sampled, C.class_sizes(population, [*CELL, *QID], "n_population"), [*CELL, *QID])
-    out = T.survivor_stats(common, drawn.select(*KB, "fold"), KB)
+    """On class sizes alone: which rows are drawn does not matter."""
+    classes = materialize(run_counts(spark, sf).withColumnRenamed("cnt", "n"), "classes")
+    common = materialize(sample_sizes(classes).filter("s > 0"), "common").withColumnsRenamed({"n": "n_population", "s": "n_sample"})
+    out = T.survivor_stats(common, common.select(*KB, "fold"), KB)
     return rounded(out, [c for c in out.columns if c not in KB])
 
 

@@ -146,3 +146,23 @@ def test_sample_size_out_of_range(spark):
         S.random_sample(population(spark), 1.2, ["id"], 1)
     with pytest.raises(ValueError):
         S.balanced_sample(population(spark), ["p"], "missing", 0.5, ["id"], 1)
+
+
+@pytest.mark.parametrize("rows", [[(1, "x", {"a": 1})] * 10, [(k % 3, "xyz"[k % 2], None) for k in range(11)], [(None, f"t{k}", None) for k in range(9)] + [(None, None, None)] * 4])
+def test_exact_sizes_where_ids_repeat(spark, rows):
+    """Sizes are exact, rows are taken from the table, and folds part it, also if ids or whole rows are equal."""
+    from collections import Counter
+
+    df = spark.createDataFrame(rows, "id int, t string, m map<string,int>").repartition(3)
+    key = lambda r: (r["id"], r["t"])
+    whole = Counter(map(key, df.collect()))
+    for b in (0.0, 0.3, 0.5, 1.0):
+        drawn = Counter(map(key, S.random_sample(df, b, ["id"], 7).collect()))
+        assert drawn.total() == int(len(rows) * b) and drawn <= whole
+        split = S.train_test(df, b, ["id"], 7).collect()
+        assert Counter(map(key, split)) == whole and sum(r["split"] == "train" for r in split) == int(len(rows) * b)
+    folds = S.k_fold(df, 4, ["id"], 7).collect()
+    sizes = Counter(r["fold"] for r in folds)
+    assert Counter(map(key, folds)) == whole and [sizes[k] for k in range(4)] == [len(rows) // 4 + (k < len(rows) % 4) for k in range(4)]
+    even = Counter(r["t"] for r in S.undersample(df, "t", ["id"], 7).collect())
+    assert set(even.values()) == {min(Counter(r["t"] for r in df.collect()).values())}
