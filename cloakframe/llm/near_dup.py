@@ -155,7 +155,7 @@ BROADCAST_IDS = 2_000_000
 
 
 def counted(ids: DataFrame) -> DataFrame:
-    """``ids``, one bigint column, written once and marked for broadcast if there are few enough.
+    """``ids``, a bigint column and at most a flag, written once and marked for broadcast if there are few enough.
 
     A join of texts with a small list of ids need not shuffle the texts; beyond the limit it does.
     """

@@ -24,9 +24,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Texts without words are in no group."""
-    dropped = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(counted(dropped), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group stays: the one with the smallest id, once.
+
+    Rows of one id are one document; of those with equal texts one stays. Texts without words are in no group, and
+    rows without id keep their place, as they cannot be named.
+    """
+    near = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max("kept").alias("kept"), F.count("*").alias("n"))
+    listed = counted(near.where("NOT kept OR n > 1").select("doc_id", F.col("kept").alias("_repeated")))
+    marked = docs.join(listed, "doc_id", "left")
+    once = marked.where("_repeated IS NULL").select(*docs.columns)
+    if not listed.where("_repeated").take(1):
+        return once
+    return once.unionByName(marked.where("_repeated").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
