@@ -29,12 +29,8 @@ class Decontamination:
     oversample: int = 8
     spaces_per_pass: int = 8
     window: int = 40
-    stride: int = 20
+    stride: int = 10
     margin: int = 24
-    common: float = 0.1
-    mostly_common: float = 0.75
-    cosine: float = 0.4
-    mass: float = 0.5
     overlap: float = 0.6
     answer_part: float = 0.5
     answer_share: float = 0.5
@@ -43,11 +39,15 @@ class Decontamination:
 class Passages:
     """The benchmark passages of one latent space: their words, weights and coordinates."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], p: Decontamination):
         self.items = np.array([i for i, _ in items], dtype=np.int64)
         self.words = [w for _, w in items]
-        self.terms, flat = np.unique(np.concatenate(self.words), return_inverse=True)
-        self.ids = np.split(flat, np.cumsum([len(w) for w in self.words])[:-1])
+        self.terms, self.flat = np.unique(np.concatenate(self.words), return_inverse=True)
+        self.first = np.cumsum([0] + [len(w) for w in self.words])[:-1]
+        self.ids = np.split(self.flat, self.first[1:])
+        self.unique, self.repeats = zip(*(np.unique(i, return_counts=True) for i in self.ids), strict=True)
+        self.pairs = np.cumsum([len(self.terms)] + [len(u) for u in self.unique])
+        self.need = np.array([math.ceil(p.overlap * len(w) - 1e-9) for w in self.words])
         self.idf: np.ndarray | None = None
         self.axes: np.ndarray | None = None
 
@@ -58,25 +58,69 @@ class Passages:
         where = np.flatnonzero(self.terms[k] == hashes)
         return where, k[where]
 
-    def weigh(self, frequency: np.ndarray, documents: int, p: Decontamination) -> None:
+    def regions(self, j: int, where: np.ndarray, terms: np.ndarray, starts: np.ndarray, p: Decontamination) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows whose region holds as many words of passage ``j`` as ``overlap`` asks for, and how often each of its words."""
+        unique, need = self.unique[j], self.need[j]
+        k = np.searchsorted(unique, terms)
+        k[k == len(unique)] = 0
+        hit = np.flatnonzero(unique[k] == terms)
+        at, k = where[hit], k[hit]
+        lows, highs = np.searchsorted(at, starts - p.margin), np.searchsorted(at, starts + p.window + p.margin)
+        many = np.flatnonzero(highs - lows >= need)
+        for part in (many[n : n + 256] for n in range(0, len(many), 256)):
+            low, count = lows[part], highs[part] - lows[part]
+            row = np.repeat(np.arange(len(part)), count)
+            pick = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            counts = np.bincount(row * len(unique) + k[pick], minlength=len(part) * len(unique)).reshape(len(part), -1)
+            enough = np.minimum(counts, self.repeats[j]).sum(axis=1) >= need
+            if enough.any():
+                yield starts[part[enough]], counts[enough]
+
+    def count(self, hashes: np.ndarray, counts: np.ndarray, p: Decontamination) -> None:
+        """Adds a document to the frequencies of terms, and of the words of each passage that it may be a copy of."""
+        where, terms = self.at(hashes)
+        present = np.zeros(len(self.terms), dtype=np.int32)
+        present[terms] = 1
+        counts[: len(present)] += present
+        for j in np.flatnonzero(np.add.reduceat(present[self.flat], self.first) >= self.need).tolist():
+            if any(True for _ in self.regions(j, where, terms, _starts(hashes, p), p)):
+                counts[self.pairs[j] : self.pairs[j + 1]] += present[self.unique[j]]
+
+    def weigh(self, counts: np.ndarray, documents: int, p: Decontamination) -> None:
+        """Weights, the rarer words of each passage (by the documents that are no copies of it), and the least weight of a find.
+
+        A find has ``need`` words of the passage and a share ``answer_share`` of the rarer ones; ``least`` is the sum of the
+        lightest such words.
+        """
+        frequency = counts[: len(self.terms)]
         self.idf = np.log((1.0 + documents) / (1.0 + frequency)) + 1e-3
-        light = frequency > p.common * documents
-        common = [i for i in self.ids if light[np.unique(i)].mean() > p.mostly_common]
-        for i in common:  # as where very many documents hold the passage itself: it keeps its words
-            light[i] = False
-        self.idf[light] = 0.0
-        self.least = min(float((self.idf[i] ** 2).sum()) for i in self.ids)
-        self.answers = []
-        for i in self.ids:
-            unique = np.unique(i)
-            rare = unique[np.lexsort((unique, -self.idf[unique]))][: math.ceil(p.answer_part * len(unique))]
-            self.answers.append(self.terms[rare])
+        self.answers, self.least = [], np.zeros(len(self.words))
+        for j, (unique, repeats) in enumerate(zip(self.unique, self.repeats, strict=True)):
+            others = frequency[unique]
+            rare = np.lexsort((unique, others))[: math.ceil(p.answer_part * len(unique))]
+            self.answers.append(rare)
+            mass = self.idf[unique] ** 2
+            asked = rare[np.argsort(mass[rare])][: math.ceil(p.answer_share * len(rare) - 1e-9)]
+            left = repeats.copy()
+            left[asked] -= 1
+            rest = np.sort(np.repeat(mass, left))[: max(int(self.need[j]) - len(asked), 0)]
+            self.least[j] = mass[asked].sum() + rest.sum()
 
     def place(self, axes: np.ndarray) -> None:
-        """Latent unit vectors of the passages."""
-        self.axes = axes.astype(np.float32)
-        vectors = np.stack([self.axes[i].T @ self.idf[i].astype(np.float32) for i in self.ids])
-        self.units = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        """Latent vectors of the passages and of the terms."""
+        self.axes = (axes * self.idf[:, None]).astype(np.float32)
+        self.vectors = np.stack([self.axes[i].sum(axis=0) for i in self.ids])
+
+    def near(self, terms: np.ndarray) -> list[int]:
+        """Passages whose share in the latent vector of a document's words reaches the least weight of a find.
+
+        The space holds the passages whole, so the inner product is that of the words; 1 % is left for rounding.
+        """
+        return np.flatnonzero(self.vectors @ self.axes[np.unique(terms)].sum(axis=0) >= 0.99 * self.least).tolist()
+
+
+def _starts(hashes: np.ndarray, p: Decontamination) -> np.ndarray:
+    return np.arange(0, max(len(hashes) - p.window, 0) + p.stride, p.stride)
 
 
 def common_subsequence(masks: dict[int, int], length: int, words: np.ndarray) -> int:
@@ -99,32 +143,19 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 def find(hashes: np.ndarray, space: Passages, p: Decontamination, masks: list[dict[int, int]]) -> dict[int, float]:
     """Benchmark items of ``space`` found in a document, each with its share of words in common order."""
     where, terms = space.at(hashes)
-    weighty = space.idf[terms] > 0
-    where, terms = where[weighty], terms[weighty]
-    if not len(where):
-        return {}
-    starts = np.arange(0, max(len(hashes) - p.window, 0) + p.stride, p.stride)
-    lows, highs = np.searchsorted(where, starts), np.searchsorted(where, starts + p.window)
-    weights = space.idf[terms]
-    mass = np.concatenate(([0.0], np.cumsum(weights**2)))
-    heavy = np.flatnonzero(mass[highs] - mass[lows] >= p.mass * space.least)
     found: dict[int, float] = {}
-    for k in range(0, len(heavy), 256):
-        part = heavy[k : k + 256]
-        low, count = lows[part], highs[part] - lows[part]
-        first = np.cumsum(count) - count
-        pick = np.arange(int(count.sum())) - np.repeat(first, count) + np.repeat(low, count)
-        rows = space.axes[terms[pick]] * weights[pick, None].astype(np.float32)
-        vectors = np.add.reduceat(rows, first, axis=0)
-        near = vectors @ space.units.T
-        near /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
-        for w, j in np.argwhere(near >= p.cosine).tolist():
-            length, begin = len(space.words[j]), int(starts[part[w]])
-            region = hashes[max(begin - p.margin, 0) : begin + p.window + p.margin]
-            share = common_subsequence(masks[j], length, region) / length
-            if share >= p.overlap and np.isin(space.answers[j], region).sum() >= p.answer_share * len(space.answers[j]):
-                item = int(space.items[j])
-                found[item] = max(found.get(item, 0.0), share)
+    if not len(where):
+        return found
+    starts = _starts(hashes, p)
+    for j in space.near(terms):
+        length, item, answers = len(space.words[j]), int(space.items[j]), space.answers[j]
+        for begins, counts in space.regions(j, where, terms, starts, p):
+            answered = (counts[:, answers] > 0).sum(axis=1) >= p.answer_share * len(answers)
+            for begin in begins[answered].tolist():
+                region = hashes[max(begin - p.margin, 0) : begin + p.window + p.margin]
+                share = common_subsequence(masks[j], length, region) / length
+                if share >= p.overlap:
+                    found[item] = max(found.get(item, 0.0), share)
     return found
 
 
@@ -161,33 +192,32 @@ def _added(partials: DataFrame) -> dict[int, np.ndarray]:
     return {r.slot: np.frombuffer(r.data) for r in summed.toLocalIterator()}
 
 
-def document_frequencies(docs: DataFrame, spaces: list[Passages]) -> tuple[list[np.ndarray], int]:
-    """In how many of all documents each term of each space occurs, and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast([s.terms for s in spaces])
+def document_frequencies(docs: DataFrame, spaces: list[Passages], p: Decontamination) -> tuple[list[np.ndarray], int]:
+    """In how many of all documents each term of each space occurs, behind them the same for each passage's words in
+    documents that may be copies of it (they have a region with ``overlap`` of its words), and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(spaces)
+    at = np.cumsum([0] + [int(s.pairs[-1]) for s in spaces])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = np.unique(np.concatenate(shared.value))
-        counts, rows = np.zeros(len(every), dtype=np.int64), 0
+        counts, rows = np.zeros(at[-1], dtype=np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
                 hashes = _words(text.as_py())
-                k = np.searchsorted(every, hashes)
-                k[k == len(every)] = 0
-                counts[np.unique(k[every[k] == hashes])] += 1
+                for k, space in enumerate(shared.value):
+                    space.count(hashes, counts[at[k] : at[k + 1]], p)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(seen, -1), pa.int64()), pa.array(np.append(counts[seen], rows), pa.int64())], names=["term", "n"])
 
-    every = np.unique(np.concatenate([s.terms for s in spaces]))
-    total, documents = np.zeros(len(every)), 0
+    total, documents = np.zeros(at[-1]), 0
     counted = docs.select(F.col("text").cast("binary")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     for r in counted.toLocalIterator():
         if r.term < 0:
             documents = r.n
         else:
             total[r.term] = r.n
-    return [total[np.searchsorted(every, s.terms)] for s in spaces], documents
+    return np.split(total, at[1:-1]), documents
 
 
 def latent_axes(rows: DataFrame, spaces: list[Passages], p: Decontamination) -> None:
@@ -239,12 +269,13 @@ def mix_normal(rows: int, columns: int) -> np.ndarray:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """``docs`` with ``contaminated``, ``n_items``, ``item_ids``, ``best_item`` and ``overlap`` for each row.
 
-    Words are lower-cased (A-Z) runs without blanks. Every ``stride`` words of a document a window of ``window`` words is
-    weighed by TF-IDF (frequencies over all documents; words of more than a share ``common`` of them have no weight, but
-    for passages that are ``mostly_common``) and projected into the latent spaces of the benchmark. Windows that weigh less than a share
-    ``mass`` of the lightest passage are passed over. A passage whose cosine reaches ``cosine`` is a
-    candidate; it is found if its longest common subsequence with the words around the window has at least ``overlap``
-    of its words and at least ``answer_share`` of its rarer words (the ``answer_part`` that carries the answer) stand there.
+    Words are lower-cased (A-Z) runs without blanks. A document's words are weighed by IDF and projected into the latent
+    spaces of the benchmark; a passage is a candidate if its inner product reaches the weight of the lightest words that
+    a find must have. Every ``stride`` words there is a window of ``window`` words; a candidate is found if its longest
+    common subsequence with the window and ``margin`` words on both sides has at least ``overlap`` of its words and at least
+    ``answer_share`` of its rarer words (the ``answer_part`` that carries the answer) stand there. What is passed over
+    before can't reach ``overlap`` or ``answer_share``. Rarer words are those of fewer documents, without the documents
+    that may be copies of the passage, so that many copies don't make their words common.
 
     NULL and empty texts contain nothing; benchmark rows without id or words are passed over, equal ones are found
     together; repeated rows are judged alike; an empty benchmark or table flags nothing. Columns of ``docs`` that bear a
@@ -261,8 +292,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Decontamination = De
         members = [(r.item_id, np.frombuffer(r.words, dtype=np.uint64)) for r in numbered.where(F.col("pass") == number).sort("item_id", "words").toLocalIterator()]
         if not members:
             continue
-        spaces = [Passages(members[k : k + p.dimensions]) for k in range(0, len(members), p.dimensions)]
-        frequencies, documents = document_frequencies(docs, spaces)
+        spaces = [Passages(members[k : k + p.dimensions], p) for k in range(0, len(members), p.dimensions)]
+        frequencies, documents = document_frequencies(docs, spaces, p)
         for space, frequency in zip(spaces, frequencies, strict=True):
             space.weigh(frequency, documents, p)
         placed = docs.sparkSession.createDataFrame(

@@ -385,6 +385,49 @@ def test_decontamination(spark, docs, hard):
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
 
 
+def kept_words(text, share, seed):
+    """The text with words replaced, of which at least ``share`` stay."""
+    rng, parts = random.Random(seed), text.split()
+    gone = set(rng.sample(range(len(parts)), len(parts) - math.ceil(share * len(parts))))
+    return " ".join(f"z{seed}x{i}" if i in gone else w for i, w in enumerate(parts))
+
+
+def plain_found(rows, passages, p):
+    """Items of ``(item, words)`` found in each row by trying every passage at every window."""
+    number = collections.defaultdict(itertools.count().__next__)
+    windows = {}
+    for k, text in rows:
+        parts = text.split()
+        windows[k] = [parts[max(b - p.margin, 0) : b + p.window + p.margin] for b in range(0, max(len(parts) - p.window, 0) + p.stride, p.stride)]
+    found = {k: set() for k, _ in rows}
+    for item, passage in passages:
+        masks, whole = decontaminate._masks(np.array([number[w] for w in passage])), collections.Counter(passage)
+        copies = {k: [w for w in regions if sum((collections.Counter(w) & whole).values()) >= p.overlap * len(passage)] for k, regions in windows.items()}
+        frequency = collections.Counter(w for k, text in rows for w in whole.keys() & set(text.split()))
+        rare = sorted(whole, key=lambda w: (frequency[w], int(word_hashes(w.encode())[0])))
+        rare = rare[: math.ceil(p.answer_part * len(rare))]
+        for k, regions in copies.items():
+            for region in regions:
+                order = decontaminate.common_subsequence(masks, len(passage), np.array([number[w] for w in region]))
+                if order / len(passage) >= p.overlap and sum(w in region for w in rare) >= p.answer_share * len(rare):
+                    found[k].add(item)
+    return found
+
+
+def test_decontamination_of_long_passages(spark):
+    """Long passages only, of which 60 to 75 % of words are kept."""
+    p = decontaminate.Decontamination()
+    items = [(k, words(62, 2000 + k, 3000)) for k in range(30)]
+    shares = (0.6, 0.65, 0.7, 0.75)
+    rows = [(k, f"{words(30 + k, k, 3000)} {kept_words(t, shares[k % 4], k)} {words(50, k + 500, 3000)}") for k, t in items]
+    rows += [(200 + k, words(120, 300 + k, 3000)) for k in range(10)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontaminate.decontaminate(frame, bench, p).collect()}
+    assert got == plain_found(rows, [(k, t.split()) for k, t in items], p)
+    assert sum(k in got[k] for k in range(30)) >= 28
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(100):
