@@ -96,7 +96,7 @@ class Passages:
         self.idf = np.log((1.0 + documents) / (1.0 + frequency)) + 1e-3
         self.answers, self.least = [], np.zeros(len(self.words))
         for j, (unique, repeats) in enumerate(zip(self.unique, self.repeats, strict=True)):
-            others = frequency[unique]
+            others = frequency[unique] - counts[self.pairs[j] : self.pairs[j + 1]]
             rare = np.lexsort((unique, others))[: math.ceil(p.answer_part * len(unique))]
             self.answers.append(rare)
             mass = self.idf[unique] ** 2
