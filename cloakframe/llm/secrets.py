@@ -20,7 +20,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"(?i:passw|passphrase|secret|token|api.?key|auth|credential|private.?key|signature|bearer|login)", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 
 # Identifiers and idioms that surround secrets in code and settings, for the compressor's dictionary.
 IDENTIFIERS = """
@@ -69,10 +70,10 @@ class NoveltyScan:
         """Candidates close behind a sensitive word, in no known span, whose marginal compressed size is high."""
         found: dict[int, tuple[int, int, int]] = {}
         for word in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + self.p.near + 1024)):
+            end, reach = word.end(), word.end() + self.p.near + LEAST
+            while begun := CANDIDATE.search(text, end, reach):  # bounds the start only
+                m = CANDIDATE.match(text, begun.start())
                 start, end = m.span()
-                if start - word.end() > self.p.near:
-                    break
                 if start in found or any(s < end and start < e for s, _, e in known):
                     continue
                 around = (text[max(start - self.p.context, 0) : start] + text[end : end + self.p.context]).encode()

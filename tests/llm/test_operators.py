@@ -226,6 +226,13 @@ def test_secrets(spark, docs, hard):
     assert secrets.secrets(clashing(docs, "spans")).count() == len(hard) and secrets.secrets(empty(spark)).count() == 0
 
 
+def test_long_secrets_are_whole():
+    rng = random.Random(8)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    text = f"private key follows: {blob} end"
+    assert secrets.NoveltyScan(secrets.Novelty()).spans(text, []) == [(21, 3, 3021)]
+
+
 # ------------------------------------------------------------------ 5 classifier
 
 
