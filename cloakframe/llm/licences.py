@@ -66,7 +66,10 @@ RULES = (
     ("Proprietary", "restricted", ("copyright", "all_rights")),
     ("Proprietary", "restricted", ("all_rights",)),
 )
-#: Every known sentence has one of these words; texts without one have no identifier.
+#: Every known sentence has one of these, before blanks are merged; texts without one have no identifier.
+KNOWN = (r"(?i)licen[sc]e|copyright|rights[ \t\r]+reserved|permission|redistribution|as[ \t\r]+is|cc0|public[ \t\r]+domain|"
+         r"any[ \t\r]+later[ \t\r]+version|under[ \t\r]+cc|neither[ \t\r]+the[ \t\r]+name")
+#: The SQL's, which misses some.
 HINT = "(?i)licen[sc]e|copyright|rights reserved|permission|redistribution|as is|cc0|public domain|any later version|copy of"
 
 
@@ -85,8 +88,8 @@ def licences(docs: DataFrame) -> DataFrame:
     columns are ignored. One projection of built-in functions, no shuffle.
     """
     ids = F.expr(
-        "CASE WHEN text RLIKE r'" + HINT + "' THEN array_join(transform("
-        r"filter(split(regexp_replace(text, r'([.!?])[ \t]+', '$1\n'), r'\n'), s -> s RLIKE r'" + HINT + "'), "
+        "CASE WHEN text RLIKE r'" + KNOWN + "' THEN array_join(transform("
+        r"filter(split(regexp_replace(text, r'([.!?])[ \t]+', '$1\n'), r'\n'), s -> s RLIKE r'" + KNOWN + "'), "
         r"t -> element_at(transform(array(regexp_replace(regexp_replace(lower(t), r'[ \t\r]+', ' '), "
         r"r'^[ #*/;.!-]+|[ #*/;.!?]+$', '')), s -> " + _case("s", "s RLIKE r'{1}'").replace("r'^", "r'^") + "), 1)), '><') END")
     out = docs.select("doc_id", F.coalesce(F.concat(F.lit("<"), F.nullif(ids, F.lit("")), F.lit(">")), F.lit("")).alias("sentence_ids"))

@@ -306,6 +306,29 @@ def test_licences(spark, docs, hard):
     assert licences.licences(clashing(docs, "licences")).count() == len(hard) and licences.licences(empty(spark)).count() == 0
 
 
+def test_every_licence_sentence_is_looked_at(spark):
+    """One sentence of the fewest words for each identifier, also with wide blanks, and each verb before a CC licence."""
+    given = [(f"{verb} under {name} 4.0", i) for verb in ("Licensed", "This work is released", "Distributed", "Available", "Published")
+             for name, i in (("CC BY", "cc_by"), ("CC BY-SA", "cc_by_sa"), ("CC BY-NC", "cc_nc"))]
+    least = [(f"SPDX-License-Identifier: {n}", i) for n, i in (("MIT", "spdx_mit"), ("Apache-2.0", "spdx_apache2"), ("BSD-2-Clause", "spdx_bsd"), ("GPL-3.0", "spdx_gpl3"), ("GPL-2.0", "spdx_gpl2"))]
+    least += [(f"Released under the {n}", i) for n, i in (
+        ("Apache License version 2.0", "apache2"), ("MIT License", "mit"), ("BSD License", "bsd"), ("Lesser General Public License version 2", "lgpl"),
+        ("Affero General Public License version 3", "agpl3"), ("General Public License version 3", "gpl3"), ("General Public License version 2", "gpl2"))]
+    least += [
+        ("CC0", "cc0"), ("This work is dedicated to the public domain", "cc0"), ("or at your option any later version", "later"),
+        ("You may not use this file except in compliance with the license", "apache_use"), ("You may obtain a copy of the license at x", "apache_copy"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy x", "mit_grant"),
+        ("The above copyright notice and this permission notice shall be included x", "mit_notice"),
+        ("Redistribution and use in source and binary forms, x", "bsd_redist"), ("Redistributions of source code must retain x", "bsd_source"),
+        ("Redistributions in binary form must reproduce x", "bsd_binary"), ("Neither the name of x may be used to endorse x", "bsd_endorse"),
+        ("The software is provided as is x", "as_is"), ("All rights reserved", "all_rights"), ("Copyright x", "copyright")]
+    assert {i for _, i in given + least} == {i for i, _ in licences.SENTENCES}
+    cases = [(t.replace(" ", gap), i) for t, i in given + least for gap in (" ", "  ", "\t")]
+    rows = [(k, t) for k, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licences.licences(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "sentence_ids").collect()}
+    assert got == {k: f"<{i}>" for k, (_, i) in enumerate(cases)}
+
+
 # ------------------------------------------------------------------ 8 mixing
 
 
