@@ -12,6 +12,7 @@ from cloakframe.llm.decontaminate import decontaminate
 from cloakframe.llm.licences import licences, licences_sql
 from cloakframe.llm.mixing import mix
 from cloakframe.llm.near_dup import NearDup, near_duplicates
+from cloakframe.llm.pieces import decode, encode, read_model
 from cloakframe.llm.quality import quality
 from cloakframe.llm.secrets import secrets
 from cloakframe.llm.sharding import shards
@@ -19,6 +20,7 @@ from cloakframe.llm.tokens import counter
 from cloakframe.llm.urls import filter_urls
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 # The rules of the url query, in order.
 URL_RULES = (
@@ -148,3 +150,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")).drop("text")
+
+
+@register("op13_sentence_pieces")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = read_model(PIECES)
+    encoded = encode(table(spark, sf_dir, "documents", "doc_id", "text"), model).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"), "ids")
+    return decode(encoded, model).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "spans_sha256")
