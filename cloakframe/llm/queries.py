@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm.classifier import classify
+from cloakframe.llm.collocations import collocations
 from cloakframe.llm.decontaminate import decontaminate
 from cloakframe.llm.licences import licences, licences_sql
 from cloakframe.llm.mixing import mix
@@ -152,6 +153,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")).drop("text")
 
 
+@register("op12_collocations")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 @register("op13_sentence_pieces")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = read_model(PIECES)
