@@ -32,4 +32,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``written``, once nothing reads it any more; other tables are left alone."""
+    path = getattr(written, "_written_to", None)
+    if path is not None:
+        context = written.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
