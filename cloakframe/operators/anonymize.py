@@ -42,8 +42,7 @@ def anonymize(
     high: dict[str, int] | None = None,
 ) -> tuple[DataFrame, dict[str, int] | None]:
     """Best node and the table published at it; everything ``*`` if none is valid."""
-    chosen = L.nodes(definition, low, high)
-    best = L.optimum(L.scores(df, definition, models, quality, suppression, chosen)).first()
+    best = L.search(df, definition, models, quality, suppression, low, high)
     if best is None:
         return df.withColumns({q: F.lit(STAR) for q in definition.qid}), None
     node = L.node_levels(definition, best["node"])

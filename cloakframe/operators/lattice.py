@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cloakframe.definition import Definition
@@ -303,3 +304,155 @@ def optimum(scored: DataFrame) -> DataFrame:
 
 def node_levels(definition: Definition, name: str) -> dict[str, int]:
     return dict(zip(definition.qid, (int(x) for x in name.split(","))))
+
+
+# ------------------------------------------------------------------ search without listing the lattice
+
+
+def least_losses(prepared: Prepared, definition: Definition, quality: Quality) -> list[list[float]]:
+    """For each attribute and level, what it adds to the loss of every node at that level or above, whatever is suppressed.
+
+    The mean loss of an attribute's cells needs the counts of its own values only. A suppressed row loses ``s``, which may
+    be less than its cells do; cells are weighed by the smaller factor, so the sum stays below the loss of any node above.
+    """
+    if quality.kind == "height":
+        return [[float(level) for level in range(h + 1)] for h in definition.heights]
+    if quality.kind != "loss":
+        return [[0.0] * (h + 1) for h in definition.heights]
+    counts = functools.reduce(DataFrame.unionByName, [
+        prepared.base.groupBy(F.col(q).cast("string").alias("raw")).agg(F.sum("cnt").alias("_f")).select(F.lit(q).alias("attribute"), "*")
+        for q in definition.qid
+    ])
+    weighed = null_safe(prepared.levels, counts, ["attribute", "raw"]).groupBy("attribute", "level").agg(
+        (F.sum(F.col("_f") * cell_loss(F.col("leaves"), F.col("domain"))) / F.sum("_f")).alias("mean"))
+    means = {(r["attribute"], r["level"]): r["mean"] for r in weighed.collect()}  # a line for each level of an attribute
+    factor = min(1.0, 2 * (1 - quality.gs), 2 * quality.gs) / sum(definition.weight(q) for q in definition.qid)
+    out = []
+    for q, h in zip(definition.qid, definition.heights, strict=True):
+        steps = [factor * definition.weight(q) * means.get((q, level), 0.0) for level in range(h + 1)]
+        # Nodes above a level include those at it: what any of them adds at least.
+        out.append([min(steps[level:]) for level in range(h + 1)])
+    return out
+
+
+def nested(prepared: Prepared) -> bool:
+    """Whether every label has one label above it, so that classes only merge on the way up."""
+    ladder = prepared.levels.groupBy("attribute", "raw").agg(
+        F.array_sort(F.collect_list(F.struct("level", F.coalesce("label", F.lit("\0")).alias("label")))).alias("_l"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("_l") - 1), lambda k: F.struct(
+        F.get("_l", k - 1).alias("under"), F.get("_l", k)["label"].alias("over")))
+    pairs = ladder.where(F.size("_l") > 1).select("attribute", F.inline(steps))
+    return pairs.groupBy("attribute", "under").agg((F.min("over") != F.max("over")).alias("apart")).where("apart").isEmpty()
+
+
+class Frontier:
+    """The part of a lattice that may still hold a better node, as cones: a node and all nodes above it.
+
+    Cones are taken in order of their least loss. With monotone models a node that fails fails with all nodes below it, so
+    a cone that begins below a known failure is replaced by the cones that leave it behind in one attribute. No list of
+    all nodes is made.
+    """
+
+    def __init__(self, low: Sequence[int], high: Sequence[int], least: Sequence[Sequence[float]], monotone: bool):
+        self.low, self.high, self.least, self.monotone = tuple(low), tuple(high), least, monotone
+        self.failed: list[tuple[int, ...]] = []
+        self.heap: list[tuple[float, int, tuple[int, ...]]] = []
+        self.seen: set[tuple[int, ...]] = set()
+        self.add(self.low)
+
+    def bound(self, node: Sequence[int]) -> float:
+        return sum(steps[level] for steps, level in zip(self.least, node, strict=True))
+
+    def add(self, node: tuple[int, ...]) -> None:
+        if node not in self.seen:
+            self.seen.add(node)
+            heapq.heappush(self.heap, (self.bound(node), sum(node), node))
+
+    def raise_from(self, node: tuple[int, ...], to: Sequence[int]) -> None:
+        """The cones above ``node`` that pass ``to`` in one attribute."""
+        for i, level in enumerate(to):
+            if level < self.high[i]:
+                self.add((*node[:i], level + 1, *node[i + 1:]))
+
+    def fail(self, node: tuple[int, ...]) -> None:
+        if self.monotone and not any(all(a <= b for a, b in zip(node, f, strict=True)) for f in self.failed):
+            self.failed = [f for f in self.failed if not all(a <= b for a, b in zip(f, node, strict=True))] + [node]
+
+    def take(self, n: int, limit: float) -> list[tuple[int, ...]]:
+        """Up to ``n`` nodes that aren't known to fail, of cones that may hold a loss of ``limit`` or less."""
+        taken: list[tuple[int, ...]] = []
+        while self.heap and len(taken) < n and self.heap[0][0] <= limit:
+            _, _, node = heapq.heappop(self.heap)
+            above = [f for f in self.failed if all(a <= b for a, b in zip(node, f, strict=True))]
+            if above:
+                self.raise_from(node, max(above, key=sum))
+            else:
+                taken.append(node)
+        return taken
+
+    def path(self, node: tuple[int, ...]) -> list[tuple[int, ...]]:
+        """From ``node`` to the top, always by the step that adds least to the bound."""
+        out = [node]
+        while out[-1] != self.high:
+            at = out[-1]
+            steps = [(self.least[i][at[i] + 1] - self.least[i][at[i]], i) for i in range(len(at)) if at[i] < self.high[i]]
+            i = min(steps)[1]
+            out.append((*at[:i], at[i] + 1, *at[i + 1:]))
+        return out
+
+
+def search(
+    df: DataFrame,
+    definition: Definition,
+    models: Sequence[Model],
+    quality: Quality = Quality(),
+    suppression: float = 0.0,
+    low: dict[str, int] | None = None,
+    high: dict[str, int] | None = None,
+    prepared: Prepared | None = None,
+    at_a_time: int = 16,
+) -> Row | None:
+    """The line of ``optimum`` without scoring all nodes: for definitions whose lattice is too large to list.
+
+    Nodes are judged in batches, each one plan over the distinct tuples: the nodes with the least possible losses, and for
+    each one halfway to the top, whose failure or success settles many others. Nothing is left out that may be better than
+    the best node known, so the result is that of all nodes. Losses other than ``loss`` and ``height`` have no bound, and
+    models that aren't monotone or hierarchies that aren't nested settle nothing; less is passed over then.
+    """
+    extra = search_columns(definition, models, quality)
+    prepared = prepared or prepare(df, definition, extra, quality.kind == "entropy")
+    start = [(low or {}).get(q, 0) for q in definition.qid]
+    end = [(high or {}).get(q, h) for q, h in zip(definition.qid, definition.heights, strict=True)]
+    least = least_losses(prepared, definition, quality)
+    bounded = quality.kind in ("loss", "height")
+    walk = Frontier(start, end, least, all(m.monotone for m in models) and nested(prepared))
+    known: dict[tuple[int, ...], Row] = {}
+    best: tuple | None = None
+
+    def judge(wanted: Sequence[tuple[int, ...]]) -> None:
+        nonlocal best
+        new = sorted({n for n in wanted if n not in known})
+        if not new:
+            return
+        for r in _score_batch(prepared, definition, models, quality, suppression, new, extra).collect():  # a line for each node
+            node = tuple(int(x) for x in r["node"].split(","))
+            known[node] = r
+            rank = (round(r["loss"], 9), r["level"], r["node"])
+            if not r["valid"]:
+                walk.fail(node)
+            elif best is None or rank < best:
+                best = rank
+
+    if walk.monotone:
+        judge(walk.path(walk.low))
+    while True:
+        taken = walk.take(at_a_time, best[0] + 2e-9 if best and bounded else math.inf)
+        if not taken:
+            break
+        probes = [(path := walk.path(n))[len(path) // 2] for n in taken] if walk.monotone else []
+        judge([*taken, *probes])
+        for node in taken:
+            # A node that loses no more than its cone must is the best of it.
+            if not (bounded and known[node]["valid"] and known[node]["loss"] <= walk.bound(node) + 1e-9):
+                walk.raise_from(node, node)
+    return None if best is None else known[tuple(int(x) for x in best[2].split(","))]

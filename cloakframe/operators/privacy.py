@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.definition import Hierarchy
-from cloakframe.operators.ranking import null_safe
+from cloakframe.operators.ranking import ROWS_PER_TASK, dealt_by_range, last_below, null_safe, running_total
 from cloakframe.session import materialize
 
 EPS = 1e-9  # tolerance for comparisons of accumulated floating point sums
@@ -22,7 +22,13 @@ EPS = 1e-9  # tolerance for comparisons of accumulated floating point sums
 
 @dataclass(frozen=True)
 class Model:
-    """Base of all models: ``columns`` it reads and a ``measure`` per class."""
+    """Base of all models: ``columns`` it reads and a ``measure`` per class.
+
+    ``monotone``: a class that holds still holds with any other class merged into it, so that no row is suppressed at a
+    node that isn't at one below.
+    """
+
+    monotone = False
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -43,6 +49,8 @@ class Model:
 class KAnonymity(Model):
     k: int
 
+    monotone = True
+
     def verdict(self, n, value):
         return n >= self.k
 
@@ -63,6 +71,8 @@ class _Sensitive(Model):
 class DistinctLDiversity(_Sensitive):
     l: int
 
+    monotone = True
+
     def measure(self, counted, keys):
         return self.pairs(counted, keys).groupBy(*keys).agg(F.count("*").alias("value"))
 
@@ -106,25 +116,47 @@ class OrderedTCloseness(_Sensitive):
     t: float
 
     def measure(self, counted, keys):
-        total = counted.groupBy(self.attribute).agg(F.sum("cnt").alias("_q"))
-        # One entry per value of the sensitive attribute, whatever the row count.
-        spread = total.agg(F.sort_array(F.collect_list(F.struct(F.col(self.attribute).alias("v"), F.col("_q").alias("q")))).alias("d"),
-                           F.sum("_q").alias("t"))
-        dist = spread.select(F.struct("d", "t").alias("s")).scalar()
-        per_class = self.pairs(counted, keys).groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.struct(F.col(self.attribute).alias("v")).alias("k"), F.col("_pc")))).alias("_m"),
-            F.sum("_pc").alias("_n"),
-        ).withColumn("_s", dist)
-        zero = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-
-        def step(acc, x):
-            p = F.coalesce(F.col("_m")[F.struct(x["v"].alias("v"))], F.lit(0)) / F.col("_n")
-            run = acc["run"] + p - x["q"] / F.col("_s.t")
-            return F.struct(run.alias("run"), (acc["sum"] + F.abs(run)).alias("sum"))
-
-        walked = F.aggregate("_s.d", zero, step, lambda acc: acc["sum"])
-        distance = F.when(F.size("_s.d") > 1, walked / (F.size("_s.d") - 1)).otherwise(F.lit(0.0))
-        return per_class.select(*keys, distance.alias("value"))
+        """Mean gap between the cumulative shares of a class and of the table, over the values but the last.
+
+        A class's share only changes at its own values. Between two of them the table's grows, so the gaps before it passes
+        the class's share and those after sum up from prefix sums of the table's shares. Where the table passes in
+        between, the place is looked up by range; no class is held as an array, none walks over values it lacks.
+        """
+        v = self.attribute
+        total = materialize(counted.groupBy(v).agg(F.sum("cnt").alias("_q")), "values")
+        facts = total.agg(F.count("*").alias("m"), F.sum("_q").alias("t")).first()
+        m, rows = facts["m"], facts["t"] or 0
+        parts = max(1, -(-m // ROWS_PER_TASK))
+        at = dealt_by_range(total, [v], parts)
+        at = running_total(at, [v], F.lit(1).cast("bigint"), "_i")
+        at = running_total(at, [v], F.col("_q"), "_c")
+        # _i: position from 1; _c: rows up to the value; _s: the sum of _c over the values up to it.
+        table = materialize(running_total(at, [v], F.col("_c").cast("decimal(38,0)"), "_s").drop("_part"), "prefixes")
+        pairs = null_safe(self.pairs(counted, keys), table, [v])
+        inside = Window.partitionBy(*keys).orderBy("_i")
+        whole = F.sum("_pc").over(Window.partitionBy(*keys))
+        after = [F.lead(c).over(inside) for c in ("_i", "_q", "_c", "_s")]
+        end = table.agg(F.max("_s").alias("s")).scalar()
+        steps = pairs.select(
+            *keys, "_i", "_c", (F.col("_s") - F.col("_c")).alias("_under"), F.row_number().over(inside).alias("_first"),
+            (F.sum("_pc").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) * F.lit(float(rows)) / whole).alias("_x"),
+            F.coalesce(after[0], F.lit(m + 1)).alias("_next"),  # the gap reaches up to the value before the next one
+            F.coalesce(after[2] - after[1], F.lit(rows)).alias("_top"), F.coalesce(after[3] - after[2], end).alias("_upto"),
+        )
+        steps = steps.withColumn("_apart", (F.col("_c") < F.col("_x")) & (F.col("_top") >= F.col("_x")))
+        kept = materialize(steps.withColumn("_id", F.monotonically_increasing_id()), "steps")
+        asked = kept.where("_apart").select("_id", F.col("_x").alias("_key"))
+        points = table.select(F.col("_c").cast("double").alias("_key"), "_i", "_s")
+        met = last_below(points, asked, "_key", parts).select("_id", F.col("_point._i").alias("_at"), F.col("_point._s").alias("_sum"))
+        # Up to _at the table's share is below the class's.
+        flat = F.when(F.col("_c") >= F.col("_x"), F.col("_i") - 1).otherwise(F.col("_next") - 1)
+        flat_sum = F.when(F.col("_c") >= F.col("_x"), F.col("_under")).otherwise(F.col("_upto"))
+        found = kept.join(met, "_id", "left").withColumn("_at", F.coalesce("_at", flat)).withColumn("_sum", F.coalesce("_sum", flat_sum))
+        below = F.col("_x") * (F.col("_at") - F.col("_i") + 1) - (F.col("_sum") - F.col("_under")).cast("double")
+        above = (F.col("_upto") - F.col("_sum")).cast("double") - F.col("_x") * (F.col("_next") - 1 - F.col("_at"))
+        start = F.when(F.col("_first") == 1, F.col("_under").cast("double")).otherwise(F.lit(0.0))
+        distance = F.sum(below + above + start) / (float(rows or 1) * max(m - 1, 1))
+        return found.groupBy(*keys).agg((distance if m > 1 else F.lit(0.0)).alias("value"))
 
     def verdict(self, n, value):
         return value <= F.lit(self.t + EPS)
@@ -136,11 +168,12 @@ class HierarchicalTCloseness(_Sensitive):
     hierarchy: Hierarchy
 
     def measure(self, counted, keys):
-        """Sparse level-by-level earth mover's distance.
+        """Earth mover's distance, level by level on a tree of the class's own values.
 
-        Only subtrees that hold rows of a class can have more mass than expected;
-        all others lack exactly their expected mass, so at each inner node the mass
-        moved is min(surplus, surplus - (p - q)) from the touched children alone.
+        A node is the path of labels above it. Only subtrees that hold rows of a class can have more mass than expected;
+        all others lack exactly their expected mass, so at each inner node the mass moved is min(surplus,
+        surplus - (p - q)) from the touched children alone. Each level is merged from the one below it, with its
+        expected mass and the cost so far, so levels shrink and the rows are read once.
         """
         height = self.hierarchy.height
         table = self.hierarchy.materialize(counted, self.attribute)
@@ -150,29 +183,26 @@ class HierarchicalTCloseness(_Sensitive):
         own = F.concat(F.lit("\0"), F.coalesce(F.col(self.attribute).cast("string"), F.lit("\0")))
         levels = F.coalesce(F.col("_lv"), F.concat(F.array_repeat(own, height), F.array(F.coalesce(top, F.lit("*")))))
 
-        def placed(rows):
-            return rows.join(lookup, F.col(self.attribute).cast("string") == F.col("_v"), "left").withColumn("_lv", levels)
+        def placed(rows, count, name):
+            path = rows.join(lookup, F.col(self.attribute).cast("string") == F.col("_v"), "left").withColumn("_path", levels)
+            return path.groupBy(*[k for k in keys if k in rows.columns], "_path").agg(F.sum(count).alias(name))
 
-        paths = placed(self.pairs(counted, keys))
-        every = placed(counted.groupBy(self.attribute).agg(F.sum("cnt").alias("_q")))
+        pairs = self.pairs(counted, keys)
+        every = materialize(placed(counted.groupBy(self.attribute).agg(F.sum("cnt").alias("cnt")), "cnt", "_q"), "leaves")
         grand = every.agg(F.sum("_q").alias("g")).scalar()
-        sizes = paths.groupBy(*keys).agg(F.sum("_pc").alias("_n"))
         zero = F.lit(0.0)
-        moved = None
+        at = null_safe(placed(pairs, "_pc", "_p"), every, ["_path"])
+        at = null_safe(at, pairs.groupBy(*keys).agg(F.sum("_pc").alias("_n")), keys).withColumn("_cost", zero)
         for h in range(1, height + 1):
-            expect_c = every.groupBy(F.col("_lv")[h - 1].alias("_child")).agg(F.sum("_q").alias("_q_child"))
-            expect_p = every.groupBy(F.col("_lv")[h].alias("_parent")).agg((F.sum("_q") / grand).alias("_q_parent"))
-            touched = paths.groupBy(*keys, F.col("_lv")[h - 1].alias("_child"), F.col("_lv")[h].alias("_parent")).agg(F.sum("_pc").alias("_p"))
-            sized = null_safe(touched, sizes, keys)
-            joined = null_safe(sized, expect_c, ["_child"])
-            extra = F.col("_p") / F.col("_n") - F.col("_q_child") / grand
-            inner = joined.groupBy(*keys, "_parent").agg(
-                F.sum(F.greatest(extra, zero)).alias("_surplus"), (F.sum("_p") / F.max("_n")).alias("_p_parent"))
-            inner = null_safe(inner, expect_p, ["_parent"])
-            lack = F.col("_surplus") - (F.col("_p_parent") - F.col("_q_parent"))
-            part = inner.select(*keys, (F.least(F.col("_surplus"), F.greatest(lack, zero)) * F.lit(h / height)).alias("_cost"))
-            moved = part if moved is None else moved.unionByName(part)
-        return moved.groupBy(*keys).agg(F.sum("_cost").alias("value"))
+            parent = F.slice("_path", 2, height - h + 1).alias("_path")
+            surplus = F.sum(F.greatest(F.col("_p") / F.col("_n") - F.col("_q") / grand, zero))
+            merged = at.groupBy(*keys, parent).agg(
+                surplus.alias("_surplus"), F.sum("_p").alias("_p"), F.max("_n").alias("_n"), F.sum("_cost").alias("_cost"))
+            every = every.groupBy(parent).agg(F.sum("_q").alias("_q"))
+            lack = F.col("_surplus") - (F.col("_p") / F.col("_n") - F.col("_q") / grand)
+            moved = F.least(F.col("_surplus"), F.greatest(lack, zero)) * F.lit(h / height)
+            at = null_safe(merged, every, ["_path"]).withColumn("_cost", F.col("_cost") + moved).drop("_surplus")
+        return at.groupBy(*keys).agg(F.sum("_cost").alias("value"))
 
     def verdict(self, n, value):
         return value <= F.lit(self.t + EPS)

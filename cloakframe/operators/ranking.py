@@ -103,30 +103,49 @@ def ranked(
     return out.drop("_h", "_n", "_part", "_rn", "_before", _ALL)
 
 
-def ordered_positions(values: DataFrame, order: Sequence[str], rank: str = "_rank", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Global position of distinct values in their own order, from 1.
+def dealt_by_range(values: DataFrame, order: Sequence[str], parts: int) -> DataFrame:
+    """``values``, written in ranges of ``order`` with the number ``_part`` of each; Spark samples the bounds."""
+    return materialize(values.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def running_total(dealt: DataFrame, order: Sequence[str], column: Column, name: str) -> DataFrame:
+    """``dealt`` with the sum of ``column`` over all rows up to each one, in the order they were dealt in.
 
-    Too many values for one task are split at values sampled by hash; the bounds
-    (20 per part, so at most 20 N / rows_per_task) are all the driver ever holds.
+    A range is summed up in its task, and what earlier ranges hold is added: one line for each range meets the others.
     """
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part").agg(F.sum(column).alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    return dealt.withColumn("_sum", F.sum(column).over(inside)).join(before, "_part").withColumn(
+        name, F.col("_sum") + F.col("_before")).drop("_sum", "_before")
+
+
+def ordered_positions(values: DataFrame, order: Sequence[str], rank: str = "_rank", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Global position of distinct values in their own order, from 1: the place in a range plus the ranges before it."""
     values = materialize(values, "values")
-    n = values.count()
-    key = F.struct(*order)
-    if n <= rows_per_task:
-        return values.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    parts = -(-n // rows_per_task)
-    share = min(1.0, 20.0 * parts / n)
-    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]))
-    picked = values.filter(uniform(h) < share).orderBy(*order).select(key.alias("k"))
-    position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k"))
-    bounds = picked.withColumn("_p", position).filter("_p % 20 = 0").agg(F.sort_array(F.collect_list("k")).alias("b")).scalar()
-    marked = values.withColumn("_b", bounds).withColumn("_k", key)
-    marked = marked.withColumn("_part", F.size(F.filter("_b", lambda b: b < F.col("_k")))).drop("_b")
+    dealt = dealt_by_range(values, order, max(1, -(-values.count() // rows_per_task)))
+    return running_total(dealt, order, F.lit(1).cast("bigint"), rank).drop("_part")
+
+
+def last_below(points: DataFrame, queries: DataFrame, key: str, parts: int) -> DataFrame:
+    """``queries`` with ``_point``, the row of ``points`` with the largest ``key`` below theirs (NULL if there is none).
+
+    Both are dealt by ranges of ``key`` together; what a range needs of earlier ones is their last point.
+    """
+    held = F.struct(*points.columns)
+    empty = F.lit(None).cast(points.select(held.alias("p")).schema["p"].dataType)
+    asked = F.struct(*queries.columns)
+    none = F.lit(None).cast(queries.select(asked.alias("q")).schema["q"].dataType)
+    both = points.select(key, F.lit(1).alias("_kind"), held.alias("_own"), none.alias("_asked")).unionByName(
+        queries.select(key, F.lit(0).alias("_kind"), empty.alias("_own"), asked.alias("_asked")))
+    dealt = dealt_by_range(both, [key], parts)
+    inside = Window.partitionBy("_part").orderBy(key, "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = marked.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_k"))
-    placed = null_safe(marked.withColumn("_rn", inside), before, ["_part"])
-    return placed.withColumn(rank, F.col("_rn") + F.col("_before")).drop("_k", "_part", "_rn", "_before")
+    ends = dealt.groupBy("_part").agg(F.max_by("_own", F.when(F.col("_kind") == 1, F.col(key))).alias("_end"))
+    carried = ends.select("_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    found = dealt.withColumn("_last", F.last("_own", ignorenulls=True).over(inside)).where("_kind = 0").join(carried, "_part")
+    return found.select("_asked.*", F.coalesce("_last", "_carried").alias("_point"))
 
 
 def content_hash(df: DataFrame) -> Column:

@@ -158,6 +158,68 @@ def anonymize_optimum(spark, sf):
     return rounded(L.optimum(scored), ["loss"])
 
 
+WIDE = {
+    "n_name": "[n_name, (SELECT any_value(r_name) FROM region WHERE r_regionkey = n_regionkey), '*']",
+    "c_mktsegment": "[c_mktsegment, '*']",
+    "o_orderdate": "[CAST(o_orderdate AS VARCHAR), quarter(o_orderdate) || '/' || year(o_orderdate), CAST(year(o_orderdate) AS VARCHAR), '*']",
+    "o_orderpriority": "[o_orderpriority, '*']",
+    "o_orderstatus": "[o_orderstatus, '*']",
+    "price": "[CAST(price AS VARCHAR), CAST(CAST(floor(price / 10) AS BIGINT) * 10 AS VARCHAR), '*']",
+    "balance": "[CAST(balance AS VARCHAR), CAST(CAST(floor(balance / 5) AS BIGINT) * 5 AS VARCHAR), '*']",
+    "digit": "[CAST(digit AS VARCHAR), '*']",
+}
+
+
+def wide_sql(k: int, suppression: float) -> str:
+    """All nodes over eight attributes, generalized one attribute after the other."""
+    names, parts = list(WIDE), []
+    parts.append("""rows_ AS (SELECT n_name, c_mktsegment, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority, o_orderstatus,
+    CAST(floor(o_totalprice / 10000) AS BIGINT) AS price, CAST(floor(c_acctbal / 1000) AS BIGINT) AS balance, c_custkey % 10 AS digit
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""")
+    parts.append(f"w0 AS (SELECT {', '.join(names)}, count(*) AS cnt, 0e0 AS cell FROM rows_ GROUP BY ALL)")
+    for i, (q, levels) in enumerate(WIDE.items()):
+        source = "SELECT * FROM nation" if q == "n_name" else f"SELECT DISTINCT {q} FROM rows_"
+        parts.append(f"""v{i} AS (SELECT {q} AS raw, {levels} AS lv FROM ({source})),
+  t{i} AS (SELECT raw, level, lv[level + 1] AS label, count(*) OVER (PARTITION BY level, lv[level + 1]) AS leaves, count(*) OVER (PARTITION BY level) AS domain
+    FROM v{i}, (SELECT CAST(unnest(range((SELECT max(len(lv)) FROM v{i}))) AS INTEGER) AS level))""")
+        done = "".join(f"l{j}, g{j}, " for j in range(i))
+        rest = "".join(f"{x}, " for x in names[i + 1:])
+        parts.append(f"""w{i + 1} AS (SELECT {done}{rest}level AS l{i}, label AS g{i}, CAST(sum(cnt) AS BIGINT) AS cnt,
+    max(cell + CASE WHEN domain > 1 THEN (leaves - 1e0) / (domain - 1) ELSE 0 END / {len(names)}) AS cell
+    FROM w{i} JOIN t{i} ON {q} = raw GROUP BY {done}{rest}level, label)""")
+    node = " || ',' || ".join(f"l{i}" for i in range(len(names)))
+    parts.append(f"""scored AS (SELECT {node} AS node, {' + '.join(f'l{i}' for i in range(len(names)))} AS level, CAST(sum(cnt) AS BIGINT) AS rows,
+    CAST(coalesce(sum(cnt) FILTER (cnt < {k}), 0) AS BIGINT) AS suppressed, count(*) FILTER (cnt >= {k}) AS classes,
+    sum(cnt * CASE WHEN cnt >= {k} THEN cell ELSE 1e0 END) / sum(cnt) AS loss FROM w{len(names)} GROUP BY {', '.join(f'l{i}' for i in range(len(names)))})""")
+    return f"WITH {', '.join(parts)} SELECT {SCORE}, true AS valid FROM scored WHERE suppressed <= {suppression} * rows {BEST}"
+
+
+def wide(spark, sf):
+    """Eight attributes of each order, and their hierarchies."""
+    tenth, fifth = (lambda c: F.floor(c / 10) * 10), (lambda c: F.floor(c / 5) * 5)
+    top = lambda c: F.lit("*")
+    rows = (
+        table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            "n_name", "c_mktsegment", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority", "o_orderstatus",
+            F.floor(F.col("o_totalprice") / 10000).alias("price"), F.floor(F.col("c_acctbal") / 1000).alias("balance"),
+            (F.col("c_custkey") % 10).alias("digit")))
+    d = definition(spark, sf, qid=tuple(WIDE), hierarchies={
+        "n_name": definition(spark, sf).hierarchy("n_name"), "o_orderdate": H.dates(["quarter_year", "year"]),
+        "price": Hierarchy.functional(tenth, top), "balance": Hierarchy.functional(fifth, top)})
+    return rows, d
+
+
+@register("anonymize_wide", wide_sql(10, 0.05))
+def anonymize_wide(spark, sf):
+    """The best of 1,728 nodes over eight attributes, without scoring most of them."""
+    rows, d = wide(spark, sf)
+    best = L.search(rows, d, [P.KAnonymity(10)], suppression=0.05)
+    schema = "node string, level int, rows bigint, suppressed bigint, classes bigint, loss double, valid boolean"
+    return rounded(spark.createDataFrame([best] if best else [], schema), ["loss"])
+
+
 HEIGHT = lattice_sql(loss="CAST(a + b + c AS DOUBLE)")
 
 
@@ -375,6 +437,41 @@ def check_tclose_hier(spark, sf):
     return judged(spark, sf, [P.HierarchicalTCloseness("o_orderpriority", 0.2, urgency())])
 
 
+PRICED = GEN + f""", val AS (SELECT {QKEY}, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS v FROM gen),
+  pv AS (SELECT {QKEY}, v, count(*) AS c FROM val GROUP BY ALL),
+  tv AS (SELECT v, row_number() OVER (ORDER BY v NULLS FIRST) AS i, sum(c) OVER (ORDER BY v NULLS FIRST ROWS UNBOUNDED PRECEDING) AS cum, sum(c) OVER () AS t, count(*) OVER () AS m FROM (SELECT v, count(*) AS c FROM val GROUP BY v)),
+  cls AS (SELECT {QKEY}, sum(c) AS n FROM pv GROUP BY ALL),
+  own AS (SELECT {QKEY}, tv.i, sum(c) OVER (PARTITION BY {QKEY} ORDER BY tv.i ROWS UNBOUNDED PRECEDING) AS run FROM pv JOIN tv ON pv.v IS NOT DISTINCT FROM tv.v),
+  grid AS (SELECT {QKEY}, n, i, cum / t AS q, m FROM cls, tv),
+  walk AS (SELECT g.*, coalesce(o.run, 0) / n AS p FROM grid g ASOF LEFT JOIN own o ON g.n_name = o.n_name AND g.c_mktsegment = o.c_mktsegment AND g.o_orderdate = o.o_orderdate AND g.i >= o.i)"""
+
+
+def many_valued(spark, sf):
+    """Prices as sensitive values: nearly as many as rows, some of them missing."""
+    price = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice"))
+    return generalized(spark, sf).withColumn("price", price)
+
+
+@register("check_tclose_price", f"""WITH {PRICED} SELECT {QKEY}, CAST(max(n) AS BIGINT) AS n, round(sum(abs(p - q)) / (max(m) - 1), 6) AS value_0, sum(abs(p - q)) / (max(m) - 1) <= 0.1 + 1e-9 AS ok FROM walk GROUP BY {QKEY}""")
+def check_tclose_price(spark, sf):
+    return judged(spark, sf, [P.OrderedTCloseness("price", 0.1)], many_valued(spark, sf))
+
+
+NULLED = GEN + f""", val AS (SELECT {QKEY}, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS v FROM gen),
+  pv AS (SELECT {QKEY}, v, count(*) AS c FROM val GROUP BY ALL), tot AS (SELECT v, count(*) AS q, (SELECT count(*) FROM val) AS t FROM val GROUP BY v)"""
+
+
+@register("check_tclose_null", f"""WITH {NULLED}, grid AS (SELECT {QKEY}, v, CASE WHEN v IS NULL THEN '?' WHEN v < '3' THEN 'soon' ELSE 'later' END AS u, q / t AS q FROM (SELECT DISTINCT {QKEY} FROM pv), tot),
+  d AS (SELECT g.{QKEY.replace(', ', ', g.')}, u, coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY g.{QKEY.replace(', ', ', g.')}) - q AS x, coalesce(c, 0) AS c FROM grid g LEFT JOIN pv ON pv.n_name = g.n_name AND pv.c_mktsegment = g.c_mktsegment AND pv.o_orderdate = g.o_orderdate AND pv.v IS NOT DISTINCT FROM g.v),
+  u AS (SELECT {QKEY}, u, sum(c) AS c, least(sum(greatest(x, 0)), sum(greatest(-x, 0))) / 2 AS cost, sum(x) AS x FROM d GROUP BY {QKEY}, u),
+  e AS (SELECT {QKEY}, CAST(sum(c) AS BIGINT) AS n, sum(cost) + least(sum(greatest(x, 0)), sum(greatest(-x, 0))) AS e FROM u GROUP BY {QKEY})
+  SELECT {QKEY}, n, round(e, 6) AS value_0, e <= 0.2 + 1e-9 AS ok FROM e""")
+def check_tclose_null(spark, sf):
+    """A missing priority is a leaf of its own."""
+    rows = generalized(spark, sf).withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")))
+    return judged(spark, sf, [P.HierarchicalTCloseness("o_orderpriority", 0.2, urgency())], rows)
+
+
 SUB = f"{GEN}, {RETURNED}, m AS (SELECT gen.*, r.o_orderkey IS NOT NULL AS inside FROM gen LEFT JOIN returned r ON r.o_orderkey = gen.o_orderkey)"
 
 
