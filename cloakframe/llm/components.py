@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.session import materialize
+from cloakframe.session import discard, materialize
 
 
 def _toward_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state:
             break
         state = seen
-        now = materialize(_toward_minimum(_toward_minimum(now, True), False), "edges")
+        before, now = now, materialize(_toward_minimum(_toward_minimum(now, True), False), "edges")
+        discard(before)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

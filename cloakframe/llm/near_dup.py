@@ -8,15 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.components import components
 from cloakframe.llm.words import coefficients, mix, shingles, word_hashes
-from cloakframe.session import materialize
+from cloakframe.session import discard, materialize
 
 FEATURES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, whole array<bigint>"
-SETS = "node bigint, shingles binary"
+SETS = "digest binary, part int, shingles binary"
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class NearDup:
     sketch_bits: int = 512
     estimate: float = 0.67
     block: int = 4096
+    shares: int = 8
 
     @property
     def max_distance(self) -> int:
@@ -79,6 +81,11 @@ def set_of(text: bytes | None, words: int) -> np.ndarray:
     return shingles(word_hashes((text or b"").lower()), words)
 
 
+def digest_of(items: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def features(docs: DataFrame, p: NearDup) -> DataFrame:
     """Set size, digest of the set, band keys and odd sketch of each row."""
 
@@ -90,7 +97,7 @@ def features(docs: DataFrame, p: NearDup) -> DataFrame:
                 for text in part.column(1):
                     items = set_of(text.as_py(), p.words)
                     sizes.append(len(items))
-                    digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+                    digests.append(digest_of(items))
                     signature = minhashes(items, p.samples)
                     bands.append(band_keys(signature, p.bands, p.rows).view(np.int64))
                     sketches.append(odd_sketch(samples_of(signature), p.sketch_bits).view(np.int64))
@@ -106,15 +113,25 @@ def features(docs: DataFrame, p: NearDup) -> DataFrame:
 
 
 def _sets(docs: DataFrame, p: NearDup) -> DataFrame:
+    """``(digest, part, shingles)``: the full sets of texts, each once for a task, whose number is ``part``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), set()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+                digests, sets = [], []
+                for text in batch.slice(start, 512).column(0):
+                    items = set_of(text.as_py(), p.words)
+                    digest = digest_of(items)
+                    if digest not in seen:
+                        seen.add(digest)
+                        digests.append(digest)
+                        sets.append(items.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([set_of(t.as_py(), p.words).tobytes() for t in part.column(1)], pa.binary())],
-                    names=["node", "shingles"])
+                    [pa.array(digests, pa.binary()), pa.array([task] * len(digests), pa.int32()), pa.array(sets, pa.binary())],
+                    names=["digest", "part", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary")).mapInArrow(run, SETS)
+    return docs.select(F.col("text").cast("binary")).mapInArrow(run, SETS)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
@@ -150,17 +167,17 @@ def _alike(p: NearDup) -> Column:
         & (distance("whole") * (100 + p.percent) <= (small + large) * (100 - p.percent)))
 
 
-#: Ids are broadcast up to this many (16 MB); more are met by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Short lists are broadcast up to this many rows, some 100 bytes each with the hash table; more are met by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def counted(ids: DataFrame) -> DataFrame:
-    """``ids``, a bigint column and at most a flag, written once and marked for broadcast if there are few enough.
+    """``ids``, rows of a few short columns, written once and marked for broadcast if there are few enough.
 
-    A join of texts with a small list of ids need not shuffle the texts; beyond the limit it does.
+    A join of texts with a short list need not shuffle the texts; beyond the limit it does.
     """
     written = materialize(ids, "ids")
-    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -168,10 +185,12 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 
     Two rows are linked if 100 * |intersection| >= percent * |union| of their sets of word shingles; ``component_id``
     is the smallest doc_id reachable. NULL and word-free texts have no set and no link. Equal rows are linked like any
-    equal texts. A NULL doc_id keeps its row, can be nobody's smallest id unless its whole component has none, and is
-    not kept. Other columns are ignored; an empty table gives no rows.
+    equal texts, and different texts under one doc_id are rows of their own. A NULL doc_id keeps its row and its links,
+    can be nobody's smallest id unless its whole component has none, and is not kept. Other columns are ignored; an empty
+    table gives no rows.
 
-    1. Rows of equal sets are one class, found by a partial aggregate of a 128-bit digest; its smallest id stands for it.
+    1. Rows of equal sets are one class, found by a partial aggregate of a 128-bit digest. Classes are numbered; what
+       follows costs a class as much however many rows it has, and its full set is made and held once.
     2. In each band bucket every class is paired with the one that shares buckets with most others. Pairs whose odd
        sketches are near enough are confirmed on the full sets, and links make first components.
     3. Only buckets that still hold several components are searched again: the classes outside a bucket's main
@@ -182,9 +201,10 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """
     rows = materialize(features(docs, p), "features")
     classes = materialize(
-        rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole")), "classes")
+        rows.where("n_shingles > 0").groupBy("digest").agg(
+            F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
     profile = classes.select("node", "n_shingles", "sketch", "whole", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("places"))
 
     keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -194,8 +214,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     meets = shared.groupBy("node").agg(F.sum("members").alias("meets"))
     pivots = shared.join(meets, "node").groupBy("key").agg(
         F.max_by("node", F.struct(F.col("meets"), -F.col("node"))).alias("pivot"))
-    wanted = counted(shared.select(F.col("node").alias("doc_id")).distinct())
-    sets = materialize(_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), p), "sets")
+    wanted = materialize(classes.select("node", "digest", "least").join(shared, "node", "left_semi"), "wanted")
+    named = counted(wanted.select("least").distinct())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(named, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    made = materialize(_sets(texts, p), "sets")
+    # Repeated rows and other texts of the same ids have made sets too: one of each wanted class is left.
+    once = counted(made.groupBy("digest").agg(F.min("part").alias("part")).join(wanted.select("digest", "node"), "digest"))
+    sets = made.join(once, ["digest", "part"]).select("node", "shingles")
 
     stars = shared.join(pivots, "key").where("node <> pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -210,14 +235,17 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
             "key", "band", "node", "members", F.coalesce("component", "node").alias("component"),
             "n_shingles", "sketch", "whole", "places"), "labelled")
     counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.first("members").alias("members"))
-    mixed = counts.groupBy("key").agg(
+    mixed = materialize(counts.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"),
         F.first("members").alias("members"), F.count("*").alias("parts")).where("parts > 1").select(
         "key", "main",
         F.ceil((F.col("members") - F.col("n_main")) / p.block).cast("int").alias("left_blocks"),
-        F.ceil(F.col("members") / p.block).cast("int").alias("right_blocks"))
-    open_rows = labelled.join(mixed, "key")
+        F.ceil(F.col("members") / p.block).cast("int").alias("right_blocks")), "mixed")
+    # A bucket may hold very many classes: they are dealt in shares before they meet what is known of the bucket.
     block = F.xxhash64("node")
+    shares = F.explode(F.sequence(F.lit(0), F.lit(p.shares - 1)))
+    open_rows = labelled.withColumn("share", F.pmod(block, F.lit(p.shares)).cast("int")).join(
+        mixed.withColumn("share", shares), ["key", "share"]).drop("share")
     left = open_rows.where("component <> main").withColumn("lb", F.pmod(block, "left_blocks").cast("int")).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1))).alias("l")
     right = open_rows.withColumn("rb", F.pmod(block, "right_blocks").cast("int")).withColumn(
@@ -233,9 +261,12 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     more = materialize(_confirm(again, sets, p), "links")
     linked = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
-    members = classes.select("digest", "node").join(linked, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component"))
+    grouped = classes.select("digest", "node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = grouped.groupBy("component").agg(F.min("least").alias("smallest"))
+    members = materialize(grouped.join(smallest, "component").select("digest", "smallest"), "members")
+    for spent in (classes, shared, wanted, made, links, labelled, mixed, more):
+        discard(spent)
     return rows.select("doc_id", "n_shingles", "digest").join(members, "digest", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

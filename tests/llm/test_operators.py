@@ -188,6 +188,37 @@ def test_near_copies_that_only_chain(spark):
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, c) for d, _, c in plain_components(rows, 4)}
 
 
+def test_two_texts_under_one_id(spark):
+    """Rows are linked by their own texts, also rows without id; an id names none of them alone."""
+    a, b = words(60, 21).split(), words(60, 22).split()
+    change = lambda text, *at: " ".join("new" if k in at else w for k, w in enumerate(text))
+    rows = [(7, change(a)), (7, change(b)), (3, change(a, 59)), (5, change(b, 59)), (None, change(a, 0)), (None, change(b, 0)),
+            (9, change(words(60, 23).split())), (None, change(words(60, 24).split()))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), near_dup.NearDup(words=4)).collect()
+    want = plain_components(rows, 4)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == collections.Counter(want)
+    assert {c for d, _, c in want if d == 7} == {3, 5}
+
+
+def test_repeated_rows_are_confirmed_once(spark, monkeypatch):
+    """Very many equal rows of one id cost one set, and their near copies one pair each."""
+    base = words(120, 31).split()
+    rows = [(7, " ".join(base))] * 2000 + [(100 + k, " ".join("x%d" % k if i == k else w for i, w in enumerate(base))) for k in range(100)]
+    met = []
+    confirm = near_dup._confirm
+
+    def counting(pairs, sets, p):
+        met.append((pairs.count(), sets.count(), sets.select("node").distinct().count(), pairs.join(sets, pairs["a"] == sets["node"]).count()))
+        return confirm(pairs, sets, p)
+
+    monkeypatch.setattr(near_dup, "_confirm", counting)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = near_dup.near_duplicates(df, near_dup.NearDup(words=4)).collect()
+    assert {r["component_id"] for r in got} == {7} and len(got) == 2100
+    for pairs, sets, nodes, joined in met:
+        assert sets == nodes <= 101 and joined == pairs
+
+
 def test_sketch_estimates_high_similarity():
     p, rng = near_dup.NearDup(), np.random.default_rng(1)
     for wanted in (0.7, 0.8, 0.9):
