@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from cloakframe.session import materialize
 
 BITS = 5
+#: A sort key has the curve index, 32 bits of checksum and bits of the id's hash; a cell is its first bits.
+ID_BITS = 15
+KEY_BITS = 3 * BITS + 32 + ID_BITS
+CELL_BITS = 18
+#: Ranges beyond this number grow instead.
+MAX_RANGES = 1 << 18
 
 
 def logarithmic(value: Column, per_octave: float = 1.3, bits: int = BITS) -> Column:
@@ -62,32 +69,52 @@ def hilbert(df: DataFrame, axes: Sequence[Column], name: str, bits: int = BITS)
     return df.select(*kept, index.alias(name))
 
 
-def positions(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """``df`` (written to the shared folder) with its 0-based place in the order of columns, and ``_rows``, their count.
+def ranges(keys: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
+    """Where each of the rows ``(_key, _size)`` stands: ``(_cell, _bounds, _ranges)``, and the number of rows.
 
-    Rows are dealt by range and sorted inside partitions; their place is the place in the partition plus the counts of
-    the partitions before it. No task sorts more than a range; a key of many rows is split if later columns differ.
+    Ranges of keys hold about ``range_bytes`` of ``_size``. A row's cell is the head of its key; the number of the cell's
+    bounds up to the row's key gives, by the map ``_ranges``, its range and the place at which this one begins. Only keys
+    are dealt and counted here, so that what belongs to them can be dealt once. There are 2**CELL_BITS cells and MAX_RANGES
+    ranges at most, which bounds this table.
     """
-    dealt = materialize(
-        df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id()), "ranges")
-    part = F.shiftright("_at", 33)
-    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = materialize(
-        counts.select("_part", (F.sum("n").over(upto) - F.col("n")).alias("_start"), F.sum("n").over(whole).alias("_rows")), "starts")
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_at", "_start")
-
-
-def shards(docs: DataFrame, n: int = 16, carry: Sequence[str] | None = None, text: str = "text") -> DataFrame:
+    held = keys.agg(F.count("*").alias("n"), F.sum((F.col("_size") + 1).cast("double")).alias("bytes")).first()
+    wanted = min(max(math.ceil((held["bytes"] or 0) / range_bytes), 1), MAX_RANGES)
+    cell = F.shiftright("_key", KEY_BITS - CELL_BITS)
+    bounds = materialize(
+        keys.repartitionByRange(wanted, "_key").groupBy(F.spark_partition_id()).agg(F.min("_key").alias("_key")), "bounds")
+    own = bounds.groupBy(cell.alias("_at")).agg(F.array_sort(F.collect_list("_key")).alias("_bounds"))
+    in_order = Window.orderBy("_cell")
+    cells = materialize(
+        keys.select(cell.alias("_cell")).distinct().join(own, F.col("_cell") == F.col("_at"), "left")
+        .select("_cell", F.coalesce("_bounds", F.array().cast("array<bigint>")).alias("_bounds"))
+        .withColumn("_before", F.sum(F.size("_bounds")).over(in_order) - F.size("_bounds")), "cells")
+    counts = keys.withColumn("_cell", cell).join(F.broadcast(cells), "_cell").groupBy(
+        "_cell", _bounds_up_to("_key").alias("_within")).agg(F.first("_before").alias("_before"), F.count("*").alias("n"))
+    upto = Window.orderBy("_cell", "_within").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        counts.withColumn("range", F.col("_before") + F.col("_within")).withColumn("_start", F.sum("n").over(upto) - F.col("n"))
+        .withColumn("start", F.min("_start").over(Window.partitionBy("range"))))
+    maps = placed.groupBy("_cell").agg(F.map_from_entries(F.collect_list(F.struct("_within", F.struct("range", "start")))).alias("_ranges"))
+    return materialize(cells.join(maps, "_cell").select("_cell", "_bounds", "_ranges"), "places"), held["n"]
+
+
+def _bounds_up_to(key: str) -> Column:
+    return F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
+
+
+def shards(
+    docs: DataFrame, n: int = 16, carry: Sequence[str] | None = None, text: str = "text", range_bytes: int = 16 << 20,
+) -> DataFrame:
     """``carry`` (default: all columns of ``docs``) with size, text_crc32, law, shard, slot and grown_shard.
 
     Language, UTF-8 size and number of lines are quantised to 32 steps each and put on a Hilbert curve; rows are sorted
-    by curve index, text checksum, size and doc_id and cut into ``n`` runs, so a shard's files cover a compact region of the
-    three dimensions. The law is ``rows``: counts of shards differ by one at most. Equal texts of one language stand
-    together. ``slot`` numbers a shard's rows from 0; grown_shard is NULL.
+    by curve index, text checksum, a hash of doc_id, size and doc_id and cut into ``n`` runs, so a shard's files cover a
+    compact region of the three dimensions. The law is ``rows``: counts of shards differ by one at most. Equal texts of one
+    language stand together. ``slot`` numbers a shard's rows from 0; grown_shard is NULL.
+
+    The sort keys alone are dealt into ranges and counted. Whole rows are then dealt by range in one exchange and numbered
+    inside it; a range holds ``range_bytes`` or, with more than MAX_RANGES of them, its share of all bytes. Only rows equal
+    in text and doc_id can't be parted into several ranges.
 
     NULL texts count as empty; NULL languages are a step of their own; repeated rows are interchangeable neighbours;
     fewer rows than shards leave shards empty; an empty table gives no rows. Columns named as a result are replaced.
@@ -99,11 +126,24 @@ def shards(docs: DataFrame, n: int = 16, carry: Sequence[str] | None = None, tex
     rows = docs.select(
         *keep, F.col("doc_id").alias("_id"), F.octet_length(whole).cast("bigint").alias("_size"),
         F.crc32(whole.cast("binary")).alias("_crc"), named(F.col("lang")).alias("_lang"), lines.alias("_lines"))
-    curved = hilbert(rows, [F.col("_lang"), logarithmic(F.col("_size")), logarithmic(F.col("_lines"))], "_curve")
-    placed = positions(curved.drop("_lang", "_lines"), ["_curve", "_crc", "_size", "_id"], "_rank")
-    shard = F.expr(f"(_rank * {n}) div _rows")
-    return placed.withColumn("_shard", shard).select(
+    steps = F.col("_lang") * 2 ** (2 * BITS) + logarithmic(F.col("_size")) * 2**BITS + logarithmic(F.col("_lines"))
+    # The curve of all combinations of steps is a table of fixed size, made once.
+    axes = [F.shiftright("id", k * BITS).bitwiseAND(F.lit(2**BITS - 1)) for k in (2, 1, 0)]
+    curve = materialize(hilbert(docs.sparkSession.range(2 ** (3 * BITS)), axes, "_curve"), "curve")
+    curved = rows.withColumn("_steps", steps.cast("bigint")).join(
+        F.broadcast(curve.withColumnRenamed("id", "_steps")), "_steps", "left")
+    key = F.shiftleft("_curve", KEY_BITS - 3 * BITS).bitwiseOR(F.shiftleft("_crc", ID_BITS)).bitwiseOR(
+        F.pmod(F.xxhash64("_id"), F.lit(2**ID_BITS)))
+    keyed = curved.withColumn("_key", key)
+    places, count = ranges(materialize(keyed.select("_key", "_size"), "keys"), range_bytes)
+    cell = F.shiftright("_key", KEY_BITS - CELL_BITS)
+    placed = keyed.withColumn("_cell", cell).join(F.broadcast(places), "_cell", "left").withColumn(
+        "_place", F.col("_ranges")[_bounds_up_to("_key")]).select(
+        *keep, "_id", "_size", "_crc", "_key", F.col("_place.range").alias("_range"), F.col("_place.start").alias("_start"))
+    inside = Window.partitionBy("_range").orderBy("_key", "_size", "_id")
+    ranked = placed.withColumn("_rank", F.col("_start") + F.row_number().over(inside) - 1)
+    return ranked.withColumn("_shard", F.expr(f"(_rank * {n}) div {max(count, 1)}")).select(
         *keep, (F.col("_size") + 1).alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"),
         F.col("_shard").cast("int").alias("shard"),
-        (F.col("_rank") - F.expr(f"(_shard * _rows + {n - 1}) div {n}")).alias("slot"),
+        (F.col("_rank") - F.expr(f"(_shard * {max(count, 1)} + {n - 1}) div {n}")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
