@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from cloakframe.definition import STAR
 from cloakframe.functions.text import range_midpoint
-from cloakframe.operators.ranking import ordered_positions
+from cloakframe.operators.ranking import null_safe, ordered_positions
+from cloakframe.session import materialize
 
 # ------------------------------------------------------------------ preparation
 
@@ -161,6 +162,35 @@ def classification_report(confusion: DataFrame, keys: Sequence[str], label: str,
     return per.select(*keys, "label", *named, "support").unionByName(overall)
 
 
+def bayes_grid(train: DataFrame, test: DataFrame, cells: Sequence[str], target: str, cat: Sequence[str], weight: str = "cnt", alpha: float = 1.0) -> DataFrame:
+    """Confusion counts ``(cells, target, predicted, weight)`` of a categorical naive Bayes classifier for every cell at once.
+
+    ``train`` and ``test`` hold merged rows with their count for each cell (say fold and k). A classifier is no more than
+    its counts: those of target values, and of target values with each attribute's value; all cells get theirs from one
+    aggregate, and each different test tuple is scored once. Shares are smoothed by ``alpha``; an attribute has as many
+    values as in the cell's training rows, and one that was never met has the smoothed share of nothing. Equal scores go to
+    the first target value; cells without training rows predict NULL.
+    """
+    cells, cat = list(cells), list(cat)
+    w = F.col(weight)
+    # NULL is a value like any other.
+    shown = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    lines = F.explode(F.array(*[F.struct(F.lit(i).alias("_a"), shown(c).alias("_v")) for i, c in enumerate(cat)])).alias("_l")
+    known = train.where(F.col(target).isNotNull())
+    counts = materialize(
+        known.select(*cells, F.col(target).alias("_t"), w, lines).groupBy(*cells, "_t", "_l._a", "_l._v").agg(F.sum(w).alias("_c")), "likelihoods")
+    priors = counts.where("_a = 0").groupBy(*cells, "_t").agg(F.sum("_c").alias("_n"))
+    totals = priors.groupBy(*cells).agg(F.sum("_n").alias("_all"))
+    values = counts.groupBy(*cells, "_a").agg(F.count_distinct("_v").alias("_values"))
+    tuples = materialize(test.groupBy(*cells, target, *cat).agg(F.sum(w).alias(weight)).withColumn("_id", F.monotonically_increasing_id()), "tuples")
+    asked = null_safe(tuples.select(*cells, "_id", F.posexplode(F.array(*[shown(c) for c in cat])).alias("_a", "_v")), priors, cells)
+    met = null_safe(null_safe(asked, values, [*cells, "_a"]), counts, [*cells, "_t", "_a", "_v"], "left")
+    share = F.log((F.coalesce("_c", F.lit(0)) + alpha) / (F.col("_n") + alpha * F.col("_values")))
+    scored = null_safe(met.groupBy(*cells, "_id", "_t").agg(F.sum(share).alias("_s"), F.first("_n").alias("_n")), totals, cells)
+    best = scored.groupBy("_id").agg(F.min_by("_t", F.struct(F.round(-(F.col("_s") + F.log(F.col("_n") / F.col("_all"))), 9), F.col("_t"))).alias("predicted"))
+    return tuples.join(best, "_id", "left").groupBy(*cells, target, "predicted").agg(F.sum(w).alias(weight))
+
+
 def majority(df: DataFrame, target: str) -> DataFrame:
     """The commonest target value, which a dummy classifier always predicts."""
     counts = df.groupBy(target).agg(F.count("*").alias("n"))
@@ -202,6 +232,6 @@ def load_experiment(path: str, report_schema: str) -> tuple[PipelineModel, DataF
 
 
 __all__ = [
-    "classification_report", "eliminate_features", "evaluate", "fit_predict", "majority", "one_hot",
+    "bayes_grid", "classification_report", "eliminate_features", "evaluate", "fit_predict", "majority", "one_hot",
     "ordinal_encode", "ranges_to_midpoints", "standard_scale", "starred_to_number",
 ]

@@ -9,9 +9,11 @@ from cloakframe.operators import classes as C
 from cloakframe.operators import hierarchies as H
 from cloakframe.operators import ml as M
 from cloakframe.operators import sampling as S
+from cloakframe.operators import stats as T
 from cloakframe.operators.privacy import KAnonymity
+from cloakframe.plans.grids import GRID, KS, fold_counts, run_counts
 from cloakframe.plans.registry import register
-from cloakframe.plans.tables import FOLDS, ID, NODE, PEOPLE, QID, SEED, TARGET, definition, people
+from cloakframe.plans.tables import FOLDS, ID, NODE, PEOPLE, QID, QKEY, SEED, TARGET, definition, generalized, people
 from cloakframe.session import materialize
 
 CAT = ["n_name", "c_mktsegment", "o_orderdate", "o_orderpriority"]
@@ -130,3 +132,52 @@ def ml_feature_elimination(spark, sf):
     output, test = anonymized_split(spark, sf)
     lines = M.eliminate_features(output, test, TARGET, CAT, [], keep=2, rounds=5)
     return lines.withColumn("accuracy", F.round("accuracy", 6))
+
+
+# ------------------------------------------------- all folds and k from counts
+
+STAR_ROW = " AND ".join(f"{q} = '*'" for q in QID)
+BAYES_GRID = GRID + f""", tr AS (SELECT fold, k, price_bin AS t, {QKEY} FROM pops WHERE NOT ({STAR_ROW}) UNION ALL SELECT fold, 0, price_bin, {QKEY} FROM train),
+  pri AS (SELECT fold, k, t, count(*) AS n FROM tr GROUP BY ALL), tot AS (SELECT fold, k, sum(n) AS total FROM pri GROUP BY ALL),
+  """ + ",\n  ".join(f"""c_{q} AS (SELECT fold, k, t, {q}, count(*) AS c FROM tr GROUP BY ALL), v_{q} AS (SELECT fold, k, count(DISTINCT {q}) AS nv FROM tr GROUP BY ALL)""" for q in QID) + f""",
+  te AS (SELECT own AS fold, CAST(k AS INTEGER) AS k, price_bin, {QKEY}, count(*) AS cnt FROM gen JOIN folds USING (o_orderkey), (VALUES (0), (5), (20)) v(k) GROUP BY ALL),
+  sc AS (SELECT te.*, pri.t, ln(pri.n / total) + """ + " + ".join(f"ln((coalesce(c_{q}.c, 0) + 1e0) / (pri.n + v_{q}.nv))" for q in QID) + """ AS score
+    FROM te JOIN pri USING (fold, k) JOIN tot USING (fold, k) """ + " ".join(
+    f"JOIN v_{q} USING (fold, k) LEFT JOIN c_{q} ON c_{q}.fold = te.fold AND c_{q}.k = te.k AND c_{q}.t = pri.t AND c_{q}.{q} = te.{q}" for q in QID) + f"""),
+  pred AS (SELECT fold, k, price_bin, cnt, t AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY fold, k, price_bin, {QKEY} ORDER BY round(-score, 9), t) = 1),
+  conf AS (SELECT fold, k, price_bin, predicted, CAST(sum(cnt) AS BIGINT) AS cnt FROM pred GROUP BY ALL)"""
+
+
+def bayes_confusion(spark, sf):
+    """Naive Bayes on every training fold, raw (k = 0) and k-anonymous without suppressed rows, tested on the fold held out."""
+    raw = fold_counts(spark, sf)
+    published = C.drop_suppressed(run_counts(spark, sf, carry=[TARGET]), QID)
+    train = published.unionByName(raw.withColumn("k", F.lit(0)).select(*published.columns))
+    rows = S.k_fold(generalized(spark, sf).select("o_orderkey", *QID, TARGET), FOLDS, ID, SEED)
+    held_out = rows.groupBy("fold", *QID, TARGET).agg(F.count("*").alias("cnt"))
+    test = held_out.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (0, *KS)])))
+    return M.bayes_grid(train, test, ["fold", "k"], TARGET, QID)
+
+
+@register("ml_bayes_grid", f"WITH {BAYES_GRID} SELECT * FROM conf")
+def ml_bayes_grid(spark, sf):
+    """Confusion counts of 30 classifiers: ten folds, raw and two k."""
+    return bayes_confusion(spark, sf)
+
+
+@register("ml_bayes_summary", f"""WITH {BAYES_GRID}, lab AS (SELECT fold, k, label, sum(support) AS support, sum(hit) AS hit, sum(said) AS said FROM (
+    SELECT fold, k, price_bin AS label, cnt AS support, CASE WHEN price_bin = predicted THEN cnt ELSE 0 END AS hit, 0 AS said FROM conf
+    UNION ALL SELECT fold, k, predicted, 0, 0, cnt FROM conf) GROUP BY ALL),
+  pr AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM lab),
+  rep AS (SELECT fold, k, label, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM pr),
+  frame AS (SELECT k, label, fold FROM (SELECT DISTINCT k, label FROM rep), (SELECT DISTINCT fold FROM conf)),
+  full_ AS (SELECT k, label, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, coalesce(f1, 0) AS f1 FROM frame LEFT JOIN rep USING (k, label, fold))
+  SELECT k, label, """ + ", ".join(
+    f"round({f}({m}), 6) AS {n}_{m}" for m in T.MEASURES for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))) + " FROM full_ GROUP BY k, label")
+def ml_bayes_summary(spark, sf):
+    """Mean, std, least and largest precision, recall and f1 of each target value over all folds."""
+    confusion = materialize(bayes_confusion(spark, sf), "confusion")
+    full = M.classification_report(confusion, ["fold", "k"], TARGET, "predicted", "cnt")
+    labels = full.where(~F.col("label").isin("macro avg", "weighted avg", "accuracy"))
+    lines = T.fold_mean_std(labels, labels, ["k"], FOLDS)
+    return lines.select("k", "label", *[F.round(c, 6).alias(c) for c in lines.columns if c not in ("k", "label")])
