@@ -16,6 +16,10 @@ from cloakframe.session import materialize
 FOLDS = 5
 
 
+#: Words of a text whose neighbours are counted at a time.
+PART = 1 << 17
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Parameters. ``sample`` bounds the labelled rows the network is fitted on; word vectors use all documents.
@@ -65,13 +69,16 @@ def word_vectors(docs: DataFrame, p: Classifier) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0):
                 words = _buckets(text.as_py(), p)
-                for step in range(1, p.window + 1):
-                    for here, there in ((words[:-step], words[step:]), (words[step:], words[:-step])):
-                        waiting.append(((here[:, None] * p.dimensions + places[there]).ravel(), signs[there].ravel()))
-                        n += len(here) * p.nonzeros
-                if n > 2_000_000:
-                    add()
-                    n = 0
+                for begin in range(0, len(words), PART):
+                    for step in range(1, p.window + 1):
+                        later = words[begin + step : begin + step + PART]
+                        earlier = words[begin : begin + len(later)]
+                        for here, there in ((earlier, later), (later, earlier)):
+                            waiting.append(((here[:, None] * p.dimensions + places[there]).ravel(), signs[there].ravel()))
+                            n += len(here) * p.nonzeros
+                    if n > 2_000_000:
+                        add()
+                        n = 0
         if waiting:
             add()
         table = total.reshape(p.buckets, p.dimensions)
@@ -159,8 +166,8 @@ def classify(docs: DataFrame, labels: DataFrame, p: Classifier = Classifier(), l
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs (doc_id, text)``.
 
     Word vectors are counted over all texts; each document's pooled vector is written to the shared folder. The network
-    learns from at most ``sample`` rows of ``labels`` (by order of a hash of the id) outside fold 0, the held-out fold; ids,
-    labels, language and source are no inputs. NULL and empty texts have the zero vector and a score like any;
+    learns from at most ``sample`` rows of ``labels`` (by order of a hash of the id) outside fold 0, the held-out fold, each
+    with one document of its id; ids, labels, language and source are no inputs. NULL and empty texts have the zero vector and a score like any;
     NULL ids are not held out and never learned from; NULL labels are passed over; repeated rows score alike; with
     fewer than 20 labels or one class only every score is the (smoothed) base rate; other columns are ignored.
     """
@@ -177,7 +184,9 @@ def classify(docs: DataFrame, labels: DataFrame, p: Classifier = Classifier(), l
     usable = labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0)).select(
         F.col("doc_id").cast("bigint"), F.col(label).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(p.sample)
-    learned = known.join(chosen, "doc_id").select("doc_id", "features", "label").toPandas().sort_values(["doc_id", "label"])
+    # However many documents bear a chosen id, the driver gets one.
+    named = known.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("features").alias("features"))
+    learned = named.join(chosen, "doc_id").select("doc_id", "features", "label").toPandas().sort_values(["doc_id", "label"])
     width = 2 * p.dimensions + 2
     x = np.frombuffer(b"".join(learned["features"]), dtype=np.float32).reshape(-1, width).astype(np.float64)
     network = spark.sparkContext.broadcast(Network(x, learned["label"].to_numpy(dtype=np.float64), p))

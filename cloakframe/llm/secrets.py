@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,20 +69,30 @@ class NoveltyScan:
         return len(self.compressor.compress(data))
 
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates close behind a sensitive word, in no known span, whose marginal compressed size is high."""
-        found: dict[int, tuple[int, int, int]] = {}
-        for word in SENSITIVE.finditer(text):
-            end, reach = word.end(), word.end() + self.p.near + LEAST
-            while begun := CANDIDATE.search(text, end, reach):  # bounds the start only
-                m = CANDIDATE.match(text, begun.start())
-                start, end = m.span()
-                if start in found or any(s < end and start < e for s, _, e in known):
-                    continue
-                around = (text[max(start - self.p.context, 0) : start] + text[end : end + self.p.context]).encode()
-                added = self.size(around + m[0].encode()) - self.size(around)
-                if added >= self.p.least * (end - start):
-                    found[start] = (start, 3, end)
-        return sorted(found.values())
+        """Candidates close behind a sensitive word or with one inside, in no known span, whose marginal size is high.
+
+        A candidate is a maximal run of its characters and judged once, so the spans don't overlap; the search is linear.
+        """
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        if not words:
+            return []
+        begins, ends = zip(*words, strict=True)
+        starts = [s for s, _, _ in known]
+        reach = list(itertools.accumulate((e for _, _, e in known), max))
+        found = []
+        for m in CANDIDATE.finditer(text):
+            start, end = m.span()
+            before = bisect.bisect_right(ends, start)
+            near = before and start - ends[before - 1] <= self.p.near
+            inside = before < len(begins) and begins[before] < end
+            taken = bisect.bisect_left(starts, end)
+            if not (near or inside) or taken and reach[taken - 1] > start:
+                continue
+            around = (text[max(start - self.p.context, 0) : start] + text[end : end + self.p.context]).encode()
+            added = self.size(around + m[0].encode()) - self.size(around)
+            if added >= self.p.least * (end - start):
+                found.append((start, 3, end))
+        return found
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -91,9 +103,9 @@ def secrets(docs: DataFrame, p: Novelty = Novelty()) -> DataFrame:
     """Counts and spans of secrets for each row of ``docs (doc_id, text)``.
 
     Spans are ``kind:start:end`` in code points, end exclusive, ordered by start and kind: ``assign`` (a sensitive name
-    given a value of 6 characters or more), ``access`` (key identifiers), ``hex`` (24 digits or more) and ``novel``: a string
-    of 16 characters or more within ``near`` characters after a sensitive word, in no other span, that a zstandard
-    compressor primed with identifiers cannot shorten even next to the surrounding text. ``base_sha256`` is the digest
+    given a value of 6 characters or more), ``access`` (key identifiers), ``hex`` (24 digits or more) and ``novel``: a whole
+    run of 16 characters or more that begins within ``near`` characters after a sensitive word or has one inside, meets no
+    other span, and that a zstandard compressor primed with identifiers cannot shorten even next to the surrounding text. ``base_sha256`` is the digest
     of the first three kinds. NULL texts count as empty; the digest of no span is that of the empty string; repeated
     rows are judged alike; other columns are ignored. No shuffle.
     """

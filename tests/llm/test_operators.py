@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -264,9 +265,94 @@ def test_long_secrets_are_whole():
     assert secrets.NoveltyScan(secrets.Novelty()).spans(text, []) == [(21, 3, 3021)]
 
 
+def plain_spans(text, scan):
+    """Both kinds of spans, place by place."""
+    word = lambda c: c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    base = []
+    for kind, pattern, fits in (
+        (0, secrets.ASSIGN, lambda m: len(m[2]) >= 6), (1, secrets.ACCESS, lambda m: len(m[0]) >= 20), (2, re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)):
+        at = 0
+        while at < len(text):
+            m = pattern.match(text, at)
+            if m and fits(m):
+                base.append((at, kind, m.end()))
+            at = m.end() if m else at + 1
+    novel = []
+    for start in range(len(text)):
+        if not word(text[start]) or start and word(text[start - 1]):
+            continue
+        end = next((k for k in range(start, len(text)) if not word(text[k])), len(text))
+        sensitive = [m.span() for m in secrets.SENSITIVE.finditer(text)]
+        close = any(e <= start <= e + scan.p.near or s < end and e > start for s, e in sensitive)
+        if end - start < 16 or not close or any(s < end and start < e for s, _, e in base):
+            continue
+        around = (text[max(start - scan.p.context, 0) : start] + text[end : end + scan.p.context]).encode()
+        if scan.size(around + text[start:end].encode()) - scan.size(around) >= scan.p.least * (end - start):
+            novel.append((start, 3, end))
+    return sorted(base), novel
+
+
+def test_spans_against_brute_force():
+    rng, scan, met = random.Random(17), secrets.NoveltyScan(secrets.Novelty()), 0
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    for _ in range(150):
+        parts = [rng.choice((
+            "token", "secret=", "api_key: ", "AKIA", "auth ", "é", " ", "\n", "login", "passw", "the word ", "'", "x" * rng.randint(1, 60),
+            key(rng.randint(2, 50)), "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(10, 30))))) for _ in range(rng.randint(1, 14))]
+        text = "".join(parts)
+        base, novel = plain_spans(text, scan)
+        assert secrets.base_spans(text) == base and scan.spans(text, base) == novel, text
+        met += len(novel)
+    assert met > 30
+
+
+def test_one_span_for_several_words_in_a_string():
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    text = f"auth header: {key()}token{key()} end"
+    scan = secrets.NoveltyScan(secrets.Novelty())
+    assert scan.spans(text, []) == [(13, 3, 98)]
+    begin = time.process_time()
+    scan.spans("secret_" * 150_000, [])
+    assert time.process_time() - begin < 5
+
+
 # ------------------------------------------------------------------ 5 classifier
 
 
+def test_a_repeated_id_is_learned_once(spark, monkeypatch):
+    rows = [(1, f"zip zap {k}") for k in range(500)] + [(k, "alpha beta") for k in range(2, 60)]
+    labels = [(k, k % 2) for k in range(1, 60)]
+    seen = []
+
+    fit = classifier.Network.__init__
+
+    def counted(self, x, y, p):
+        seen.append(len(x))
+        fit(self, x, y, p)
+
+    monkeypatch.setattr(classifier.Network, "__init__", counted)
+    got = classifier.classify(
+        spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int"), classifier.Classifier(epochs=1))
+    assert got.count() == len(rows) and seen[0] == sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in range(1, 60))
+
+
+def test_word_vectors(spark):
+    text = words(400, 77)
+    docs = spark.createDataFrame([(text,)], "text string")
+    whole = classifier.word_vectors(docs, classifier.Classifier(buckets=64))
+    places, signs = classifier._index_vectors(classifier.Classifier(buckets=64))
+    ids = classifier._buckets(text.encode(), classifier.Classifier(buckets=64))
+    total = np.zeros((64, 48))
+    for i in range(len(ids)):
+        for j in range(max(i - 2, 0), min(i + 3, len(ids))):
+            if i != j:
+                np.add.at(total[ids[i]], places[ids[j]], signs[ids[j]])
+    vectors = np.sign(total) * np.log1p(np.abs(total))
+    vectors -= vectors[vectors.any(axis=1)].mean(axis=0)
+    assert np.allclose(whole, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6), atol=1e-4)
+
+
 def test_classifier_learns_and_holds_out(spark):
     rng, rows, labels = random.Random(2), [], []
     for k in range(600):
