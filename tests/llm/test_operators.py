@@ -423,6 +423,61 @@ def test_licences(spark, docs, hard):
     assert licences.licences(clashing(docs, "licences")).count() == len(hard) and licences.licences(empty(spark)).count() == 0
 
 
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.""",
+}
+
+
+def test_published_notices(spark):
+    """Wrapped as they are published, and in comments of several kinds."""
+    block = lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.split("\n")) + " */\nint main() { return 0; }"
+    forms = [lambda t: t, block, *(lambda t, m=m: "\n".join(f"{m} {x}".rstrip() for x in t.split("\n")) + "\n\ncode = 1" for m in ("#", "//", "--", ";;")),
+             lambda t: t.replace("\n", "\r\n")]
+    rows = [(name, form(text)) for name, text in NOTICES.items() for form in forms]
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.licences(frame).select("doc_id", "licences").collect()}
+    assert got == {k: name for k, (name, _) in enumerate(rows)}
+
+
 def test_every_licence_sentence_is_looked_at(spark):
     """One sentence of the fewest words for each identifier, also with wide blanks, and each verb before a CC licence."""
     given = [(f"{verb} under {name} 4.0", i) for verb in ("Licensed", "This work is released", "Distributed", "Available", "Published")
@@ -431,6 +486,11 @@ def test_every_licence_sentence_is_looked_at(spark):
     least += [(f"Released under the {n}", i) for n, i in (
         ("Apache License version 2.0", "apache2"), ("MIT License", "mit"), ("BSD License", "bsd"), ("Lesser General Public License version 2", "lgpl"),
         ("Affero General Public License version 3", "agpl3"), ("General Public License version 3", "gpl3"), ("General Public License version 2", "gpl2"))]
+    free = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published "
+            "by the Free Software Foundation, either version {} of the License, or (at your option) any later version")
+    least += [(free.format(n, v), i) for n, v, i in (
+        ("General Public License", 3, "gpl3_later"), ("General Public License", 2, "gpl2_later"),
+        ("Lesser General Public License", 3, "lgpl_later"), ("Affero General Public License", 3, "agpl3_later"))]
     least += [
         ("CC0", "cc0"), ("This work is dedicated to the public domain", "cc0"), ("or at your option any later version", "later"),
         ("You may not use this file except in compliance with the license", "apache_use"), ("You may obtain a copy of the license at x", "apache_copy"),
