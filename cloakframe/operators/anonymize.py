@@ -11,7 +11,7 @@ from cloakframe.definition import STAR, Definition
 from cloakframe.operators import lattice as L
 from cloakframe.operators.hierarchies import generalize
 from cloakframe.operators.privacy import Model, check
-from cloakframe.operators.ranking import null_safe
+from cloakframe.operators.ranking import dealt_by_range, null_safe
 from cloakframe.session import materialize
 
 
@@ -280,48 +280,30 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     return group_quantiles(df, keys, value, [0.5]).select(*keys, F.col("value").alias(name))
 
 
-SMALL_GROUP = 10_000
-
-
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
-    """Exact interpolated quantiles per group as ``(keys, prob, value)``.
+    """Exact interpolated quantiles per group as ``(keys, prob, value)``; with a ``weight`` a line stands for that many rows.
 
-    Equal values are merged before the shuffle. In groups of more than
-    ``SMALL_GROUP`` rows a sketch brackets each wanted rank, so that only the
-    distinct values near it (well below a thousandth of the group) are put in order.
-    With a ``weight`` each line stands for that many rows; the distinct values of a
-    group are then ordered in one task, so they should be few, as ratios of sizes are.
+    Equal values are merged before the shuffle and dealt into ranges of group and value, so that a group of any size is
+    spread over tasks. A value's last rank is the count up to it in its range and that of the group's earlier ranges; the
+    values that hold the wanted ranks are then picked by a partial aggregate. No sketch, and no switch by size.
     """
     size = F.sum(weight) if weight else F.count("*")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(size.alias("_c"))
-    slack = 3e-4  # the sketch is off by at most 1e-4, a rank is less than 1e-4 here
-    ends = {p: (max(0.0, p - slack), min(1.0, p + slack)) for p in probs}
-    asked = sorted({0.0, 1.0, *(e for pair in ends.values() for e in pair)})
-    if weight:
-        ends_only = F.array(*[F.min("_v") if e < 1.0 else F.max("_v") for e in asked])
-        sketch = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), ends_only.alias("_q"))
-        small = F.lit(True)
-    else:
-        sketch = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, asked, 10000).alias("_q"))
-        small = F.col("_n") <= SMALL_GROUP
-    at = lambda e: F.col("_q")[asked.index(e)]
-    brackets = sketch.filter("_n > 0").withColumn("_b", F.explode(F.array(*[
-        F.struct(
-            F.lit(float(p)).alias("prob"),
-            F.when(small, at(0.0)).otherwise(at(low)).alias("lo"),
-            F.when(small, at(1.0)).otherwise(at(high)).alias("hi"))
-        for p, (low, high) in ends.items()
-    ]))).select(*keys, "_n", "_b.*")
-    joined = null_safe(counts, brackets, keys)
-    lower = F.sum(F.when(F.col("_v") < F.col("lo"), F.col("_c")).otherwise(0))
-    below = joined.groupBy(*keys, "prob").agg(lower.alias("_below"))
-    near = null_safe(joined.filter(F.col("_v").between(F.col("lo"), F.col("hi"))), below, [*keys, "prob"])
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.col("prob") * (F.col("_n") - 1)
-    placed = near.withColumn("_upto", upto + F.col("_below"))
-    pick = lambda r: F.min(F.when(F.col("_upto") >= r, F.col("_v")))
-    low, high = pick(F.floor(rank) + 1), pick(F.ceil(rank) + 1)
-    return placed.groupBy(*keys, "prob").agg((low + (high - low) * F.max(rank - F.floor(rank))).alias("value"))
+    dealt = dealt_by_range(counts, [*keys, "_v"])
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_held"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        *keys, "_part", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_held").over(Window.partitionBy(*keys)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = null_safe(dealt.withColumn("_upto", F.sum("_c").over(inside)), offsets, [*keys, "_part"]).withColumn(
+        "_upto", F.col("_upto") + F.col("_before"))
+    picked = []
+    for p in probs:
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = (F.min(F.when(F.col("_upto") >= end(rank) + 1, F.col("_v"))) for end in (F.floor, F.ceil))
+        picked.append(F.struct(F.lit(float(p)).alias("prob"), (low + (high - low) * F.max(rank - F.floor(rank))).alias("value")))
+    return placed.groupBy(*keys).agg(F.array(*picked).alias("_p")).select(*keys, F.inline("_p"))
 
 
 def group_mode(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode") -> DataFrame:

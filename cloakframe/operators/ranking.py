@@ -103,9 +103,13 @@ def ranked(
     return out.drop("_h", "_n", "_part", "_rn", "_before", _ALL)
 
 
-def dealt_by_range(values: DataFrame, order: Sequence[str], parts: int) -> DataFrame:
-    """``values``, written in ranges of ``order`` with the number ``_part`` of each; Spark samples the bounds."""
-    return materialize(values.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+def dealt_by_range(values: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``values``, written in ranges of ``order`` with the number ``_part`` of each; Spark samples the bounds.
+
+    Without ``parts`` there are as many as shuffles have, less those that adaptive execution merges.
+    """
+    dealt = values.repartitionByRange(parts, *order) if parts else values.repartitionByRange(*order)
+    return materialize(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def running_total(dealt: DataFrame, order: Sequence[str], column: Column, name: str) -> DataFrame:

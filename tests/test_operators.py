@@ -143,18 +143,27 @@ def test_wildcard_sizes_against_pairs(spark):
         assert got[t] == (rows.count(t), sum(fits(t, u) for u in rows))
 
 
-@pytest.mark.parametrize("small", [10_000, 3])
-def test_quantiles(spark, monkeypatch, small):
-    monkeypatch.setattr(A, "SMALL_GROUP", small)
+@pytest.mark.parametrize("parts", [1, 7])
+def test_quantiles(spark, monkeypatch, parts):
+    """Groups that share a range and groups over several; values that crowd around a wanted rank; weights."""
+    deal = A.dealt_by_range
+    monkeypatch.setattr(A, "dealt_by_range", lambda values, order: deal(values, order, parts))
     rng = random.Random(9)
-    # groups far above the limit use sketch brackets; with the low limit only large ones may
-    sizes = {"one": 1, "two": 2, "six": 6, "many": 30_000} if small > 3 else {"one": 1, "many": 30_000}
+    sizes = {"one": 1, "two": 2, "six": 6, "many": 30_000}
     rows = [(g, float(rng.randint(0, 5000))) for g, n in sizes.items() for _ in range(n)]
-    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {(r["g"], r["prob"]): r["value"] for r in A.group_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs).collect()}
-    for g in sizes:
+    crowd = [0.0] * 5_001 + [1.0 + k * 1e-9 for k in range(4_999)] + [1e9 * k for k in range(5_000)]
+    rows += [("crowd", v) for v in crowd] + [(None, float(k)) for k in range(11)] + [("one", None), ("none", None)]
+    probs = [0.0, 0.25, 0.5, 1 / 3, 0.9, 1.0]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["prob"]): r["value"] for r in A.group_quantiles(df, ["g"], "v", probs).collect()}
+    groups = {*sizes, "crowd", None}
+    assert {g for g, _ in got} == groups
+    for g in groups:
         for p in probs:
-            assert got[(g, p)] == pytest.approx(np.quantile([v for k, v in rows if k == g], p))
+            assert got[(g, p)] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], p), rel=1e-12)
+    merged = df.where("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("w"))
+    weighed = {(r["g"], r["prob"]): r["value"] for r in A.group_quantiles(merged, ["g"], "v", probs, "w").collect()}
+    assert weighed == got
 
 
 def test_microaggregation_ignores_nulls(spark):
