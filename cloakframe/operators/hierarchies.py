@@ -7,7 +7,9 @@ distinct values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +59,36 @@ def _label(low: Column, high: Column, decimals: int) -> Column:
     return F.concat(F.lit("["), low.cast(kind).cast("string"), F.lit(", "), high.cast(kind).cast("string"), F.lit("["))
 
 
+@dataclass(frozen=True)
+class Bound:
+    """One end of an interval hierarchy.
+
+    From ``coding`` on (below or above) values get a bound label. Values between ``snap`` and ``coding`` belong to the interval
+    at ``snap``, which is extended to ``coding``. Values beyond ``last`` are out of range and have no label.
+    """
+
+    snap: float
+    coding: float
+    last: float
+
+    @staticmethod
+    def of(x: float | Bound, beyond: float) -> Bound:
+        return x if isinstance(x, Bound) else Bound(x, x, beyond)
+
+
+def _searched(value: Column, edges: Sequence[float], low: int, high: int) -> Column:
+    """Which of the spans ``low`` to ``high`` that begin at sorted ``edges`` holds ``value``, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high + 1) // 2
+    return F.when(value < F.lit(edges[middle]), _searched(value, edges, low, middle - 1)).otherwise(_searched(value, edges, middle, high))
+
+
 def intervals(
     widths: Sequence[float],
     origin: float,
-    low: float,
-    high: float,
+    low: float | Bound,
+    high: float | Bound,
     fanouts: Sequence[Sequence[int]] = (),
     labels: Sequence[Sequence[str]] = (),
     decimals: int = 0,
@@ -71,9 +98,11 @@ def intervals(
     ``widths`` are the base intervals from ``origin`` on and repeat with their total
     width as period; ``fanouts[i]`` tells how many intervals of the level below each
     group of level ``i`` joins and repeats likewise. Values below ``low`` or from
-    ``high`` on get a bound label, NULL stays NULL and the top level is ``*``.
+    ``high`` on get a bound label, NULL stays NULL and the top level is ``*``; a ``Bound``
+    parts snapping, bound labels and the range itself.
     ``labels[i]``, if given, name the groups of one period of level ``i``.
     """
+    bottom, top = Bound.of(low, -math.inf), Bound.of(high, math.inf)
     levels: list[list[float]] = [list(widths)]
     for group in fanouts:
         below, merged, position = levels[-1], [], 0
@@ -89,19 +118,27 @@ def intervals(
 
         def apply(c: Column) -> Column:
             v = c.cast("double")
-            turn = F.floor((v - F.lit(float(origin))) / F.lit(period)).cast("double")
-            base = F.lit(float(origin)) + turn * F.lit(period)
-            text = None
-            for j in reversed(range(len(spans))):
-                if i < len(labels) and labels[i]:
-                    name = F.lit(labels[i][j])
-                else:
-                    name = _label(base + F.lit(starts[j]), base + F.lit(starts[j] + float(spans[j])), decimals)
-                text = name if text is None else F.when(v - base < F.lit(starts[j + 1]), name).otherwise(text)
+            inner = v
+            if bottom.snap > bottom.coding:
+                inner = F.greatest(inner, F.lit(float(bottom.snap)))
+            if top.snap < top.coding:
+                inner = F.least(inner, F.lit(math.nextafter(top.snap, -math.inf)))
+            base = F.lit(float(origin)) + F.floor((inner - F.lit(float(origin))) / F.lit(period)).cast("double") * F.lit(period)
+            at = _searched(inner - base, starts, 0, len(spans) - 1)
+            if i < len(labels) and labels[i]:
+                text = F.array(*[F.lit(x) for x in labels[i]])[at]
+            else:
+                begin = base + F.array(*[F.lit(x) for x in starts])[at]
+                end = base + F.array(*[F.lit(x + float(w)) for x, w in zip(starts, spans, strict=True)])[at]
+                if bottom.snap > bottom.coding:
+                    begin = F.when(begin <= F.lit(float(bottom.snap)), F.lit(float(bottom.coding))).otherwise(begin)
+                if top.snap < top.coding:
+                    end = F.when(end >= F.lit(float(top.snap)), F.lit(float(top.coding))).otherwise(end)
+                text = _label(begin, end, decimals)
             return (
-                F.when(v.isNull(), F.lit(None).cast("string"))
-                .when(v < F.lit(float(low)), F.lit(f"<{low:g}"))
-                .when(v >= F.lit(float(high)), F.lit(f">={high:g}"))
+                F.when(v.isNull() | (v < F.lit(bottom.last)) | (v >= F.lit(top.last)), F.lit(None).cast("string"))
+                .when(v < F.lit(float(bottom.coding)), F.lit(f"<{bottom.coding:g}"))
+                .when(v >= F.lit(float(top.coding)), F.lit(f">={top.coding:g}"))
                 .otherwise(text)
             )
 

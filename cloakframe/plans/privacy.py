@@ -61,6 +61,25 @@ def hier_interval(spark, sf):
     return shown(PRICE.materialize(table(spark, sf, "orders"), "o_totalprice"))
 
 
+SNAPPED = H.intervals([20000, 30000], 0, H.Bound(20000, 10000, 2000), H.Bound(300000, 350000, 420000), [[2], [2]])
+
+
+def _snapped(width: int, first: int | None = None) -> str:
+    x = "least(greatest(o_totalprice, 20000), 299999.999)"
+    base = f"CAST(floor({x} / {width}) AS BIGINT) * {width}"
+    low, high = (base, f"{base} + {width}") if first is None else (
+        f"{base} + CASE WHEN {x} - {base} < {first} THEN 0 ELSE {first} END", f"{base} + CASE WHEN {x} - {base} < {first} THEN {first} ELSE {width} END")
+    text = f"'[' || CASE WHEN {low} <= 20000 THEN 10000 ELSE {low} END || ', ' || CASE WHEN {high} >= 300000 THEN 350000 ELSE {high} END || '['"
+    return f"CASE WHEN o_totalprice < 2000 OR o_totalprice >= 420000 THEN '?' WHEN o_totalprice < 10000 THEN '<10000' WHEN o_totalprice >= 350000 THEN '>=350000' ELSE {text} END"
+
+
+@register("hier_interval_bounds", f"SELECT DISTINCT CAST(o_totalprice AS VARCHAR) AS value, o_totalprice || ' > ' || {_snapped(50000, 20000)} || ' > ' || {_snapped(50000)} || ' > ' || {_snapped(100000)} || ' > *' AS levels FROM orders")
+def hier_interval_bounds(spark, sf):
+    """Separate bounds for snapping, bound labels and the range, on both sides."""
+    listed = SNAPPED.materialize(table(spark, sf, "orders"), "o_totalprice")
+    return listed.select("value", F.array_join("levels", " > ", "?").alias("levels"))
+
+
 @register("hier_order", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS v FROM orders), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM d),
   a AS (SELECT v, min(v) OVER (PARTITION BY r // 10) AS lo1, max(v) OVER (PARTITION BY r // 10) AS hi1, min(v) OVER (PARTITION BY r // 20) AS lo2, max(v) OVER (PARTITION BY r // 20) AS hi2 FROM r)
   SELECT CAST(v AS VARCHAR) AS value, v || ' > [' || lo1 || ', ' || hi1 || '] > [' || lo2 || ', ' || hi2 || '] > *' AS levels FROM a""")

@@ -200,6 +200,22 @@ def test_interval_labels_and_bounds(spark):
     assert got[None] == [None, None, None, None, "*"]
 
 
+def test_interval_bounds(spark):
+    """Snapping, bound labels and the range part on both sides; spans are found at every edge."""
+    h = H.intervals([3, 1, 2], 0, H.Bound(7, 5, 2), H.Bound(20, 23, 30), [[1, 2]])
+    df = spark.createDataFrame([(float(x) / 2,) for x in range(70)], "v double")
+    got = {r["v"]: r["l"][1:3] for r in df.select("v", h.levels(F.col("v")).alias("l")).collect()}
+    assert got[1.5] == [None, None] and got[30.0] == [None, None] and got[2.0] == ["<5", "<5"] and got[29.5] == [">=23", ">=23"]
+    # 7 lies in [6, 9[, which is extended to 5; the interval below 20, [18, 21[, to 23.
+    assert got[5.0] == got[6.5] == got[8.5] == ["[5, 9[", "[5, 9["]
+    assert got[18.0] == got[20.0] == got[22.5] == ["[18, 23[", "[18, 23["]
+    starts = [0, 3, 4, 6, 9, 10, 12, 15, 16, 18]
+    for v in (9.0, 9.5, 10.0, 11.5, 12.0, 14.5, 15.0, 15.5, 16.0, 17.5):
+        k = max(j for j, s in enumerate(starts) if s <= v)
+        assert got[v][0] == f"[{starts[k]}, {starts[k + 1]}["
+    assert got[9.5][1] == got[11.5][1] == "[9, 12["
+
+
 def test_redaction_sides(spark):
     df = spark.createDataFrame([("12",)], "v string")
     right = H.redaction(3).levels(F.col("v"))
