@@ -18,7 +18,8 @@ from cloakframe.operators.ranking import null_safe
 from cloakframe.session import materialize
 
 MAX_NODES_PER_JOB = 4096
-MAX_VARYING = 6  # beyond, nodes share too little to be expanded together
+MAX_VARYING = 6  # beyond, nodes share little and fewer of them are expanded together
+NODES_TOGETHER = 16
 
 
 def node_name(levels: Sequence[int]) -> str:
@@ -236,7 +237,7 @@ def scores(
     extra = search_columns(definition, models, quality)
     prepared = prepared or prepare(df, definition, extra, quality.kind == "entropy")
     varying = sum(len({n[i] for n in chosen}) > 1 for i in range(len(definition.qid)))
-    batch = 1 if varying > MAX_VARYING else MAX_NODES_PER_JOB
+    batch = NODES_TOGETHER if varying > MAX_VARYING else MAX_NODES_PER_JOB
     parts = [
         _score_batch(prepared, definition, models, quality, suppression, chosen[i:i + batch], extra)
         for i in range(0, len(chosen), batch)

@@ -142,8 +142,8 @@ BAYES_GRID = GRID + f""", tr AS (SELECT fold, k, price_bin AS t, {QKEY} FROM pop
   """ + ",\n  ".join(f"""c_{q} AS (SELECT fold, k, t, {q}, count(*) AS c FROM tr GROUP BY ALL), v_{q} AS (SELECT fold, k, count(DISTINCT {q}) AS nv FROM tr GROUP BY ALL)""" for q in QID) + f""",
   te AS (SELECT own AS fold, CAST(k AS INTEGER) AS k, price_bin, {QKEY}, count(*) AS cnt FROM gen JOIN folds USING (o_orderkey), (VALUES (0), (5), (20)) v(k) GROUP BY ALL),
   sc AS (SELECT te.*, pri.t, ln(pri.n / total) + """ + " + ".join(f"ln((coalesce(c_{q}.c, 0) + 1e0) / (pri.n + v_{q}.nv))" for q in QID) + """ AS score
-    FROM te JOIN pri USING (fold, k) JOIN tot USING (fold, k) """ + " ".join(
-    f"JOIN v_{q} USING (fold, k) LEFT JOIN c_{q} ON c_{q}.fold = te.fold AND c_{q}.k = te.k AND c_{q}.t = pri.t AND c_{q}.{q} = te.{q}" for q in QID) + f"""),
+    FROM te LEFT JOIN pri USING (fold, k) LEFT JOIN tot USING (fold, k) """ + " ".join(
+    f"LEFT JOIN v_{q} USING (fold, k) LEFT JOIN c_{q} ON c_{q}.fold = te.fold AND c_{q}.k = te.k AND c_{q}.t = pri.t AND c_{q}.{q} = te.{q}" for q in QID) + f"""),
   pred AS (SELECT fold, k, price_bin, cnt, t AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY fold, k, price_bin, {QKEY} ORDER BY round(-score, 9), t) = 1),
   conf AS (SELECT fold, k, price_bin, predicted, CAST(sum(cnt) AS BIGINT) AS cnt FROM pred GROUP BY ALL)"""
 
@@ -167,7 +167,7 @@ def ml_bayes_grid(spark, sf):
 
 @register("ml_bayes_summary", f"""WITH {BAYES_GRID}, lab AS (SELECT fold, k, label, sum(support) AS support, sum(hit) AS hit, sum(said) AS said FROM (
     SELECT fold, k, price_bin AS label, cnt AS support, CASE WHEN price_bin = predicted THEN cnt ELSE 0 END AS hit, 0 AS said FROM conf
-    UNION ALL SELECT fold, k, predicted, 0, 0, cnt FROM conf) GROUP BY ALL),
+    UNION ALL SELECT fold, k, predicted, 0, 0, cnt FROM conf) WHERE label IS NOT NULL GROUP BY ALL),
   pr AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM lab),
   rep AS (SELECT fold, k, label, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM pr),
   frame AS (SELECT k, label, fold FROM (SELECT DISTINCT k, label FROM rep), (SELECT DISTINCT fold FROM conf)),

@@ -55,6 +55,18 @@ def test_search_within_bounds(spark):
     assert L.search(df, d, [P.KAnonymity(4)], suppression=0.2, low=low, high=high)["node"] == want["node"]
 
 
+def test_scores_in_small_batches(spark, monkeypatch):
+    """Many varying attributes: nodes are expanded a few at a time, with the same figures."""
+    df, d = people(spark, 11), definition()
+    want = {r["node"]: r for r in L.scores(df, d, [P.KAnonymity(3)], suppression=0.2).collect()}
+    monkeypatch.setattr(L, "MAX_VARYING", 1)
+    monkeypatch.setattr(L, "NODES_TOGETHER", 5)
+    got = {r["node"]: r for r in L.scores(df, d, [P.KAnonymity(3)], suppression=0.2).collect()}
+    assert got.keys() == want.keys() and len(got) == 24
+    for node, r in got.items():
+        assert r["loss"] == pytest.approx(want[node]["loss"]) and r["suppressed"] == want[node]["suppressed"] and r["valid"] == want[node]["valid"]
+
+
 def test_frontier_leaves_nothing_out():
     """Whatever fails, taking all cones reaches every minimal node that doesn't."""
     rng = random.Random(3)
