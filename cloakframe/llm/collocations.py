@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ LOWER[0x41:0x5B] += 32
 ENDS = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 WORDS = re.compile(rb"[^ \t.,;:!?\n\x0b\x0c\r]+")
 SUMMARY = "part int, items binary, counts binary, undercount bigint"
+PACKED = "part int, lang string, phrases binary, counts binary"
 COUNTS = "lang string, phrase string, words int, n bigint"
 
 
@@ -91,8 +93,8 @@ class Block:
             total += self.hashes[which][at + k] * factor[k]
         return mix(total)
 
-    def phrase(self, at: int, words: int) -> str:
-        return b" ".join(self.data[self.starts[k] : self.ends[k]].tobytes() for k in range(at, at + words)).decode("utf-8", "replace")
+    def phrase(self, at: int, words: int) -> bytes:
+        return b" ".join(self.data[self.starts[k] : self.ends[k]].tobytes() for k in range(at, at + words))
 
 
 def parts(text: bytes, longest: int, size: int) -> Iterator[tuple[bytes, int]]:
@@ -304,43 +306,72 @@ def alike(at: np.ndarray, hashes: np.ndarray, second: np.ndarray) -> tuple[list[
     return at[first].tolist(), np.diff(first, append=len(at)).tolist()
 
 
-def counted_phrases(texts: DataFrame, p: Collocations, kept: Broadcast) -> DataFrame:
+def counted_phrases(texts: DataFrame, p: Collocations, kept: Broadcast, words: int) -> DataFrame:
     """``(lang, phrase, words, n)``: exact counts of the phrases that survived, ``threshold`` at least.
 
     Rows without a phrase have the number of all words of a language. ``kept`` has the bitmaps of one and two words and of
-    more. Inside a block occurrences are told apart by two hashes of 64 bits, from there on by the phrase itself.
+    more; ``words`` is a bound of the words of all texts. Inside a block occurrences are told apart by two hashes of 64
+    bits, from there on by the phrase itself. A task's counts go out packed, one record for each hash partition and
+    language, and are added up there; what is not met ``threshold`` times ends in the partition.
     """
+    spark = texts.sparkSession
+    # As many phrases as a partition may have to return: each of them takes ``threshold`` of the mass.
+    n_parts = max(p.longest * words // (p.threshold * p.capacity) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, long = kept.value
-        seeds, known = Seeds(), {}
+        seeds, known, totals = Seeds(), {}, {}
 
         def out() -> pa.RecordBatch:
-            keys = list(known)
+            packed: dict[tuple[int, str], list[tuple[bytes, int]]] = {}
+            for (lang, phrase), n in known.items():
+                packed.setdefault((zlib.crc32(phrase) % n_parts, lang), []).append((phrase, n))
+            rows = [(part, lang, b"\n".join(x for x, _ in some), np.array([n for _, n in some], dtype="<i8").tobytes())
+                    for (part, lang), some in packed.items()]
+            rows += [(zlib.crc32(lang.encode()) % n_parts, lang, None, np.array([n], dtype="<i8").tobytes()) for lang, n in totals.items()]
+            known.clear()
+            totals.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                 pa.array([k[2] for k in keys], pa.int32()), pa.array([known[k] for k in keys], pa.int64())],
-                names=["lang", "phrase", "words", "n"])
-
-        def count(key: tuple, n: int) -> None:
-            known[key] = known.get(key, 0) + n
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.binary()))],
+                names=["part", "lang", "phrases", "counts"])
 
         for block in blocks(batches, seeds.names, p.longest, p.block, check=True):
             names = list(seeds.names)
             for lang, n in enumerate(np.bincount(block.lang[block.fresh], minlength=len(names)).tolist()):
                 if n:
-                    count((names[lang], None, 0), n)
-            for words, at, hashes in _phrases(block, seeds.get(), range(1, p.longest + 1), short):
-                hit = (short if words <= 2 else long).has(hashes >> np.uint64(16))
-                for k, n in zip(*alike(at[hit], hashes[hit], block.phrase_hashes(at[hit], words, seeds.get(), 1)), strict=True):
-                    count((names[block.lang[k]], block.phrase(k, words), words), n)
+                    totals[names[lang]] = totals.get(names[lang], 0) + n
+            for order, at, hashes in _phrases(block, seeds.get(), range(1, p.longest + 1), short):
+                hit = (short if order <= 2 else long).has(hashes >> np.uint64(16))
+                for k, n in zip(*alike(at[hit], hashes[hit], block.phrase_hashes(at[hit], order, seeds.get(), 1)), strict=True):
+                    key = names[block.lang[k]], block.phrase(k, order)
+                    known[key] = known.get(key, 0) + n
             if len(known) > p.remembered:
                 yield out()
-                known.clear()
         yield out()
 
-    counts = texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return materialize(counts.where(f"n >= {p.threshold} OR phrase IS NULL"), "phrases")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+
+        def left() -> pa.RecordBatch:
+            rows = [(lang, phrase, n) for (lang, phrase), n in known.items() if phrase is None or n >= p.threshold]
+            known.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()),
+                 pa.array([None if r[1] is None else r[1].decode("utf-8", "replace") for r in rows], pa.string()),
+                 pa.array([0 if r[1] is None else r[1].count(b" ") + 1 for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())],
+                names=["lang", "phrase", "words", "n"])
+
+        for batch in batches:
+            for part, lang, phrases, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    yield left()
+                    now = part
+                for phrase, n in zip((None,) if phrases is None else phrases.split(b"\n"), np.frombuffer(counts, dtype="<i8").tolist(), strict=True):
+                    known[lang, phrase] = known.get((lang, phrase), 0) + n
+        yield left()
+
+    dealt = texts.mapInArrow(run, PACKED).repartition(n_parts, "part").sortWithinPartitions("part")
+    return materialize(dealt.mapInArrow(merge, COUNTS), "phrases")
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -394,7 +425,7 @@ def collocations(docs: DataFrame, p: Collocations = Collocations()) -> DataFrame
     if p.longest > 2:
         long = bitmap(survivors(
             texts, p, range(3, p.longest + 1), (p.longest - 2) * words, spark.sparkContext.broadcast(short)), p.bits)
-    counts = counted_phrases(texts, p, spark.sparkContext.broadcast((short, long)))
+    counts = counted_phrases(texts, p, spark.sparkContext.broadcast((short, long)), words)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # A language's phrases are ranked in shares first, so that no task sorts all of them.
     shares = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
