@@ -24,6 +24,7 @@ REMEMBERED = 400_000
 #: Bytes of runs that are merged by scanning for the best neighbours; longer ones use a heap.
 SHORT = 64
 NEVER = float("inf")
+NO_RANK = 1 << 40
 #: Rows encoded at a time.
 ROWS = 256
 ENCODED = "doc_id bigint, ids binary, begins binary, ends binary"
@@ -100,6 +101,99 @@ def character_length(text: bytes, at: int) -> int:
         return 0
 
 
+class Pairs:
+    """Merges of very many short runs at once: all pairs of symbols that join, sorted, with their symbol and rank.
+
+    Symbols are the characters of pieces, in order, and then the longer pieces. In each round every run joins its
+    best-ranked neighbours, the leftmost of equals, and only the pairs beside them are looked up again.
+    """
+
+    def __init__(self, costs: dict[str, float], numbers: dict[str, int], of_bytes: Sequence[int]):
+        characters = sorted({c for p in costs for c in p})
+        self.codes = np.array([ord(c) for c in characters], dtype=np.uint32)
+        symbols = {c: k for k, c in enumerate(characters)}
+        for piece in costs:
+            symbols.setdefault(piece, len(symbols))
+        rank = {cost: k for k, cost in enumerate(sorted(set(costs.values())))}
+        found = [
+            (symbols[a] << 32 | symbols[b], symbols[piece], rank[cost]) for piece, cost in costs.items() for k in range(1, len(piece))
+            if (a := piece[:k]) in symbols and (b := piece[k:]) in symbols]
+        table = np.array(sorted(found), dtype=np.int64).reshape(-1, 3)
+        self.keys, self.joined, self.ranks = (np.ascontiguousarray(c) for c in table.T)
+        self.numbers = np.array([numbers.get(x, -1) for x in symbols], dtype=np.int64)
+        self.bytes = np.array(of_bytes, dtype=np.int64)
+        self.open = np.array([x.endswith("▁") for x in symbols], dtype=bool)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol and rank of each pair; pairs that don't join have the rank NO_RANK."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
+        return (np.where(hit, self.joined[at], -1), np.where(hit, self.ranks[at], NO_RANK)) if len(self.keys) else (at - 1, at + NO_RANK)
+
+    def encode(self, runs: Sequence[bytes]) -> tuple[np.ndarray, ...]:
+        """Ids, begins and ends of all runs in a row, how many each has, and whether it ends with a blank.
+
+        Runs have SHORT bytes at most, begin with what stands inside a text and hold no U+2581. Characters without a piece
+        are negative symbols, which nothing joins, and become byte pieces.
+        """
+        text = np.frombuffer(b"".join(runs).decode().encode("utf-32-le"), dtype="<u4")
+        size = 1 + (text >= 0x80).astype(np.int64) + (text >= 0x800) + (text >= 0x10000)
+        ends = np.cumsum([len(r) for r in runs])
+        owner = np.searchsorted(ends, np.cumsum(size) - size, side="right")
+        code = np.where(text == 0x20, np.uint32(0x2581), text)
+        symbol = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        symbol = np.where(self.codes[symbol] == code, symbol, -1 - code.astype(np.int64))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        inner = np.append(owner[1:] == owner[:-1], False)
+        joined, rank = np.full(len(owner), -1), np.full(len(owner), NO_RANK)
+        at = np.flatnonzero(inner)
+        joined[at], rank[at] = self.look_up(symbol[at], symbol[at + 1])
+        while len(owner):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            lengths = np.diff(starts, append=len(owner))
+            place = np.arange(len(owner)) - np.repeat(starts, lengths)
+            best = np.minimum.reduceat(rank * (2 * SHORT) + place, starts)
+            ended = best >= NO_RANK * (2 * SHORT)
+            if ended.any():
+                gone = np.repeat(ended, lengths)
+                done.append((symbol[gone], size[gone], owner[gone]))
+                symbol, size, owner, joined, rank = (x[~gone] for x in (symbol, size, owner, joined, rank))
+                if not len(owner):
+                    break
+                starts, best = np.cumsum(lengths[~ended]) - lengths[~ended], best[~ended]
+            at = starts + best % (2 * SHORT)
+            symbol[at] = joined[at]
+            size[at] += size[at + 1]
+            left = np.ones(len(owner), dtype=bool)
+            left[at + 1] = False
+            symbol, size, owner, joined, rank = (x[left] for x in (symbol, size, owner, joined, rank))
+            at -= np.arange(len(at))  # one symbol less for each run before
+            for k in (at[at > 0] - 1, at):
+                alive = (k + 1 < len(owner)) & (owner[k] == owner[np.minimum(k + 1, len(owner) - 1)])
+                joined[k], rank[k] = -1, NO_RANK
+                k = k[alive]
+                joined[k], rank[k] = self.look_up(symbol[k], symbol[k + 1])
+        symbol, size, owner = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        symbol, size, owner = symbol[order], size[order], owner[order]
+        upto = np.cumsum(size)
+        last = np.flatnonzero(np.diff(owner, append=-1))
+        begin = upto - size - np.repeat(np.append(0, upto[last[:-1]]), np.diff(last, prepend=-1))
+        held = np.maximum(symbol, 0)
+        is_open = ((symbol >= 0) & self.open[held])[last]
+        ids = np.where(symbol >= 0, self.numbers[held], -1)
+        code = np.where(symbol >= 0, self.codes[np.minimum(held, len(self.codes) - 1)].astype(np.int64), -1 - symbol)
+        n = np.where(ids >= 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+        row = np.repeat(np.arange(len(ids)), n)
+        rest = np.repeat(np.cumsum(n), n) - np.arange(len(row)) - 1  # bytes of the character that follow
+        head = (rest + 1 == n[row]) & (n[row] > 1)
+        part = code[row] >> 6 * rest
+        byte = np.where(n[row] == 1, part, np.where(head, part | np.array([0, 0, 0xC0, 0xE0, 0xF0])[n[row]], part & 0x3F | 0x80))
+        ids = np.where(ids[row] >= 0, ids[row], self.bytes[np.clip(byte, 0, 255)])
+        return ids, begin[row], begin[row] + np.where(rest == 0, size[row], 0), np.bincount(owner[row], minlength=len(runs)), is_open
+
+
 @dataclass
 class PieceModel:
     """A BPE model: pieces with kinds and scores, and how text is normalised."""
@@ -137,6 +231,7 @@ class PieceModel:
             and UNUSED not in self.kinds)
         self.costs = {p.decode(): -self.scores[i] for p, i in self.merges.items()} if self.plain else {}
         self.numbers = {p.decode(): i for p, i in (self.merges | self.reserved).items()} if self.plain else {}
+        self.pairs = Pairs(self.costs, self.numbers, self.bytes) if self.plain else None
 
     def _prefix(self, text: bytes, at: int) -> tuple[int, bytes]:
         """Source length and normal form of what stands at ``at``."""
@@ -398,11 +493,30 @@ class Encoder:
             self.open.add(number)
         return number
 
-    def runs(self, text: bytes) -> tuple[list[int], list[int]]:
-        """Numbers of the runs of ``text`` and their lengths."""
-        if not text:
+    def _learn(self, runs: Sequence[bytes]) -> None:
+        """Encode short runs that stand inside a text, all at once."""
+        ids, begins, ends, counts, is_open = self.model.pairs.encode(runs)
+        number = len(self.offsets) - 1
+        for column, new in zip(self.columns, (ids, begins, ends), strict=True):
+            column.frombytes(new.astype(np.int32).tobytes())
+        self.offsets.frombytes((self.offsets[-1] + np.cumsum(counts)).astype(np.int64).tobytes())
+        numbers = range(number, number + len(runs))
+        self.known.update(zip(runs, numbers, strict=True))
+        self.open.update(n for n, o in zip(numbers, is_open.tolist(), strict=True) if o)
+
+    def parted(self, texts: Sequence[bytes]) -> list[list[bytes]]:
+        """The runs of each text; what is new among them is learned."""
+        parts = [self.RUNS.findall(t) if self.model.parts else [t] if t else [] for t in texts]
+        if self.model.pairs is not None:
+            new = {r for p in parts for r in p[1:] if r not in self.known and len(r) <= SHORT and BLANK not in r}
+            if new:
+                self._learn(sorted(new))
+        return parts
+
+    def runs(self, parts: list[bytes]) -> tuple[list[int], list[int]]:
+        """Numbers of the runs of a text and their lengths."""
+        if not parts:
             return [], []
-        parts = self.RUNS.findall(text) if self.model.parts else [text]
         final = len(parts) - 1
         numbers = [self._run(parts[0], True, not final)]
         if final:
@@ -428,8 +542,8 @@ class Encoder:
         if len(self.offsets) > REMEMBERED:
             self._forget()
         numbers, lengths, sizes = [], [], []
-        for text in texts:
-            run, length = self.runs(text)
+        for parts in self.parted(texts):
+            run, length = self.runs(parts)
             numbers += run
             lengths += length
             sizes.append(len(run))
