@@ -7,7 +7,7 @@ import heapq
 import itertools
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -121,6 +121,7 @@ class Prepared:
     bits: bool
     domains: dict[str, float]
     tops: dict[str, str]  # label of attributes whose values are all listed and end in one
+    coded: DataFrame | None = None  # the tuples with all their labels, see ``coded_tuples``
 
 
 def prepare(df: DataFrame, definition: Definition, extra: Sequence[str] = (), bits: bool = False) -> Prepared:
@@ -203,6 +204,42 @@ def expanded(
     )
 
 
+def coded_tuples(prepared: Prepared, definition: Definition, keep: Sequence[str] = ()) -> DataFrame:
+    """The distinct tuples with, for each attribute, number and loss of its label on every level; written once.
+
+    Any node is then one aggregation of short keys, without lookups: where few tuples merge on the way up, joins of one
+    attribute after the other cost more than they save. A value listed several times counts as often, as in ``expanded``.
+    """
+    labels = prepared.levels.select("attribute", "level", "label").distinct()
+    labels = materialize(labels.withColumn("code", F.monotonically_increasing_id()), "labels")
+    known = null_safe(prepared.levels, labels, ["attribute", "level", "label"])
+    known = known.groupBy("attribute", "raw", "level").agg(
+        F.max(F.struct("code", cell_loss(F.col("leaves"), F.col("domain")).alias("loss"), F.log(F.col("leaves").cast("double")).alias("info"))).alias("at"),
+        F.count("*").alias("_times"))
+    known = materialize(known.groupBy("attribute", "raw").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("level", "at"))), lambda x: x["at"]).alias("_at"), F.max("_times").alias("_times")), "codes")
+    out = prepared.base
+    for q in definition.qid:
+        lookup = known.where(F.col("attribute") == q).select("raw", F.col("_at").alias(f"c_{q}"), F.col("_times").alias("_t"))
+        out = out.join(lookup, F.col(q).cast("string").eqNullSafe(F.col("raw"))).withColumn("cnt", F.col("cnt") * F.col("_t")).drop("raw", "_t")
+    return materialize(out.select(*[f"c_{q}" for q in definition.qid], *keep, "cnt"), "coded")
+
+
+def expanded_coded(prepared: Prepared, definition: Definition, chosen: Sequence[tuple[int, ...]], keep: Sequence[str] = ()) -> DataFrame:
+    """``expanded`` from the coded tuples, with numbers in place of the labels."""
+    qid = definition.qid
+    total, most = sum(definition.weight(q) for q in qid), sum(math.log(prepared.domains[q]) for q in qid)
+    wanted = F.array(*[F.struct(F.lit(node_name(n)).alias("node"), *[F.lit(x).alias(f"l_{q}") for q, x in zip(qid, n, strict=True)]) for n in chosen])
+    at = lambda q: F.get(F.col(f"c_{q}"), F.col(f"_n.l_{q}"))
+    cell = functools.reduce(lambda a, b: a + b, [F.lit(definition.weight(q) / total) * at(q)["loss"] for q in qid])
+    info = functools.reduce(lambda a, b: a + b, [at(q)["info"] for q in qid])
+    spread = prepared.coded.withColumn("_n", F.explode(wanted)).select(
+        "_n.node", *[at(q)["code"].alias(f"g_{q}") for q in qid], *keep, "cnt", cell.alias("cell_loss"), info.alias("_info"))
+    out = spread.groupBy("node", *[f"g_{q}" for q in qid], *keep).agg(
+        F.sum("cnt").alias("cnt"), F.max("cell_loss").alias("cell_loss"), F.max("_info").alias("_info"))
+    return out.withColumn("info_loss", F.col("_info") / most if most > 0 else F.lit(0.0)).drop("_info")
+
+
 def payout(n: Column, info_loss: Column, costs: dict[str, float], no_attack: bool) -> Column:
     """What the publisher earns per record of a class of size ``n``."""
     benefit, loss = F.lit(costs["publisher_benefit"]), F.lit(costs["publisher_loss"])
@@ -248,7 +285,7 @@ def scores(
 def _score_batch(prepared, definition, models, quality, suppression, chosen, extra):
     keys = ["node", *[f"g_{q}" for q in definition.qid]]
     bits = quality.kind == "entropy"
-    wide = expanded(prepared, definition, chosen, extra)
+    wide = (expanded if prepared.coded is None else expanded_coded)(prepared, definition, chosen, extra)
     if len(models) > 1 or any(m.columns for m in models) or quality.kind == "classification":
         wide = materialize(wide, "nodes")  # each measure reads it
     sums = [F.sum("bits").alias("bits"), F.sum("most").alias("most")] if bits else []
@@ -369,6 +406,10 @@ class Frontier:
             self.seen.add(node)
             heapq.heappush(self.heap, (self.bound(node), sum(node), node))
 
+    def again(self, node: tuple[int, ...]) -> None:
+        self.seen.discard(node)
+        self.add(node)
+
     def raise_from(self, node: tuple[int, ...], to: Sequence[int]) -> None:
         """The cones above ``node`` that pass ``to`` in one attribute."""
         for i, level in enumerate(to):
@@ -376,7 +417,7 @@ class Frontier:
                 self.add((*node[:i], level + 1, *node[i + 1:]))
 
     def fail(self, node: tuple[int, ...]) -> None:
-        if self.monotone and not any(all(a <= b for a, b in zip(node, f, strict=True)) for f in self.failed):
+        if self.monotone and not self.fails(node):
             self.failed = [f for f in self.failed if not all(a <= b for a, b in zip(f, node, strict=True))] + [node]
 
     def take(self, n: int, limit: float) -> list[tuple[int, ...]]:
@@ -391,14 +432,20 @@ class Frontier:
                 taken.append(node)
         return taken
 
-    def path(self, node: tuple[int, ...]) -> list[tuple[int, ...]]:
-        """From ``node`` to the top, always by the step that adds least to the bound."""
+    def fails(self, node: tuple[int, ...]) -> bool:
+        return any(all(a <= b for a, b in zip(node, f, strict=True)) for f in self.failed)
+
+    def path(self, node: tuple[int, ...], limit: float = math.inf) -> list[tuple[int, ...]]:
+        """From ``node`` as high as the bound stays within ``limit``, always by the step that adds least to it."""
         out = [node]
         while out[-1] != self.high:
             at = out[-1]
             steps = [(self.least[i][at[i] + 1] - self.least[i][at[i]], i) for i in range(len(at)) if at[i] < self.high[i]]
             i = min(steps)[1]
-            out.append((*at[:i], at[i] + 1, *at[i + 1:]))
+            above = (*at[:i], at[i] + 1, *at[i + 1:])
+            if self.bound(above) > limit:
+                break
+            out.append(above)
         return out
 
 
@@ -415,13 +462,16 @@ def search(
 ) -> Row | None:
     """The line of ``optimum`` without scoring all nodes: for definitions whose lattice is too large to list.
 
-    Nodes are judged in batches, each one plan over the distinct tuples: the nodes with the least possible losses, and for
-    each one halfway to the top, whose failure or success settles many others. Nothing is left out that may be better than
+    Nodes are judged in batches, each one plan over the distinct tuples. For the nodes with the least possible losses the
+    highest ones above them that may still beat the best are judged first, as their failure settles all below; for nodes
+    that this leaves open, they and those halfway to the top follow. Nothing is left out that may be better than
     the best node known, so the result is that of all nodes. Losses other than ``loss`` and ``height`` have no bound, and
     models that aren't monotone or hierarchies that aren't nested settle nothing; less is passed over then.
     """
     extra = search_columns(definition, models, quality)
     prepared = prepared or prepare(df, definition, extra, quality.kind == "entropy")
+    if not prepared.bits and sum(h > 0 for h in definition.heights) > MAX_VARYING:
+        prepared = replace(prepared, coded=coded_tuples(prepared, definition, extra))
     start = [(low or {}).get(q, 0) for q in definition.qid]
     end = [(high or {}).get(q, h) for q, h in zip(definition.qid, definition.heights, strict=True)]
     least = least_losses(prepared, definition, quality)
@@ -447,9 +497,15 @@ def search(
     if walk.monotone:
         judge(walk.path(walk.low))
     while True:
-        taken = walk.take(at_a_time, best[0] + 2e-9 if best and bounded else math.inf)
+        limit = best[0] + 2e-9 if best and bounded else math.inf
+        taken = walk.take(at_a_time, limit)
         if not taken:
             break
+        if walk.monotone and limit < math.inf:
+            judge([walk.path(n, limit)[-1] for n in taken])
+            for node in [n for n in taken if walk.fails(n)]:
+                taken.remove(node)
+                walk.again(node)
         probes = [(path := walk.path(n))[len(path) // 2] for n in taken] if walk.monotone else []
         judge([*taken, *probes])
         for node in taken:

@@ -67,6 +67,36 @@ def test_scores_in_small_batches(spark, monkeypatch):
         assert r["loss"] == pytest.approx(want[node]["loss"]) and r["suppressed"] == want[node]["suppressed"] and r["valid"] == want[node]["valid"]
 
 
+def test_search_over_many_attributes_judges_few_nodes(spark, monkeypatch):
+    """Seven attributes, each shown or hidden: the nodes that may still win are settled from the highest down."""
+    rng, names = random.Random(5), "abcdefg"
+    rows = spark.createDataFrame([tuple(rng.choice(["x", "y", None][:2 + k % 2]) for k in range(7)) for _ in range(400)], ", ".join(f"{q} string" for q in names))
+    d = Definition(tuple(names), {}, weights={q: 1.0 + 0.1 * k for k, q in enumerate(names)})
+    want = L.optimum(L.scores(rows, d, [P.KAnonymity(15)], suppression=0.02)).first()
+    judged, plain = [], L._score_batch
+    monkeypatch.setattr(L, "_score_batch", lambda *a: judged.extend(a[5]) or plain(*a))
+    got = L.search(rows, d, [P.KAnonymity(15)], suppression=0.02, at_a_time=4)
+    assert tuple(got)[:5] == tuple(want)[:5] and got["loss"] == pytest.approx(want["loss"])
+    assert len(judged) <= 50
+
+
+@pytest.mark.parametrize("models, quality", [
+    ([P.KAnonymity(3)], L.Quality()), ([P.KAnonymity(2), P.DistinctLDiversity("s", 2)], L.Quality(gs=0.9)),
+    ([P.KAnonymity(2)], L.Quality("payout", costs={"adversary_cost": 4.0, "adversary_gain": 300.0, "publisher_loss": 300.0, "publisher_benefit": 1200.0}))])
+def test_coded_tuples_score_alike(spark, models, quality):
+    """Also for NULL, values that a hierarchy does not list, and columns of models."""
+    listed = spark.createDataFrame([("a", ["a", "ab", "*"]), ("b", ["b", "ab", "*"]), ("c", ["c", "cd", "*"])], "value string, levels array<string>")
+    df = people(spark, 12)
+    d = Definition(("a", "b", "c"), {**definition().hierarchies, "a": Hierarchy.explicit(listed, 2)}, sensitive=("s",))
+    extra = L.search_columns(d, models, quality)
+    prepared = L.prepare(df, d, extra)
+    coded = L.replace(prepared, coded=L.coded_tuples(prepared, d, extra))
+    one, two = ({r["node"]: r for r in L.scores(df, d, models, quality, 0.2, prepared=p).collect()} for p in (prepared, coded))
+    assert one.keys() == two.keys() and len(one) == 24
+    for node, r in one.items():
+        assert tuple(two[node])[1:5] == tuple(r)[1:5] and two[node]["loss"] == pytest.approx(r["loss"]) and two[node]["valid"] == r["valid"]
+
+
 def test_frontier_leaves_nothing_out():
     """Whatever fails, taking all cones reaches every minimal node that doesn't."""
     rng = random.Random(3)
