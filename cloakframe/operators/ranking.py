@@ -68,8 +68,8 @@ def ranked(
         df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= rows_per_task:
+    largest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if (largest or 0) <= rows_per_task:
         w = Window.partitionBy(*keys)
         out = df.withColumn(rank, F.row_number().over(w.orderBy("_h", *order)).cast("bigint"))
         if size:
@@ -95,8 +95,10 @@ def ranked(
         .drop("_c")
     )
     inside = Window.partitionBy(*keys, "_part").orderBy("_h", *order)
+    # As many tasks as there are ranges, or adaptive execution would merge them by their packed size.
+    dealt = sized.repartition(-(-total // rows_per_task), *keys, "_part")
     out = null_safe(
-        sized.withColumn("_rn", F.row_number().over(inside).cast("bigint")), offsets, [*keys, "_part"], "left"
+        dealt.withColumn("_rn", F.row_number().over(inside).cast("bigint")), offsets, [*keys, "_part"], "left"
     ).withColumn(rank, F.col("_rn") + F.coalesce("_before", F.lit(0)))
     if size:
         out = out.withColumn(size, F.col("_n"))

@@ -25,6 +25,9 @@ from cloakframe.operators.ranking import (
 from cloakframe.session import materialize
 
 
+OVERSAMPLE_RANGE = 250_000  # rows of one value that a task of ``oversample`` ranks
+
+
 def _share(b: float) -> float:
     if not 0.0 <= b <= 1.0:
         raise ValueError("sample size must be in range [0, 1]")
@@ -247,14 +250,15 @@ def undersample(df: DataFrame, target: str, ids: Sequence[str], seed: int) -> Da
 def oversample(df: DataFrame, target: str, ids: Sequence[str], seed: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Every target value raised to the size of the commonest, with replacement.
 
-    Adds ``draw`` (0 for an original row). The draws of all rarer values are generated
-    from the rows of the commonest one, which are already spread over the cluster.
+    Adds ``draw`` (0 for an original row). Ranks are settled in short ranges, as many tasks as the rows need, and the
+    draws of all rarer values are made where they are numbered, spread over the cluster.
     """
-    rows = ranked(df, [target], ids, order_hash(seed, ids), rank="_rank", rows_per_task=rows_per_task)
-    counts = class_sizes(df, [target])
-    top = counts.agg(F.max(F.struct("n", target)).alias("t")).scalar()
-    deficits = counts.select(target, "n", (top["n"] - F.col("n")).alias("deficit")).filter("deficit > 0")
-    lines = rows.filter(F.col(target).eqNullSafe(top[target])).select(F.col("_rank").alias("draw"))
+    counts = materialize(class_sizes(df, [target]), "counts")
+    sizes = counts.select(target, F.col("n").alias("_n"))
+    rows = ranked(df, [target], ids, order_hash(seed, ids), rank="_rank", rows_per_task=min(rows_per_task, OVERSAMPLE_RANGE), sizes=sizes)
+    most = counts.agg(F.max("n")).first()[0] or 0
+    deficits = counts.select(target, "n", (F.lit(most) - F.col("n")).alias("deficit")).filter("deficit > 0")
+    lines = df.sparkSession.range(1, most + 1).select(F.col("id").alias("draw"))
     wanted = deficits.agg(F.collect_list(F.struct(target, "n", "deficit")).alias("w")).scalar()
     draws = (
         lines.withColumn("_w", F.explode(wanted))
