@@ -13,7 +13,7 @@ from cloakframe.operators import risk as R
 from cloakframe.operators import sampling as S
 from cloakframe.operators import stats as T
 from cloakframe.operators.ranking import null_safe
-from cloakframe.plans.grids import BS, CELL, GRID, KS, SAMPLES, populations, run_counts, sample_cells, sample_sizes
+from cloakframe.plans.grids import BS, CELL, GRID, KS, SAMPLES, run_counts, sample_grid, sample_sizes
 from cloakframe.plans.registry import register
 from cloakframe.plans.tables import (
     FOLDS, GEN, ID, PEOPLE, PUB, QID, QKEY, SAMPLE, SEED, TARGET,
@@ -193,34 +193,33 @@ KB = ["k", "b"]
 
 
 def grid_parts(spark, sf):
-    """Outputs, samples, and the frame of all cells x folds x target values."""
-    population = populations(spark, sf)
-    drawn = materialize(sample_cells(population), "samples")
-    frame = T.fold_grid(drawn, KB, population.select(TARGET), FOLDS)
-    return population, drawn, frame
+    """Counts ``(fold, k, b, qid, target, n)`` of the samples, and the frame of all cells x folds x target values."""
+    grid = sample_grid(spark, sf)
+    drawn = materialize(grid.counts(), "samples")
+    return drawn, T.fold_grid(drawn, KB, grid.values, FOLDS)
 
 
 @register("target_count_stats", f"""WITH {SHOWN} SELECT k, b, price_bin, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(coalesce(n, 0)) AS min, max(coalesce(n, 0)) AS max,
     '[' || min(coalesce(n, 0)) || ', ' || max(coalesce(n, 0)) || ']' AS range, CASE WHEN avg(n) IS NULL THEN 'nan' ELSE printf('%.1f', round_even(avg(n), 1)) END || ' ± ' || CASE WHEN stddev_samp(n) IS NULL THEN 'nan' ELSE printf('%.1f', round_even(stddev_samp(n), 1)) END AS text
   FROM frame LEFT JOIN tc USING (fold, k, b, price_bin) GROUP BY k, b, price_bin""")
 def target_count_stats(spark, sf):
-    _, drawn, frame = grid_parts(spark, sf)
-    counts = C.class_sizes(C.drop_suppressed(drawn, QID), [*KB, "fold", TARGET])
+    drawn, frame = grid_parts(spark, sf)
+    counts = C.class_sizes(C.drop_suppressed(drawn, QID), [*KB, "fold", TARGET], weight="n")
     return rounded(T.target_count_stats(counts, frame, KB, TARGET), ["mean", "std"])
 
 
 @register("missing_targets", f"WITH {SHOWN} SELECT k, b, fold, price_bin FROM frame ANTI JOIN (SELECT * FROM tc WHERE n >= 60) USING (fold, k, b, price_bin)")
 def missing_targets(spark, sf):
     """Target values with fewer than 60 rows count as missing here, so that some are."""
-    _, drawn, frame = grid_parts(spark, sf)
-    counts = C.class_sizes(C.drop_suppressed(drawn, QID), [*KB, "fold", TARGET]).filter("n >= 60")
+    drawn, frame = grid_parts(spark, sf)
+    counts = C.class_sizes(C.drop_suppressed(drawn, QID), [*KB, "fold", TARGET], weight="n").filter("n >= 60")
     return T.missing_targets(counts, frame, KB, TARGET)
 
 
 @register("eq_per_target", f"""WITH {SHOWN}, ec AS (SELECT fold, k, b, price_bin, count(*) AS n FROM (SELECT DISTINCT fold, k, b, price_bin, {QKEY} FROM shown) GROUP BY ALL)
   SELECT k, b, price_bin, round(avg(coalesce(n, 0)), 6) AS mean, round(stddev_samp(coalesce(n, 0)), 6) AS std, min(coalesce(n, 0)) AS min, max(coalesce(n, 0)) AS max FROM frame LEFT JOIN ec USING (fold, k, b, price_bin) GROUP BY k, b, price_bin""")
 def eq_per_target(spark, sf):
-    _, drawn, frame = grid_parts(spark, sf)
+    drawn, frame = grid_parts(spark, sf)
     out = T.classes_per_target(C.drop_suppressed(drawn, QID), frame, KB, QID, TARGET)
     return rounded(out, ["mean", "std"])
 
